@@ -1,0 +1,24 @@
+"""Cutting lineage onto storage every executor can read."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder and read it back.
+
+    Needed where a value is only defined once the rows are laid out (the number of the
+    partition a row sits in): after a lost executor the rows must come back unchanged.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="rentgrain-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
