@@ -140,7 +140,9 @@ DAMAGED: dict[str, Callable[[Tables], DataFrame]] = {
 
 
 def _admission(spark: SparkSession, folder: str) -> changes.Admission:
-    return changes.admit_leases(star.star_tables(spark, folder), star.lease_proposals(spark, folder), NOW)
+    tables = star.star_tables(spark, folder)
+    tables = tables.with_(leases=star.rolled_over(tables.leases))
+    return changes.admit_leases(tables, star.lease_proposals(spark, folder), NOW)
 
 
 def _audit(spark: SparkSession, folder: str) -> DataFrame:

@@ -636,11 +636,11 @@ _PROPOSALS = """
     FROM (SELECT o_orderkey AS k, o_orderdate::DATE + 200 AS start_date, o_totalprice::DECIMAL(12,2) AS price,
                  CASE WHEN o_orderkey % 43 = 0 THEN 0 ELSE o_totalprice END::DECIMAL(12,2) AS rent FROM orders)"""
 _DECIDED = f"""
-    WITH base AS (
+    WITH rolled AS (SELECT * FROM leases WHERE lease_status = 'active' AND end_date >= {DAY}), base AS (
         SELECT p.*, tenant_id IN (SELECT tenant_id FROM tenants) AS tenant_known,
                unit_id IN (SELECT unit_id FROM units) AS unit_known,
-               unit_id IN (SELECT unit_id FROM leases WHERE lease_status = 'active') AS taken,
-               EXISTS (SELECT 1 FROM leases le WHERE le.unit_id = p.unit_id AND lease_status = 'active'
+               unit_id IN (SELECT unit_id FROM rolled) AS taken,
+               EXISTS (SELECT 1 FROM rolled le WHERE le.unit_id = p.unit_id
                        AND le.start_date <= p.end_date AND le.end_date >= p.start_date) AS hits_lease
         FROM ({_PROPOSALS}) p
     ), first_fit AS (

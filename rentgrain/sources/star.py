@@ -397,15 +397,15 @@ def new_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def rolled_over(leases: DataFrame) -> DataFrame:
+    """Leases after the nightly status run: ended ones are no longer active."""
+    ended = (F.col("lease_status") == "active") & (F.col("end_date") < F.lit(AS_OF))
+    return leases.withColumn("lease_status", F.when(ended, "expired").otherwise(F.col("lease_status")))
+
+
 def lease_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Two states of the lease table, a month of operations apart."""
     leases = _leases(spark, folder)
-    cutoff = F.lit(AS_OF)
-    old = leases.filter(F.col("start_date") <= F.date_add(cutoff, -30))
-    new = leases.filter(F.col("end_date") >= F.date_add(cutoff, -700)).withColumn(
-        "lease_status",
-        F.when((F.col("lease_status") == "active") & (F.col("end_date") < cutoff), "expired").otherwise(
-            F.col("lease_status")
-        ),
-    )
+    old = leases.filter(F.col("start_date") <= F.date_add(F.lit(AS_OF), -30))
+    new = rolled_over(leases.filter(F.col("end_date") >= F.date_add(F.lit(AS_OF), -700)))
     return old, new
