@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,9 +24,15 @@ STOP_WORDS = (
 ).split()
 
 
-def words(text: Column) -> Column:
-    """Array of stemmed words in reading order, with repeats."""
+def words(text: Column, prefixes: list[str] | None = None) -> Column:
+    """Array of stemmed words in reading order, with repeats.
+
+    With ``prefixes``, only words that start with one of them; all others are dropped
+    before the costlier steps.
+    """
     raw = F.split(F.lower(text), SEPARATOR)
+    if prefixes:
+        raw = F.filter(raw, lambda w: reduce(lambda a, b: a | b, [w.startswith(p) for p in prefixes]))
     kept = F.filter(raw, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
     return F.transform(kept, lambda w: F.regexp_replace(w, ENDING, "$1"))
 

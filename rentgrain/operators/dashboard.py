@@ -17,6 +17,7 @@ from ..functions.columns import (
     percentage,
     unpaid,
 )
+from ..functions.paging import at_least_kth
 from ..schema import MONEY_TOTAL, Tables
 from . import definitions as d
 from . import reports as r
@@ -50,8 +51,7 @@ def dashboard_summary(t: Tables, as_of: date) -> DataFrame:
 def recent_maintenance(t: Tables, limit: int = 8) -> DataFrame:
     """The newest requests with their property and unit."""
     return (
-        request_rows(t)
-        .orderBy(F.desc("created_at"), "request_id")
+        newest_requests(t, limit)
         .limit(limit)
         .select(
             "request_id", "property_name", "unit_number", "title", "priority", "request_status", "created_at"
@@ -59,12 +59,17 @@ def recent_maintenance(t: Tables, limit: int = 8) -> DataFrame:
     )
 
 
-def request_rows(t: Tables) -> DataFrame:
-    """Requests with unit and property names."""
+def newest_requests(t: Tables, at_least: int) -> DataFrame:
+    """Requests with unit and property names, newest first, at least the given number if there are."""
+    placed = t.units.select("unit_id", "property_id", "unit_number").join(
+        t.properties.select("property_id", "property_name"), "property_id"
+    )
+    latest = at_least_kth(t.maintenance_requests.join(placed, "unit_id", "left_semi"), "created_at", at_least)
     return (
-        t.maintenance_requests.drop("description", "tenant_id", "updated_at")
-        .join(t.units.select("unit_id", "property_id", "unit_number"), "unit_id")
-        .join(t.properties.select("property_id", "property_name"), "property_id")
+        t.maintenance_requests.filter(latest)
+        .drop("description", "tenant_id", "updated_at")
+        .join(placed, "unit_id")
+        .orderBy(F.desc("created_at"), "request_id")
     )
 
 

@@ -20,6 +20,7 @@ from ..functions.columns import (
     or_zero,
     unpaid,
 )
+from ..functions.paging import at_least_kth
 from ..functions.prefix import running_sum
 from ..schema import Tables
 from . import definitions as d
@@ -50,7 +51,8 @@ def payment_collection_category(t: Tables, as_of: date, limit: int = 100) -> Dat
     """The latest charges with a business-friendly category."""
     status = F.col("payment_status")
     return (
-        t.payments.orderBy(F.desc("due_date"), "payment_id")
+        t.payments.filter(at_least_kth(t.payments, "due_date", limit))
+        .orderBy(F.desc("due_date"), "payment_id")
         .limit(limit)
         .select(
             "payment_reference",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import full_name
-from ..functions.paging import DEFAULT_PAGE_SIZE, page_of
+from ..functions.paging import DEFAULT_PAGE_SIZE, at_least_kth, page_of, rows_through
 from ..schema import Tables
 from . import dashboard
 from . import definitions as d
@@ -73,7 +73,9 @@ def leases_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) ->
         "lease_id", "tenant_id", "unit_id", "start_date", "end_date", "monthly_rent", "lease_status"
     )
     tenants = t.tenants.select("tenant_id", full_name().alias("tenant_name"))
-    ordered = r.lease_context(t, leases, tenants).orderBy(F.desc("end_date"), "lease_id")
+    kept = r.lease_context(t, t.leases.select("unit_id", "tenant_id", "end_date"), tenants)
+    latest = at_least_kth(kept, "end_date", rows_through(page, page_size))
+    ordered = r.lease_context(t, leases.filter(latest), tenants).orderBy(F.desc("end_date"), "lease_id")
     return page_of(ordered, page, page_size).select(
         "lease_id",
         "tenant_name",
@@ -90,8 +92,12 @@ def payments_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE)
     """Charges with names, latest due first."""
     tenants = t.tenants.select("tenant_id", full_name().alias("tenant_name"))
     context = r.lease_context(t, t.leases.select("lease_id", "tenant_id", "unit_id"), tenants)
-    ordered = t.payments.join(context.select("lease_id", "tenant_name", "property_name"), "lease_id").orderBy(
-        F.desc("due_date"), F.desc("payment_id")
+    kept = t.payments.join(context, "lease_id", "left_semi")
+    latest = at_least_kth(kept, "due_date", rows_through(page, page_size))
+    ordered = (
+        t.payments.filter(latest)
+        .join(context.select("lease_id", "tenant_name", "property_name"), "lease_id")
+        .orderBy(F.desc("due_date"), F.desc("payment_id"))
     )
     return page_of(ordered, page, page_size).select(
         "payment_id",
@@ -109,7 +115,7 @@ def payments_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE)
 
 def maintenance_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Requests with unit and property, newest first."""
-    ordered = dashboard.request_rows(t).orderBy(F.desc("created_at"), "request_id")
+    ordered = dashboard.newest_requests(t, rows_through(page, page_size))
     return page_of(ordered, page, page_size).select(
         "request_id",
         "property_name",

@@ -17,6 +17,7 @@ from ..functions.columns import (
     next_month,
     unpaid,
 )
+from ..functions.paging import at_least_kth
 from ..schema import MONEY_TOTAL, Tables
 from . import definitions as d
 
@@ -92,8 +93,11 @@ def tenant_payment_history(t: Tables, tenant_id: int | None = None, limit: int =
     if tenant_id is not None:
         leases = leases.filter(F.col("tenant_id") == tenant_id)
         tenants = tenants.filter(F.col("tenant_id") == tenant_id)
+    context = lease_context(t, leases, tenants)
+    latest = at_least_kth(t.payments.join(context, "lease_id", "left_semi"), "due_date", limit)
     return (
-        t.payments.select(
+        t.payments.filter(latest)
+        .select(
             "payment_id",
             "lease_id",
             "due_date",
@@ -103,7 +107,7 @@ def tenant_payment_history(t: Tables, tenant_id: int | None = None, limit: int =
             "payment_status",
             "payment_method",
         )
-        .join(lease_context(t, leases, tenants), "lease_id")
+        .join(context, "lease_id")
         .orderBy(F.desc("due_date"), "tenant_name", "payment_id")
         .limit(limit)
         .select(

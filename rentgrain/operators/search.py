@@ -72,7 +72,7 @@ def text_search(requests: DataFrame, units: DataFrame, query: str, limit: int =
     score = reduce(lambda a, b: a + b, [_repeats(count) for count in counts], F.lit(0.0))
     return (
         requests.filter(likely)
-        .withColumn("words", words(searched_text()))
+        .withColumn("words", words(searched_text(), prefixes=terms))
         .filter(found)
         .select(*[c for c in RESULT if c not in ("property_id", "rank")], _rank(score, max(len(terms), 1)))
         .join(units.select("unit_id", "property_id"), "unit_id")

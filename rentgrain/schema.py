@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -176,9 +176,11 @@ WORK_ORDER_STATUSES = ("assigned", "scheduled", "in_progress", "completed", "can
 SETTLED_REQUESTS = ("closed", "cancelled")
 
 
-@dataclass(frozen=True)
 class Tables:
-    """One consistent snapshot of the portfolio, a DataFrame per table."""
+    """One consistent snapshot of the portfolio, a DataFrame per table as attribute.
+
+    A table may be given as a function; it is called when the table is first used.
+    """
 
     properties: DataFrame
     units: DataFrame
@@ -188,13 +190,27 @@ class Tables:
     maintenance_requests: DataFrame
     vendors: DataFrame
     work_orders: DataFrame
-    audit_logs: DataFrame | None = None
-
-    def with_(self, **changed: DataFrame) -> "Tables":
+    audit_logs: DataFrame
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]) -> None:
+        unknown = set(tables) - set(SCHEMAS)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self._tables = tables
+
+    def __getattr__(self, name: str) -> DataFrame:
+        try:
+            table = self.__dict__["_tables"][name]
+        except KeyError:
+            raise AttributeError(name) from None
+        if callable(table):
+            table = self._tables[name] = table()
+        return table
+
+    def with_(self, **changed: DataFrame | Callable[[], DataFrame]) -> "Tables":
         """A copy with some tables replaced."""
-        return replace(self, **changed)
+        return Tables(**(self._tables | changed))
 
     def items(self) -> list[tuple[str, DataFrame]]:
         """(name, frame) of every table that is present, in declaration order."""
-        pairs = ((f.name, getattr(self, f.name)) for f in fields(self))
-        return [(name, frame) for name, frame in pairs if frame is not None]
+        return [(name, getattr(self, name)) for name in SCHEMAS if name in self._tables]

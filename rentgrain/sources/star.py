@@ -17,18 +17,18 @@ work_orders               events whose request has been dispatched
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import MONEY, Tables
+from ..schema import Tables
 
 AS_OF = date(1998, 7, 1)
 
 _EPOCH = "TIMESTAMP '1995-01-01 00:00:00'"
 
-
 # Declared, so that opening a file starts no job to infer its schema.
 STAR_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -51,231 +51,240 @@ def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def row_count(df: DataFrame) -> Column:
+def _count(spark: SparkSession, folder: str, name: str) -> Column:
     """Row count as a scalar subquery (one row, computed from file footers)."""
-    return df.agg(F.count("*")).scalar()
-
-
-def _money(column: str) -> Column:
-    return F.col(column).cast(MONEY)
+    return _read(spark, folder, name).agg(F.count("*")).scalar()
 
 
-def _request_status(key: str) -> Column:
-    step = F.col(key) % 10
-    named = ("open", "assigned", "in_progress", "on_hold", "cancelled")
-    status = F.when(step == 0, named[0])
-    for number, name in enumerate(named[1:], start=1):
-        status = status.when(step == number, name)
-    return status.otherwise("closed")
+def _request_status(key: str) -> str:
+    return (
+        f"CASE {key} % 10 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' WHEN 2 THEN 'in_progress' "
+        "WHEN 3 THEN 'on_hold' WHEN 4 THEN 'cancelled' ELSE 'closed' END"
+    )
 
 
 def _properties(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("s_suppkey")
     return (
         _read(spark, folder, "supplier")
-        .join(_read(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-        .join(_read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(
-            key.alias("property_id"),
-            F.concat(F.lit("PROP-"), F.lpad(key.cast("string"), 9, "0")).alias("property_code"),
-            F.col("s_name").alias("property_name"),
-            F.concat((key * 17 + 100).cast("string"), F.lit(" Main Street")).alias("address_line1"),
-            F.col("n_name").alias("city"),
-            F.substring("r_name", 1, 2).alias("state_code"),
-            (F.col("s_nationkey") * 13 + 75000).cast("string").alias("postal_code"),
-            F.concat(F.lit("Manager "), (key % 5).cast("string")).alias("manager_name"),
-            F.date_add(F.lit(date(1990, 1, 1)), (key % 2000).cast("int")).alias("acquisition_date"),
-            (key % 9 != 7).alias("is_active"),
-            F.expr(_EPOCH).alias("created_at"),
-            F.expr(_EPOCH).alias("updated_at"),
+        .join(_read(spark, folder, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
+        .join(_read(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+        .selectExpr(
+            "s_suppkey AS property_id",
+            "concat('PROP-', lpad(s_suppkey, 9, '0')) AS property_code",
+            "s_name AS property_name",
+            "concat(s_suppkey * 17 + 100, ' Main Street') AS address_line1",
+            "n_name AS city",
+            "left(r_name, 2) AS state_code",
+            "string(s_nationkey * 13 + 75000) AS postal_code",
+            "concat('Manager ', s_suppkey % 5) AS manager_name",
+            "date_add(DATE '1990-01-01', int(s_suppkey % 2000)) AS acquisition_date",
+            "s_suppkey % 9 <> 7 AS is_active",
+            f"{_EPOCH} AS created_at",
+            f"{_EPOCH} AS updated_at",
         )
     )
 
 
 def _units(spark: SparkSession, folder: str) -> DataFrame:
-    key, size = F.col("p_partkey"), F.col("p_size")
     # The last property gets no units.
-    with_units = row_count(_read(spark, folder, "supplier")) - 1
-    return _read(spark, folder, "part").select(
-        key.alias("unit_id"),
-        (key % with_units).alias("property_id"),
-        F.concat("p_name", F.lit("-"), key.cast("string")).alias("unit_number"),
-        (size % 5).cast("short").alias("bedrooms"),
-        (1 + (size % 4) * F.lit(0.5)).cast("decimal(3,1)").alias("bathrooms"),
-        (500 + size * 10).cast("int").alias("square_feet"),
-        _money("p_retailprice").alias("market_rent"),
-        F.when(size <= 30, "occupied")
-        .when(size <= 46, "vacant")
-        .when(size <= 48, "maintenance")
-        .otherwise("offline")
-        .alias("unit_status"),
-        F.expr(_EPOCH).alias("created_at"),
-        F.expr(_EPOCH).alias("updated_at"),
+    with_units = _count(spark, folder, "supplier") - 1
+    return (
+        _read(spark, folder, "part")
+        .withColumn("property_id", F.col("p_partkey") % with_units)
+        .selectExpr(
+            "p_partkey AS unit_id",
+            "property_id",
+            "concat(p_name, '-', p_partkey) AS unit_number",
+            "smallint(p_size % 5) AS bedrooms",
+            "CAST(1 + p_size % 4 * 0.5 AS DECIMAL(3,1)) AS bathrooms",
+            "500 + p_size * 10 AS square_feet",
+            "CAST(p_retailprice AS DECIMAL(12,2)) AS market_rent",
+            "CASE WHEN p_size > 48 THEN 'offline' WHEN p_size > 46 THEN 'maintenance' "
+            "WHEN p_size > 30 THEN 'vacant' ELSE 'occupied' END AS unit_status",
+            f"{_EPOCH} AS created_at",
+            f"{_EPOCH} AS updated_at",
+        )
     )
 
 
 def _tenants(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("c_custkey")
-    return _read(spark, folder, "customer").select(
-        key.alias("tenant_id"),
-        F.col("c_name").alias("first_name"),
-        F.col("c_mktsegment").alias("last_name"),
-        F.concat(F.lit("tenant"), key.cast("string"), F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("+1-512-"), F.lpad(key.cast("string"), 9, "0")).alias("phone"),
-        F.when(F.col("c_acctbal") >= 0, F.concat(F.lit("Contact "), key.cast("string"))).alias("emergency_contact"),
-        F.expr(_EPOCH).alias("created_at"),
-        F.expr(_EPOCH).alias("updated_at"),
+    return _read(spark, folder, "customer").selectExpr(
+        "c_custkey AS tenant_id",
+        "c_name AS first_name",
+        "c_mktsegment AS last_name",
+        "concat('tenant', c_custkey, '@example.com') AS email",
+        "concat('+1-512-', lpad(c_custkey, 9, '0')) AS phone",
+        "IF(c_acctbal >= 0, concat('Contact ', c_custkey), NULL) AS emergency_contact",
+        f"{_EPOCH} AS created_at",
+        f"{_EPOCH} AS updated_at",
     )
 
 
 def _leases(spark: SparkSession, folder: str) -> DataFrame:
-    key, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
-    return _read(spark, folder, "orders").select(
-        key.alias("lease_id"),
-        (key % row_count(_read(spark, folder, "part"))).alias("unit_id"),
-        F.col("o_custkey").alias("tenant_id"),
-        start.alias("start_date"),
-        F.date_add(start, (30 + key % 500).cast("int")).alias("end_date"),
-        _money("o_totalprice").alias("monthly_rent"),
-        _money("o_totalprice").alias("security_deposit"),
-        F.when(F.col("o_orderstatus") == "F", "expired").otherwise("active").alias("lease_status"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
-        F.col("o_orderdate").cast("timestamp").alias("updated_at"),
+    return (
+        _read(spark, folder, "orders")
+        .withColumn("unit_id", F.col("o_orderkey") % _count(spark, folder, "part"))
+        .selectExpr(
+            "o_orderkey AS lease_id",
+            "unit_id",
+            "o_custkey AS tenant_id",
+            "date(o_orderdate) AS start_date",
+            "date_add(o_orderdate, int(30 + o_orderkey % 500)) AS end_date",
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS monthly_rent",
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS security_deposit",
+            "IF(o_orderstatus = 'F', 'expired', 'active') AS lease_status",
+            "timestamp(o_orderdate) AS created_at",
+            "timestamp(o_orderdate) AS updated_at",
+        )
     )
 
 
-def _payments(spark: SparkSession, folder: str) -> DataFrame:
-    due, amount, line = F.col("l_shipdate").cast("date"), _money("l_extendedprice"), F.col("l_linenumber")
-    open_charge = F.col("l_returnflag") == "R"
-    part_paid = F.col("l_discount") >= 0.08
-    reference = F.concat_ws(
-        "-",
-        F.lit("PAY"),
-        "l_orderkey",
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
-        F.date_format(due, "yyyyMMdd"),
+# Columns that together identify a line, and two rows of factors for a surrogate key.
+_LINE_KEY = (
+    "l_orderkey",
+    "l_partkey",
+    "l_suppkey",
+    "bigint(l_linenumber)",
+    "bigint(datediff(l_shipdate, DATE '1970-01-01'))",
+)
+KEY_MODULUS = 2_147_483_647
+KEY_FACTORS = (
+    (1_103_515_245, 69_069_931, 16_807_003, 48_271_019, 1_664_525_083),
+    (214_013_123, 1_812_433_253, 22_695_477, 134_775_813, 1_140_671_485),
+)
+
+
+def line_key(columns: tuple[str, ...] = _LINE_KEY) -> str:
+    """A 62-bit surrogate key: two linear hashes of the line's columns side by side.
+
+    Plain integer arithmetic that cannot overflow and reads the same in every SQL engine.
+    """
+    high, low = (
+        "(" + " + ".join(f"({c} % {KEY_MODULUS}) * {f} % {KEY_MODULUS}" for c, f in zip(columns, factors)) + ")"
+        for factors in KEY_FACTORS
+    )
+    return f"{high} % {KEY_MODULUS} * {KEY_MODULUS} + {low} % {KEY_MODULUS}"
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    return _read(spark, folder, "lineitem").withColumns(
+        {
+            "payment_id": F.expr(line_key()),
+            "amount_due": F.col("l_extendedprice").cast("decimal(12,2)"),
+            "payment_status": F.expr(
+                "CASE WHEN l_returnflag = 'R' THEN IF(l_quantity >= 49, 'waived', 'pending') "
+                "WHEN l_discount >= 0.08D THEN 'partial' WHEN l_tax >= 0.07D THEN 'late' ELSE 'paid' END"
+            ),
+        }
     )
-    return _read(spark, folder, "lineitem").select(
-        F.conv(F.substring(F.md5(reference), 1, 15), 16, 10).cast("long").alias("payment_id"),
-        F.col("l_orderkey").alias("lease_id"),
-        reference.alias("payment_reference"),
-        due.alias("due_date"),
-        F.when(~open_charge, F.date_add(due, 2 + line)).alias("paid_date"),
-        amount.alias("amount_due"),
-        F.when(open_charge, F.lit(0))
-        .when(part_paid, F.round(amount * F.lit("0.55").cast("decimal(3,2)"), 2))
-        .otherwise(amount)
-        .cast(MONEY)
-        .alias("amount_paid"),
-        F.when(open_charge & (F.col("l_quantity") >= 49), "waived")
-        .when(open_charge, "pending")
-        .when(part_paid, "partial")
-        .when(F.col("l_tax") >= 0.07, "late")
-        .otherwise("paid")
-        .alias("payment_status"),
-        F.when(
-            ~open_charge,
-            F.when(line % 4 == 0, "ach").when(line % 4 == 1, "card").when(line % 4 == 2, "check").otherwise("bank_transfer"),
-        ).alias("payment_method"),
-        F.col("l_shipdate").cast("timestamp").alias("created_at"),
-        F.col("l_shipdate").cast("timestamp").alias("updated_at"),
+
+
+def _payments(spark: SparkSession, folder: str) -> DataFrame:
+    nothing_paid = "payment_status IN ('waived', 'pending')"
+    return _lines(spark, folder).selectExpr(
+        "payment_id",
+        "l_orderkey AS lease_id",
+        "concat_ws('-', 'PAY', l_orderkey, l_linenumber, l_partkey, l_suppkey, date_format(l_shipdate, 'yyyyMMdd')) "
+        "AS payment_reference",
+        "date(l_shipdate) AS due_date",
+        f"IF({nothing_paid}, NULL, date_add(l_shipdate, 2 + l_linenumber)) AS paid_date",
+        "amount_due",
+        f"CAST(CASE WHEN {nothing_paid} THEN 0 WHEN payment_status = 'partial' THEN round(amount_due * 0.55, 2) "
+        "ELSE amount_due END AS DECIMAL(12,2)) AS amount_paid",
+        "payment_status",
+        f"IF({nothing_paid}, NULL, element_at(array('ach', 'card', 'check', 'bank_transfer'), l_linenumber % 4 + 1)) "
+        "AS payment_method",
+        "timestamp(l_shipdate) AS created_at",
+        "timestamp(l_shipdate) AS updated_at",
     )
 
 
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    key, kind = F.col("event_id"), F.col("event_type")
-    opened = F.col("ts").cast("timestamp")
-    status = _request_status("event_id")
-    return _read(spark, folder, "events").select(
-        key.alias("request_id"),
-        (key * 17 % row_count(_read(spark, folder, "part"))).alias("unit_id"),
-        F.when(key % 11 != 0, F.col("user_id")).alias("tenant_id"),
-        F.concat(kind, F.lit(" request")).alias("title"),
-        F.concat(F.lit("Reported by user "), F.col("user_id").cast("string"), F.lit(" "), F.col("props")).alias(
-            "description"
-        ),
-        F.when(kind == "error", "emergency")
-        .when(kind == "signup", "high")
-        .when(kind == "purchase", "medium")
-        .otherwise("low")
-        .alias("priority"),
-        status.alias("request_status"),
-        opened.alias("created_at"),
-        F.when(status == "closed", _plus_hours(opened, F.col("value"))).alias("closed_at"),
-        opened.alias("updated_at"),
+    return (
+        _read(spark, folder, "events")
+        .withColumn("unit_id", F.col("event_id") * 17 % _count(spark, folder, "part"))
+        .selectExpr(
+            "event_id AS request_id",
+            "unit_id",
+            "IF(event_id % 11 = 0, NULL, user_id) AS tenant_id",
+            "concat(event_type, ' request') AS title",
+            "concat('Reported by user ', user_id, ' ', props) AS description",
+            "CASE event_type WHEN 'error' THEN 'emergency' WHEN 'signup' THEN 'high' WHEN 'purchase' THEN 'medium' "
+            "ELSE 'low' END AS priority",
+            f"{_request_status('event_id')} AS request_status",
+            "timestamp(ts) AS created_at",
+            "IF(event_id % 10 > 4, timestamp(ts) + make_dt_interval(0, 0, 0, floor(value * 3600)), NULL) AS closed_at",
+            "timestamp(ts) AS updated_at",
+        )
     )
 
 
-def _plus_hours(start: Column, hours: Column) -> Column:
-    return F.timestamp_micros(F.unix_micros(start) + F.floor(hours * 3600) * 1_000_000)
+# Vendor specialties.
+SPECIALTIES = ("Plumbing", "Electrical", "HVAC", "Appliance", "Carpentry", "Cleaning", "Landscaping", "General")
 
 
 def _vendors(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    # Vendor specialties.
-    specialties = [
-        "Plumbing",
-        "Electrical",
-        "HVAC",
-        "Appliance",
-        "Carpentry",
-        "Cleaning",
-        "Landscaping",
-        "General",
-    ]
-    return _read(spark, folder, "nation").select(
-        key.cast("long").alias("vendor_id"),
-        F.col("n_name").alias("vendor_name"),
-        F.element_at(F.array(*[F.lit(s) for s in specialties]), (key % 8 + 1).cast("int")).alias("specialty"),
-        F.concat(F.lit("dispatch"), key.cast("string"), F.lit("@vendor.example")).alias("email"),
-        F.concat(F.lit("+1-469-"), F.lpad(key.cast("string"), 4, "0")).alias("phone"),
-        (55 + (key % 8) * F.lit(8.5)).cast("decimal(10,2)").alias("hourly_rate"),
-        F.lit(True).alias("is_active"),
-        F.expr(_EPOCH).alias("created_at"),
+    return _read(spark, folder, "nation").selectExpr(
+        "bigint(n_nationkey) AS vendor_id",
+        "n_name AS vendor_name",
+        f"element_at(array{SPECIALTIES}, n_nationkey % 8 + 1) AS specialty",
+        "concat('dispatch', n_nationkey, '@vendor.example') AS email",
+        "concat('+1-469-', lpad(n_nationkey, 4, '0')) AS phone",
+        "CAST(55 + n_nationkey % 8 * 8.5 AS DECIMAL(10,2)) AS hourly_rate",
+        "true AS is_active",
+        f"{_EPOCH} AS created_at",
     )
 
 
-def _work_orders(spark: SparkSession, requests: DataFrame, vendors: Column) -> DataFrame:
-    key, status = F.col("request_id"), F.col("request_status")
-    assigned = F.col("created_at") + F.expr("INTERVAL 2 HOURS")
+def _work_orders(spark: SparkSession, folder: str) -> DataFrame:
     # Some closed requests keep an unfinished order, as in real operations.
-    done = (status == "closed") & (key % 10 != 9)
-    return requests.filter(status != "on_hold").select(
-        key.alias("work_order_id"),
-        key.alias("request_id"),
-        F.when(key % 13 != 0, key * 7 % vendors).alias("vendor_id"),
-        assigned.alias("assigned_at"),
-        F.date_add(F.col("created_at").cast("date"), 1).alias("scheduled_date"),
-        F.when(done, F.greatest("closed_at", assigned)).alias("completed_at"),
-        F.when(done, 65 + key % 12 * 22).otherwise(0).cast(MONEY).alias("labor_cost"),
-        F.when(done, 15 + key % 9 * 18).otherwise(0).cast(MONEY).alias("material_cost"),
-        F.when(done, "completed")
-        .when(status.isin("closed", "in_progress"), "in_progress")
-        .when(status == "assigned", "scheduled")
-        .when(status == "cancelled", "cancelled")
-        .otherwise("assigned")
-        .alias("work_order_status"),
-        F.concat(F.lit("Order for request "), key.cast("string")).alias("notes"),
-        assigned.alias("created_at"),
-        assigned.alias("updated_at"),
+    return (
+        _requests(spark, folder)
+        .filter("request_status <> 'on_hold'")
+        .withColumn("vendor", F.col("request_id") * 7 % _count(spark, folder, "nation"))
+        .selectExpr(
+            "*",
+            "created_at + INTERVAL 2 HOURS AS assigned_at",
+            "request_status = 'closed' AND request_id % 10 <> 9 AS done",
+        )
+        .selectExpr(
+            "request_id AS work_order_id",
+            "request_id",
+            "IF(request_id % 13 = 0, NULL, vendor) AS vendor_id",
+            "assigned_at",
+            "date_add(created_at, 1) AS scheduled_date",
+            "IF(done, greatest(closed_at, assigned_at), NULL) AS completed_at",
+            "CAST(IF(done, 65 + request_id % 12 * 22, 0) AS DECIMAL(12,2)) AS labor_cost",
+            "CAST(IF(done, 15 + request_id % 9 * 18, 0) AS DECIMAL(12,2)) AS material_cost",
+            "CASE WHEN done THEN 'completed' WHEN request_status IN ('closed', 'in_progress') THEN 'in_progress' "
+            "WHEN request_status = 'assigned' THEN 'scheduled' WHEN request_status = 'cancelled' THEN 'cancelled' "
+            "ELSE 'assigned' END AS work_order_status",
+            "concat('Order for request ', request_id) AS notes",
+            "assigned_at AS created_at",
+            "assigned_at AS updated_at",
+        )
     )
 
 
+_BUILDERS = {
+    "properties": _properties,
+    "units": _units,
+    "tenants": _tenants,
+    "leases": _leases,
+    "payments": _payments,
+    "maintenance_requests": _requests,
+    "vendors": _vendors,
+    "work_orders": _work_orders,
+}
+
+
 def star_tables(spark: SparkSession, folder: str) -> Tables:
-    """The canonical tables over the star files in ``folder``."""
-    requests = _requests(spark, folder)
-    return Tables(
-        properties=_properties(spark, folder),
-        units=_units(spark, folder),
-        tenants=_tenants(spark, folder),
-        leases=_leases(spark, folder),
-        payments=_payments(spark, folder),
-        maintenance_requests=requests,
-        vendors=_vendors(spark, folder),
-        work_orders=_work_orders(spark, requests, row_count(_read(spark, folder, "nation"))),
-    )
+    """The canonical tables over the star files in ``folder``; each is set up when first used."""
+
+    def later(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[], DataFrame]:
+        return lambda: build(spark, folder)
+
+    return Tables(**{name: later(build) for name, build in _BUILDERS.items()})
 
 
 def damaged_tables(spark: SparkSession, folder: str) -> Tables:
@@ -285,114 +294,116 @@ def damaged_tables(spark: SparkSession, folder: str) -> Tables:
     values break a constraint.
     """
     clean = star_tables(spark, folder)
-    replayed = clean.payments.filter(F.col("lease_id") % 500 == 0).select(
-        (-F.col("payment_id") - 1).alias("payment_id"),
-        "lease_id",
-        F.concat("payment_reference", F.lit("-RETRY")).alias("payment_reference"),
-        *clean.payments.columns[3:],
-    )
-    lease, request = F.col("lease_id"), F.col("request_id")
+
+    def payments() -> DataFrame:
+        amount = F.expr("CAST(IF(lease_id % 101 = 1, amount_due + 1, amount_paid) AS DECIMAL(12,2))")
+        replayed = clean.payments.filter("lease_id % 500 = 0").withColumns(
+            {
+                "payment_id": -F.col("payment_id") - 1,
+                "payment_reference": F.concat("payment_reference", F.lit("-RETRY")),
+            }
+        )
+        return clean.payments.withColumn("amount_paid", amount).unionByName(replayed)
+
+    def leases() -> DataFrame:
+        inverted = F.expr("IF(lease_id % 101 = 0, start_date, end_date)")
+        return clean.leases.filter("lease_id % 83 <> 0").withColumn("end_date", inverted)
+
+    def requests() -> DataFrame:
+        closed = F.expr("CASE request_id % 101 WHEN 0 THEN NULL WHEN 1 THEN created_at ELSE closed_at END")
+        return clean.maintenance_requests.filter("request_id % 79 <> 0").withColumn("closed_at", closed)
+
     return clean.with_(
-        tenants=clean.tenants.filter(F.col("tenant_id") % 97 != 0),
-        units=clean.units.filter(F.col("unit_id") % 89 != 0),
-        leases=clean.leases.filter(lease % 83 != 0).withColumn(
-            "end_date", F.when(lease % 101 == 0, F.col("start_date")).otherwise(F.col("end_date"))
-        ),
-        payments=clean.payments.withColumn(
-            "amount_paid",
-            F.when(lease % 101 == 1, F.col("amount_due") + 1).otherwise(F.col("amount_paid")).cast(MONEY),
-        ).unionByName(replayed),
-        maintenance_requests=clean.maintenance_requests.filter(request % 79 != 0).withColumn(
-            "closed_at",
-            F.when(request % 101 == 0, F.lit(None)).when(request % 101 == 1, F.col("created_at")).otherwise(F.col("closed_at")),
-        ),
+        tenants=lambda: clean.tenants.filter("tenant_id % 97 <> 0"),
+        units=lambda: clean.units.filter("unit_id % 89 <> 0"),
+        leases=leases,
+        payments=payments,
+        maintenance_requests=requests,
     )
 
 
 def document_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Maintenance requests whose description is a long text, for the text search."""
-    key = F.col("doc_id")
-    status = _request_status("doc_id")
-    opened = F.timestamp_seconds(F.lit(1_704_067_200) + key * 60)
-    return _read(spark, folder, "documents").select(
-        key.alias("request_id"),
-        (key * 17 % row_count(_read(spark, folder, "part"))).alias("unit_id"),
-        F.lit(None).cast("long").alias("tenant_id"),
-        F.concat(F.col("source"), F.lit(" "), F.col("lang")).alias("title"),
-        F.col("text").alias("description"),
-        F.lit("medium").alias("priority"),
-        status.alias("request_status"),
-        opened.alias("created_at"),
-        F.when(status == "closed", opened).alias("closed_at"),
-        opened.alias("updated_at"),
+    opened = "timestamp_seconds(1704067200 + doc_id * 60)"
+    return (
+        _read(spark, folder, "documents")
+        .withColumn("unit_id", F.col("doc_id") * 17 % _count(spark, folder, "part"))
+        .selectExpr(
+            "doc_id AS request_id",
+            "unit_id",
+            "CAST(NULL AS BIGINT) AS tenant_id",
+            "concat(source, ' ', lang) AS title",
+            "text AS description",
+            "'medium' AS priority",
+            f"{_request_status('doc_id')} AS request_status",
+            f"{opened} AS created_at",
+            f"IF(doc_id % 10 > 4, {opened}, NULL) AS closed_at",
+            f"{opened} AS updated_at",
+        )
     )
 
 
 def lease_proposals(spark: SparkSession, folder: str) -> DataFrame:
     """Renewal proposals, one per order; a few name unknown parties or break a rule."""
-    key, start = F.col("o_orderkey"), F.date_add(F.col("o_orderdate").cast("date"), 200)
-    units = row_count(_read(spark, folder, "part"))
-    tenants = row_count(_read(spark, folder, "customer"))
-    return _read(spark, folder, "orders").select(
-        key.alias("proposal_id"),
-        (key * 31 % (units + 20)).alias("unit_id"),
-        (key * 7 % (tenants + 5)).alias("tenant_id"),
-        start.alias("start_date"),
-        F.date_add(start, (key % 400 - 4).cast("int")).alias("end_date"),
-        F.when(key % 43 == 0, F.lit(0)).otherwise(F.col("o_totalprice")).cast(MONEY).alias("monthly_rent"),
-        F.when(key % 47 == 0, F.lit(-1)).when(key % 3 == 0, F.col("o_totalprice")).cast(MONEY).alias("deposit"),
+    key = F.col("o_orderkey")
+    return (
+        _read(spark, folder, "orders")
+        .withColumn("unit_id", key * 31 % (_count(spark, folder, "part") + 20))
+        .withColumn("tenant_id", key * 7 % (_count(spark, folder, "customer") + 5))
+        .selectExpr(
+            "o_orderkey AS proposal_id",
+            "unit_id",
+            "tenant_id",
+            "date_add(o_orderdate, 200) AS start_date",
+            "date_add(o_orderdate, int(196 + o_orderkey % 400)) AS end_date",
+            "CAST(IF(o_orderkey % 43 = 0, 0D, o_totalprice) AS DECIMAL(12,2)) AS monthly_rent",
+            "CAST(CASE WHEN o_orderkey % 47 = 0 THEN -1D WHEN o_orderkey % 3 = 0 THEN o_totalprice END "
+            "AS DECIMAL(12,2)) AS deposit",
+        )
     )
 
 
+# The requested targets, one of them unknown.
+TARGETS = ("open", "assigned", "in_progress", "on_hold", "closed", "cancelled", "reopened")
+
+
 def status_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Status changes asked for by three roles; many per request."""
-    key = F.col("event_id")
-    # The requested targets, one of them unknown.
-    targets = ["open", "assigned", "in_progress", "on_hold", "closed", "cancelled", "reopened"]
-    return _read(spark, folder, "events").select(
-        key.alias("event_id"),
-        F.floor(key * 3 / 4).alias("request_id"),
-        F.when(key % 3 == 0, "vendor").when(key % 3 == 1, "tenant").otherwise("property_manager").alias("role"),
-        F.element_at(F.array(*[F.lit(t) for t in targets]), (key % 7 + 1).cast("int")).alias("new_status"),
-        (F.col("ts").cast("timestamp") + F.expr("INTERVAL 40 DAYS")).alias("event_ts"),
+    """Status changes asked for by three roles; some requests get several."""
+    return _read(spark, folder, "events").selectExpr(
+        "event_id",
+        "event_id * 3 DIV 4 AS request_id",
+        "element_at(array('vendor', 'tenant', 'property_manager'), int(event_id % 3 + 1)) AS role",
+        f"element_at(array{TARGETS}, int(event_id % 7 + 1)) AS new_status",
+        "timestamp(ts) + INTERVAL 40 DAYS AS event_ts",
     )
 
 
 def payment_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests to pay a charge, one or two per charge of the later line numbers."""
-    lines = _payments_with_line(spark, folder)
-    paid_at = F.col("created_at") + F.expr("INTERVAL 10 DAYS")
-    first = lines.filter(F.col("line") >= 5).select(
-        F.col("payment_id").alias("event_id"), "payment_id", paid_at.alias("event_ts")
-    )
-    again = lines.filter(F.col("line") >= 6).select(
-        (-F.col("payment_id") - 1).alias("event_id"),
-        F.col("payment_id"),
-        (paid_at + F.expr("INTERVAL 1 DAY")).alias("event_ts"),
+    """Requests to pay the charges with a line number from 5 on; from 6 on they come twice."""
+    paid_at = "timestamp(l_shipdate) + make_dt_interval(10 + attempt)"
+    return (
+        _lines(spark, folder)
+        .filter("l_linenumber >= 5")
+        .selectExpr("*", "explode(IF(l_linenumber >= 6, array(0, 1), array(0))) AS attempt")
+        .selectExpr("IF(attempt = 0, payment_id, -payment_id - 1) AS event_id", "payment_id", f"{paid_at} AS event_ts")
     )
-    return first.unionByName(again)
-
-
-def _payments_with_line(spark: SparkSession, folder: str) -> DataFrame:
-    reference = F.split(F.col("payment_reference"), "-")
-    return _payments(spark, folder).withColumn("line", F.element_at(reference, 3).cast("int"))
 
 
 def new_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Tickets opened in conversations: every user turn is one."""
-    key = F.col("conv_id") * 1000 + F.col("turn")
-    units = row_count(_read(spark, folder, "part"))
+    key = "(conv_id * 1000 + turn)"
     return (
         _read(spark, folder, "conversations")
-        .filter(F.col("role") == "user")
-        .select(
-            key.alias("event_id"),
-            (key % (units + 20)).alias("unit_id"),
-            F.col("text").alias("title"),
-            F.when(F.col("turn") > 0, F.concat(F.lit(" "), F.col("text"))).alias("description"),
-            F.when(key % 4 == 0, "HIGH").when(key % 4 == 1, "urgent").when(key % 4 == 2, "low").alias("priority"),
-            F.when(key % 5 != 0, F.col("conv_id") % 50).alias("tenant_id"),
-            F.timestamp_seconds(F.lit(1_709_251_200) + key).alias("event_ts"),
+        .filter("role = 'user'")
+        .withColumn("unit_id", F.expr(key) % (_count(spark, folder, "part") + 20))
+        .selectExpr(
+            f"{key} AS event_id",
+            "unit_id",
+            "text AS title",
+            "IF(turn > 0, concat(' ', text), NULL) AS description",
+            f"element_at(array('HIGH', 'urgent', ' low ', NULL), int({key} % 4 + 1)) AS priority",
+            f"IF({key} % 5 = 0, NULL, conv_id % 50) AS tenant_id",
+            f"timestamp_seconds(1709251200 + {key}) AS event_ts",
         )
     )
 
