@@ -42,11 +42,12 @@ def tenant_after(t: Tables, term: str) -> DataFrame:
 
 def payment_before(t: Tables) -> DataFrame:
     """Paid total per active lease as a correlated subquery; NULL without charges."""
-    paid = t.payments.filter(F.col("lease_id") == F.col("l.lease_id").outer()).select(
+    # Renaming the key first gives it an identity of its own in every use of the table.
+    active = t.leases.filter("lease_status = 'active'").select(F.col("lease_id").alias("held"))
+    paid = t.payments.filter(F.col("lease_id") == F.col("held").outer()).select(
         total(F.col("amount_paid")).alias("paid_total")
     )
-    active = t.leases.filter("lease_status = 'active'").alias("l")
-    return active.select("l.lease_id", paid.scalar().alias("paid_total"))
+    return active.select(F.col("held").alias("lease_id"), paid.scalar().alias("paid_total"))
 
 
 def payment_after(t: Tables) -> DataFrame:
