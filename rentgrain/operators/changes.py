@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.joins import flag, flag_known
 from ..functions.prefix import running_sum
 from ..schema import MONEY, PRIORITIES, REQUEST_STATUSES, Tables
 from . import definitions as d
@@ -37,12 +38,6 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _flag(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
-    """Add a boolean: does ``key`` occur in ``keys``?"""
-    present = keys.select(key).distinct().withColumn(name, F.lit(True))
-    return df.join(present, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
-
-
 def _numbered(df: DataFrame, accepted: Column, order: list[str]) -> DataFrame:
     """Add ``position`` among the accepted rows; the frame is materialised once on the way."""
     marked = df.withColumn("_one", accepted.cast("long"))
@@ -62,54 +57,52 @@ class Admission:
     rejects: DataFrame
 
 
-def overlapping_active(proposals: DataFrame, leases: DataFrame) -> DataFrame:
-    """(proposal_id, overlaps): active leases on the same unit that share a day with the proposal.
+def active_on_unit(proposals: DataFrame, leases: DataFrame) -> DataFrame:
+    """(proposal_id, overlaps, held): active leases of the proposal's unit, sharing a day with it and in all.
 
     No pair of proposal and lease is formed. A lease starts on or before its end, so
 
         overlaps = leases started by the proposal's last day
                    - leases ended before the proposal's first day
 
-    Starts and ends are counted per unit and calendar day, which bounds the rows per unit
-    by the length of the calendar however many leases a unit has.
+    Starts and ends are folded per unit and calendar day first, which bounds the rows per
+    unit by the length of the calendar however many leases or proposals a unit has.
     """
-    active = leases.filter("lease_status = 'active' AND end_date >= start_date").join(
-        proposals.select("unit_id").distinct(), "unit_id", "left_semi"
-    )
-    asked = proposals.select(
+    active = leases.filter("lease_status = 'active'")
+    # A lease that ends before it starts holds the unit but shares no day with anyone.
+    sound = F.expr("int(end_date >= start_date)")
+    measures = ["started", "ended", "held"]
+
+    def events(df: DataFrame, on: str, started: Column | int, ended: Column | int, held: int) -> DataFrame:
+        values = zip(measures, (started, ended, held))
+        return df.select("unit_id", F.col(on).alias("on"), *[F.lit(v).alias(name) for name, v in values])
+
+    def folded(df: DataFrame) -> DataFrame:
+        return df.groupBy("unit_id", "on").agg(*[F.sum(name).alias(name) for name in measures])
+
+    asked = proposals.selectExpr(
         "proposal_id",
         "unit_id",
-        F.explode(
-            F.array(
-                F.struct(F.col("end_date").alias("on"), F.lit(True).alias("last")),
-                F.struct(F.date_sub("start_date", 1).alias("on"), F.lit(False).alias("last")),
-            )
-        ).alias("ask"),
+        "explode(array(struct(end_date AS on, true AS last), struct(date_sub(start_date, 1) AS on, false AS last))) "
+        "AS ask",
     ).select("proposal_id", "unit_id", "ask.on", "ask.last")
-
-    def events(df: DataFrame, on: str, started: int, ended: int) -> DataFrame:
-        return df.select(
-            "unit_id", F.col(on).alias("on"), F.lit(started).alias("started"), F.lit(ended).alias("ended")
-        )
-
-    so_far = W.partitionBy("unit_id").orderBy("on")
-    calendar = (
-        events(active, "start_date", 1, 0)
-        .unionByName(events(active, "end_date", 0, 1))
-        .unionByName(events(asked, "on", 0, 0))
-        .groupBy("unit_id", "on")
-        .agg(F.sum("started").alias("started"), F.sum("ended").alias("ended"))
-        .select(
-            "unit_id",
-            "on",
-            F.sum("started").over(so_far).alias("started"),
-            F.sum("ended").over(so_far).alias("ended"),
-        )
+    changes = folded(events(active, "start_date", sound, 0, 1).unionByName(events(active, "end_date", 0, sound, 0)))
+    changes = changes.join(proposals.select("unit_id").distinct(), "unit_id", "left_semi")
+    unit = W.partitionBy("unit_id")
+    calendar = folded(changes.unionByName(events(asked, "on", 0, 0, 0))).select(
+        "unit_id",
+        "on",
+        F.sum("started").over(unit.orderBy("on")).alias("started"),
+        F.sum("ended").over(unit.orderBy("on")).alias("ended"),
+        F.sum("held").over(unit).alias("held"),
     )
     return (
         asked.join(calendar, ["unit_id", "on"])
         .groupBy("proposal_id")
-        .agg(F.sum(F.when(F.col("last"), F.col("started")).otherwise(-F.col("ended"))).alias("overlaps"))
+        .agg(
+            F.sum(F.when(F.col("last"), F.col("started")).otherwise(-F.col("ended"))).alias("overlaps"),
+            F.max("held").alias("held"),
+        )
     )
 
 
@@ -123,12 +116,11 @@ def decide_proposals(t: Tables, proposals: DataFrame) -> DataFrame:
     c = F.col
     required = ["unit_id", "tenant_id", "start_date", "end_date", "monthly_rent"]
     missing = F.greatest(*[c(name).isNull() for name in required])
-    active = t.leases.filter("lease_status = 'active'")
     checked = proposals.withColumn("deposit", F.coalesce("deposit", "monthly_rent"))
-    checked = _flag(checked, t.tenants, "tenant_id", "tenant_known")
-    checked = _flag(checked, t.units, "unit_id", "unit_known")
-    checked = _flag(checked, active, "unit_id", "unit_taken")
-    checked = checked.join(overlapping_active(proposals, t.leases), "proposal_id", "left")
+    checked = flag_known(checked, t.tenants, "tenant_id", "tenant_known")
+    checked = flag_known(checked, t.units, "unit_id", "unit_known")
+    checked = checked.join(active_on_unit(proposals, t.leases), "proposal_id", "left")
+    checked = checked.withColumn("unit_taken", F.coalesce(c("held") > 0, F.lit(False)))
     sound = (
         ~missing
         & (c("end_date") > c("start_date"))
@@ -205,7 +197,7 @@ def admit_leases(t: Tables, proposals: DataFrame, now: datetime) -> Admission:
         _at(now).alias("created_at"),
         _at(now).alias("updated_at"),
     )
-    taken = _flag(t.units, accepted, "unit_id", "_taken")
+    taken = flag(t.units, accepted, "unit_id", "_taken")
     units = _touch(
         taken, "unit_status", F.col("_taken"), F.lit("occupied"), now
     ).select(*t.units.columns)
@@ -271,22 +263,19 @@ class Applied:
     rejects: DataFrame
 
 
-def judge_status_events(requests: DataFrame, events: DataFrame) -> DataFrame:
-    """Events with normalised role and status and a ``reason``, NULL if they may be applied."""
+def judge_status_events(events: DataFrame) -> DataFrame:
+    """Events with normalised role and status and a ``reason``, NULL if the change is allowed."""
     role, status = F.lower(_stripped(F.col("role"))), F.lower(_stripped(F.col("new_status")))
     role = F.when(role == "operations", "property_manager").otherwise(role)
-    known = _flag(
-        events.withColumns({"role": role, "new_status": status}), requests, "request_id", "request_known"
-    )
+    cleaned = events.withColumns({"role": role, "new_status": status})
     role, status = F.col("role"), F.col("new_status")
     reason = (
         F.when(~F.coalesce(role.isin(*STATUS_ROLES), F.lit(False)), "role_not_allowed")
         .when(~F.coalesce(status.isin(*REQUEST_STATUSES), F.lit(False)), "unknown_status")
         .when((role == "vendor") & ~status.isin(*VENDOR_TARGETS), "not_for_vendor")
         .when((role == "tenant") & ~status.isin(*TENANT_TARGETS), "not_for_tenant")
-        .when(~F.col("request_known"), "unknown_request")
     )
-    return known.withColumn("reason", reason).drop("request_known")
+    return cleaned.withColumn("reason", reason)
 
 
 def apply_status_changes(requests: DataFrame, events: DataFrame) -> Applied:
@@ -294,17 +283,14 @@ def apply_status_changes(requests: DataFrame, events: DataFrame) -> Applied:
 
     A close time is set by the last closing event and survives a later reopening.
     """
-    judged = judge_status_events(requests, events)
+    judged = judge_status_events(events)
+    allowed = judged.filter("reason IS NULL")
     order = F.struct("event_ts", "event_id")
-    # One row per request whatever the number of its events.
-    outcome = (
-        judged.filter("reason IS NULL")
-        .groupBy("request_id")
-        .agg(
-            F.max(order).alias("_last"),
-            F.max_by("new_status", order).alias("_status"),
-            F.max(F.when(F.col("new_status") == "closed", F.col("event_ts"))).alias("_closed_at"),
-        )
+    # Folded before any join: one row per request whatever the number of its events.
+    outcome = allowed.groupBy("request_id").agg(
+        F.max(order).alias("_last"),
+        F.max_by("new_status", order).alias("_status"),
+        F.max(F.when(F.col("new_status") == "closed", F.col("event_ts"))).alias("_closed_at"),
     )
     moved = requests.join(outcome, "request_id", "left").withColumns(
         {
@@ -313,7 +299,11 @@ def apply_status_changes(requests: DataFrame, events: DataFrame) -> Applied:
             "updated_at": F.coalesce("_last.event_ts", "updated_at"),
         }
     )
-    return Applied(moved.select(*requests.columns), judged.filter("reason IS NOT NULL"))
+    unknown = allowed.join(requests.select("request_id"), "request_id", "left_anti")
+    rejects = judged.filter("reason IS NOT NULL").unionByName(
+        unknown.withColumn("reason", F.lit("unknown_request"))
+    )
+    return Applied(moved.select(*requests.columns), rejects)
 
 
 def apply_payments(payments: DataFrame, events: DataFrame) -> Applied:
@@ -350,7 +340,8 @@ def ingest_requests(t: Tables, events: DataFrame) -> Applied:
             "tenant_id": F.coalesce("tenant_id", F.lit(1)).cast("long"),
         }
     )
-    known = _flag(_flag(cleaned, t.units, "unit_id", "unit_known"), t.tenants, "tenant_id", "tenant_known")
+    known = flag_known(cleaned, t.units, "unit_id", "unit_known")
+    known = flag_known(known, t.tenants, "tenant_id", "tenant_known")
     reason = (
         F.when(F.col("unit_id").isNull() | F.col("title").isNull(), "missing_field")
         .when(F.length("title") > LONGEST_TITLE, "title_too_long")

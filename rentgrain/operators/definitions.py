@@ -22,6 +22,7 @@ from ..functions.columns import (
     percentage,
     total,
 )
+from ..functions.joins import flag
 from ..schema import Tables
 
 
@@ -51,12 +52,7 @@ def leased_units(t: Tables, as_of: date) -> DataFrame:
 
 def units_with_lease_flag(t: Tables, as_of: date) -> DataFrame:
     """All units with ``has_lease``; overlapping leases do not repeat a unit."""
-    leased = leased_units(t, as_of).withColumn("_leased", F.lit(True))
-    return (
-        t.units.join(leased, "unit_id", "left")
-        .withColumn("has_lease", F.coalesce("_leased", F.lit(False)))
-        .drop("_leased")
-    )
+    return flag(t.units, current_leases(t, as_of), "unit_id", "has_lease")
 
 
 def payments_per_unit(t: Tables, *sums: tuple[str, Column], keep: Column | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_spread
 from ..schema import Tables
 
 BUSINESS_KEY = ["lease_id", "due_date", "amount_due"]
@@ -22,14 +23,13 @@ def duplicate_payments(t: Tables, references_per_row: int = REFERENCES_PER_ROW)
     One row per group, as long as the group fits one array. A larger group (a replayed
     import can repeat one charge without limit) is spread over several rows, each with
     some of its references; together they hold all of them, and every row carries the
-    count of the whole group. The explicit repartition by the spread key leaves the join
-    below it free to split a skewed partition.
+    count of the whole group. At no point are all rows of a group in one task.
     """
     rows = t.payments.select(*BUSINESS_KEY, "payment_reference")
     groups = repeated_keys(rows, BUSINESS_KEY, "duplicate_count")
     spread = F.pmod(F.xxhash64("payment_reference"), F.ceil(F.col("duplicate_count") / references_per_row))
     return (
-        rows.join(groups, BUSINESS_KEY)
+        join_spread(rows, groups, BUSINESS_KEY, spread_by="payment_reference")
         .withColumn("spread", spread)
         .repartition(*BUSINESS_KEY, "spread")
         .groupBy(*BUSINESS_KEY, "spread", "duplicate_count")

@@ -14,12 +14,14 @@ from ..functions.columns import (
     day,
     full_name,
     in_month,
+    is_current,
     job_cost,
     mean_hours,
     micros_between,
     or_zero,
     unpaid,
 )
+from ..functions.joins import left_join_many
 from ..functions.paging import at_least_kth
 from ..functions.prefix import running_sum
 from ..schema import Tables
@@ -89,15 +91,15 @@ def unit_current_tenant(t: Tables, as_of: date) -> DataFrame:
     A unit with overlapping leases appears once per lease.
     """
     current = (
-        t.leases.filter("lease_status = 'active'")
-        .filter(day(as_of).between(F.col("start_date"), F.col("end_date")))
+        t.leases.filter(is_current(as_of))
         .select("lease_id", "unit_id", "tenant_id")
         .join(t.tenants.select("tenant_id", full_name().alias("tenant_name")), "tenant_id")
     )
+    units = t.units.select("unit_id", "property_id", "unit_number").join(
+        t.properties.select("property_id", "property_name"), "property_id"
+    )
     return (
-        t.units.select("unit_id", "property_id", "unit_number")
-        .join(t.properties.select("property_id", "property_name"), "property_id")
-        .join(current, "unit_id", "left")
+        left_join_many(units, current, "unit_id")
         .orderBy("property_name", "unit_number", F.asc_nulls_first("lease_id"))
         .select("property_name", "unit_number", F.coalesce("tenant_name", F.lit("Vacant")).alias("current_tenant"))
     )
@@ -108,11 +110,13 @@ def request_workorder_cost(t: Tables) -> DataFrame:
     orders = t.work_orders.select(
         "work_order_id", "request_id", "vendor_id", "work_order_status", job_cost().alias("total_cost")
     ).join(t.vendors.select("vendor_id", "vendor_name"), "vendor_id", "left")
-    return (
+    requests = (
         t.maintenance_requests.select("request_id", "unit_id", "title", "created_at")
         .join(t.units.select("unit_id", "property_id", "unit_number"), "unit_id")
         .join(t.properties.select("property_id", "property_name"), "property_id")
-        .join(orders, "request_id", "left")
+    )
+    return (
+        left_join_many(requests, orders, "request_id")
         .orderBy(F.desc("created_at"), "request_id", F.asc_nulls_last("work_order_id"))
         .select(
             "request_id",
@@ -182,11 +186,11 @@ def above_average_rent(t: Tables) -> DataFrame:
 
 def tenants_with_overdue_debt(t: Tables, as_of: date) -> DataFrame:
     """Tenants with an unpaid charge that fell due before the day."""
-    in_debt = t.payments.filter(unpaid() & (F.col("due_date") < day(as_of))).select("lease_id")
+    in_debt = t.payments.filter(unpaid() & (F.col("due_date") < day(as_of))).select("lease_id").distinct()
     debtors = t.leases.select("lease_id", "tenant_id").join(in_debt, "lease_id", "left_semi")
     return (
         t.tenants.select("tenant_id", "first_name", "last_name", "email")
-        .join(debtors, "tenant_id", "left_semi")
+        .join(debtors.select("tenant_id").distinct(), "tenant_id", "left_semi")
         .orderBy("last_name", "first_name", "tenant_id")
     )
 
