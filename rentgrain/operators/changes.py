@@ -27,7 +27,8 @@ LONGEST_TITLE = 160
 
 
 def _at(moment: datetime) -> Column:
-    return F.lit(moment).cast("timestamp")
+    # Written as text, so that it means the same wall-clock time in every session time zone.
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp")
 
 
 def _largest(df: DataFrame, key: str) -> Column:

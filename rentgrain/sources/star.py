@@ -324,7 +324,7 @@ def damaged_tables(spark: SparkSession, folder: str) -> Tables:
 
 def document_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Maintenance requests whose description is a long text, for the text search."""
-    opened = "timestamp_seconds(1704067200 + doc_id * 60)"
+    opened = "timestamp(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(doc_id)))"
     return (
         _read(spark, folder, "documents")
         .withColumn("unit_id", F.col("doc_id") * 17 % _count(spark, folder, "part"))
@@ -403,7 +403,7 @@ def new_requests(spark: SparkSession, folder: str) -> DataFrame:
             "IF(turn > 0, concat(' ', text), NULL) AS description",
             f"element_at(array('HIGH', 'urgent', ' low ', NULL), int({key} % 4 + 1)) AS priority",
             f"IF({key} % 5 = 0, NULL, conv_id % 50) AS tenant_id",
-            f"timestamp_seconds(1709251200 + {key}) AS event_ts",
+            f"timestamp(TIMESTAMP_NTZ '2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, {key})) AS event_ts",
         )
     )
 
