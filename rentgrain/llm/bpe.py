@@ -195,7 +195,7 @@ def encode_decode(
     neither dropped nor merged, so repeated rows stay repeated.
     """
     kept = docs.drop(ids, decoded)
-    where = kept.columns.index(text)
+    names, where = [*kept.columns, ids, decoded], kept.columns.index(text)
     fields = [*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def encode_decode(
         for part in parts:
             rows = [bpe.encode(x) if x else [] for x in part.column(where).to_pylist()]
             added = [pa.array(rows, pa.list_(pa.int32())), pa.array(map(bpe.decode, rows), pa.string())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*kept.columns, ids, decoded])
+            yield pa.RecordBatch.from_arrays([*part.columns, *added], names=names)
 
     return map_batches(kept, batches, T.StructType(fields))
 

@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import bpe
+from rentgrain.llm import bpe, language
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op9_bpe": bpe.op9_bpe,
+        "op10_language": language.op10_language,
     }
 
 
