@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import bpe, language
+from rentgrain.llm import bpe, language, quality, rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": quality.op3_quality,
+        "op7_rules": rules.op7_rules,
         "op9_bpe": bpe.op9_bpe,
         "op10_language": language.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_rules": rules.OP7_SQL,
+    }
