@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; with texts of up to some 100 KB a batch stays far below a worker's memory.
-BATCH_ROWS = 256
+BATCH_ROWS, BATCH_BYTES = 256, 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,12 +41,11 @@ def map_batches(
     frame: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
     schema: T.StructType | str,
-    rows: int = BATCH_ROWS,
 ) -> DataFrame:
-    """``mapInArrow`` with batches of a few rows, so that a batch of long texts fits a worker."""
-    spark = frame.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """``mapInArrow`` with batches of a few rows and bytes, so that a batch of long texts fits a worker."""
+    settings = frame.sparkSession.conf
+    settings.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    settings.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return frame.mapInArrow(function, schema)
 
 

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import bpe, language, quality, rules
+from rentgrain.llm import bpe, language, quality, rules, unigram, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": quality.op3_quality,
+        "op4_token_counts": unigram.op4_token_counts,
+        "op5_warc": warc.op5_warc,
         "op7_rules": rules.op7_rules,
         "op9_bpe": bpe.op9_bpe,
         "op10_language": language.op10_language,
@@ -20,5 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": warc.OP5_SQL,
         "op7_rules": rules.OP7_SQL,
     }
