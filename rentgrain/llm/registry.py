@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import bpe, language, quality, rules, unigram, warc
+from rentgrain.llm import bpe, decontaminate, language, quality, rules, unigram, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op3_quality": quality.op3_quality,
         "op4_token_counts": unigram.op4_token_counts,
         "op5_warc": warc.op5_warc,
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontaminate.OP1_SQL,
         "op5_warc": warc.OP5_SQL,
         "op7_rules": rules.OP7_SQL,
     }
