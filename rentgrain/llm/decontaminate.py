@@ -9,7 +9,7 @@ matches.
 Postings are kept for the terms the search starts from, not for every word: any window holds two of
 them, and other lists would never be opened. All steps are column expressions; the postings of a text
 are made inside its row, so that a term in every text burdens no single task. What is broadcast is
-measured first: beyond ``BROADCAST_ROWS`` rows a shuffled join takes its place.
+measured first: beyond ``frames.BROADCAST_ROWS`` rows a shuffled join takes its place.
 """
 
 from __future__ import annotations
@@ -17,13 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentgrain.llm.frames import documents, let, stored
+from rentgrain.llm.frames import documents, let, small, stored
 
 WINDOW = 10
 #: Fixed value: what separates words once A-Z are in lower case.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows that a side may have to be broadcast; rows are a term or an id with a number.
-BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,11 +38,6 @@ def terms_of(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), "")
 
 
-def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``frame`` marked for broadcasting if it has at most ``rows`` rows, which is counted."""
-    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
-
-
 def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """Items with words and the length of their windows; items without words are left out."""
     return benchmark.select(

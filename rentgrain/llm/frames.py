@@ -54,6 +54,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Rows that a side may have to be broadcast; meant for rows of an id and a few numbers or short strings.
+BROADCAST_ROWS = 200_000
+
+
+def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``frame`` marked for broadcasting if it has at most ``rows`` rows, which is counted; else as it is."""
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table of documents."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

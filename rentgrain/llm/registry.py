@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import bpe, decontaminate, language, quality, rules, unigram, warc
+from rentgrain.llm import bpe, decontaminate, language, neardup, quality, rules, unigram, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
+        "op2_neardup": neardup.op2_neardup,
         "op3_quality": quality.op3_quality,
         "op4_token_counts": unigram.op4_token_counts,
         "op5_warc": warc.op5_warc,
