@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentgrain.llm.anchors import BASE, POWERS, mixed
 from rentgrain.llm.components import components
 from rentgrain.llm.frames import documents, map_batches, small, stored
 
@@ -40,37 +41,10 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as they have been asked for."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def get(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < size:
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            grown = max(size, 2 * len(self.up))
-            self.up, self.down = (
-                np.cumprod(np.concatenate([[np.uint64(1)], np.full(grown, x, dtype=np.uint64)]), dtype=np.uint64)
-                for x in (_BASE, inverse)
-            )
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX
-    return x ^ (x >> np.uint64(29))
-
-
 def _pieces(data: bytes) -> Iterator[np.ndarray]:
     """Parts of at most ``PIECE`` bytes, cut between words; a longer word stays whole."""
     whole, start = np.frombuffer(data, dtype=np.uint8), 0
@@ -91,9 +65,9 @@ def word_hashes(text: str) -> np.ndarray:
         space = _SPACE[piece]
         edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _POWERS.get(len(piece) + 1)
+        up, down = POWERS.get(len(piece) + 1)
         sums = np.concatenate([[np.uint64(0)], np.cumsum((_LOWER[piece].astype(np.uint64) + np.uint64(1)) * up[: len(piece)])])
-        found.append(_mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+        found.append(mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
@@ -105,7 +79,7 @@ def shingles(text: str | None) -> np.ndarray:
     size = min(WORDS, len(words))
     hashes = np.full(len(words) - size + 1, size, dtype=np.uint64)
     for k in range(size):
-        hashes = _mixed(hashes * _BASE + words[k : len(words) - size + 1 + k])
+        hashes = mixed(hashes * BASE + words[k : len(words) - size + 1 + k])
     return np.unique(hashes >> np.uint64(1)).astype(np.int64)
 
 
