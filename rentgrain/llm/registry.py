@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import bpe, decontaminate, language, neardup, quality, rules, suffixdedup, unigram, warc
+from rentgrain.llm import backoff, bpe, decontaminate, language, neardup, quality, rules, suffixdedup, unigram, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_warc": warc.op5_warc,
         "op6_suffix_dedup": suffixdedup.op6_suffix_dedup,
         "op7_rules": rules.op7_rules,
+        "op8_lm_score": backoff.op8_lm_score,
         "op9_bpe": bpe.op9_bpe,
         "op10_language": language.op10_language,
     }
