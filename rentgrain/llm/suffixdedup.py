@@ -228,13 +228,15 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return found
 
 
-def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, as_text: bool = False) -> DataFrame:
     """``docs`` with n_bytes, removed_spans and kept_bytes (binary), columns of these names replaced.
 
+    With ``as_text`` kept_text takes the place of kept_bytes, without the pieces of characters that were
+    cut through.
     A null text is an empty one. Every copy of a repeated string goes, the first included; repeated
     rows count as copies of each other. Texts shorter than ``span`` stay whole.
     """
-    new = ["n_bytes", "removed_spans", "kept_bytes"]
+    new = ["n_bytes", "removed_spans", "kept_text" if as_text else "kept_bytes"]
     rest = docs.drop(*new)
     spans = stored(repeated_spans(rest, text, span))
     marked = rest.withColumn("_print", print_of(F.col(text)))
@@ -242,7 +244,7 @@ def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN) -> Da
     where, at = joined.columns.index(text), joined.columns.index("spans")
     names = [*(c for c in joined.columns if c != "spans"), *new]
     pair = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
-    added = [T.StructField(n, t) for n, t in zip(new, (T.LongType(), pair, T.BinaryType()), strict=True)]
+    added = [T.StructField(n, t) for n, t in zip(new, (T.LongType(), pair, T.StringType() if as_text else T.BinaryType()), strict=True)]
     schema = T.StructType([*(f for f in joined.schema.fields if f.name != "spans"), *added])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -256,7 +258,8 @@ def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN) -> Da
                 rests.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             listed = [[{"start": a, "stop": b} for a, b in cut] for cut in cuts]
             old = [c for k, c in enumerate(part.columns) if k != at]
-            new_columns = [pa.array(map(len, texts), pa.int64()), pa.array(listed, kind), pa.array(rests, pa.binary())]
+            left = pa.array([x.decode("utf-8", "ignore") for x in rests], pa.string()) if as_text else pa.array(rests, pa.binary())
+            new_columns = [pa.array(map(len, texts), pa.int64()), pa.array(listed, kind), left]
             yield pa.RecordBatch.from_arrays([*old, *new_columns], names=names)
 
     return map_batches(joined, batches, schema)
