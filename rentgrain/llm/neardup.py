@@ -36,6 +36,8 @@ from rentgrain.llm.frames import documents, map_batches, small, stored
 PERCENT, WORDS = 85, 5
 #: Values in a sketch, shared ones that a pair must have, and classes in a list from which it is long.
 K, SHARED, LONG = 32, 12, 50
+#: Parts by hash in which shingles of dense classes are counted, to bound what two of them share.
+PARTS = 32
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -160,19 +162,23 @@ def _to_hubs(members: DataFrame, rank: Column) -> DataFrame:
 
 
 def _dense_lists(sets: DataFrame) -> DataFrame:
-    """Lists (value, id, n, alone) of the rarest shingles of dense classes.
+    """Lists (value, id, n, alone, place, parts) of the rarest shingles of dense classes.
 
     ``alone`` counts the shingles that no other dense class has. A class is listed under the shingles
-    among its first 15 % (and one) in rising frequency which others have too.
+    among its first 15 % (and one) in rising frequency which others have too; ``place`` is how many
+    come before. ``parts`` counts its shingles that others have, by hash in ``PARTS`` parts.
     """
     exploded = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("value"))
     counts = exploded.groupBy("value").agg(F.count("*").alias("f"))
+    shared = F.col("f") > 1
     placed = exploded.join(counts, "value").groupBy("id", "n").agg(
-        F.count_if(F.col("f") == 1).alias("alone"),
+        F.count_if(~shared).alias("alone"),
+        F.array(*(F.count_if(shared & (F.col("value") % PARTS == k)) for k in range(PARTS))).alias("parts"),
         F.sort_array(F.collect_list(F.struct("f", "value"))).alias("rising"),
     )
     first = F.slice("rising", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
-    return placed.select("id", "n", "alone", F.explode(F.filter(first, lambda x: x["f"] > 1)["value"]).alias("value"))
+    listed = placed.select("id", "n", "alone", "parts", F.posexplode(F.filter(first, lambda x: x["f"] > 1)["value"]).alias("k", "value"))
+    return listed.select("value", "id", "n", "alone", (F.col("alone") + F.col("k")).alias("place"), "parts")
 
 
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
@@ -209,11 +215,15 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame
         .where(F.col("met") + F.least("hot_x", "hot_y") >= needed(F.greatest("n_x", "n_y")))
         .select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
     )
-    most = F.least(F.col("n_x") - F.col("alone_x"), F.col("n_y") - F.col("alone_y"))
+    # At the first shingle in rising order that partners share, they share no more than what is left of
+    # either, nor more than the smaller count of each part.
+    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
+    parts = F.aggregate(F.zip_with("parts_x", "parts_y", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     mixed = rooted(rare)
     several = mixed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     mixed = stored(mixed.join(several.select("value"), "value", "left_semi"))
-    long = crossed(mixed, "n", "alone").where(similar(most, F.col("n_x"), F.col("n_y")))
+    sizes = (F.col("n_x"), F.col("n_y"))
+    long = crossed(mixed, "n", "place", "parts").where(similar(left, *sizes) & similar(parts, *sizes))
     long = long.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
     rest = stored(plausible(short.unionByName(long).distinct(), classes))
     second = confirmed(docs, rest, key, text)
