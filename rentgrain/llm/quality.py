@@ -278,7 +278,8 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     chosen = map_batches(rows, examples, "order long, target double, row binary")
     halves = [chosen.where(c).orderBy("order").limit(sample // 2).collect() for c in ("target >= 0.5", "target < 0.5")]
     picked = [r for half in halves for r in half]
-    data = np.array([np.frombuffer(r["row"], dtype=np.float16) for r in picked], dtype=np.float32)
+    width = (1 << GRAM_BITS) + MEASURE_BUCKETS
+    data = np.array([np.frombuffer(r["row"], dtype=np.float16) for r in picked], dtype=np.float32).reshape(-1, width)
     return QualityModel(labels, train(data, np.array([r["target"] for r in picked])))
 
 

@@ -240,12 +240,12 @@ def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, as_te
     rest = docs.drop(*new)
     spans = stored(repeated_spans(rest, text, span))
     marked = rest.withColumn("_print", print_of(F.col(text)))
-    joined = marked.join(small(spans.withColumnRenamed("print", "_print")), "_print", "left").drop("_print")
-    where, at = joined.columns.index(text), joined.columns.index("spans")
-    names = [*(c for c in joined.columns if c != "spans"), *new]
+    joined = marked.join(small(spans.select(F.col("print").alias("_print"), F.col("spans").alias("_spans"))), "_print", "left").drop("_print")
+    where, at = joined.columns.index(text), joined.columns.index("_spans")
+    names = [*(c for c in joined.columns if c != "_spans"), *new]
     pair = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
     added = [T.StructField(n, t) for n, t in zip(new, (T.LongType(), pair, T.StringType() if as_text else T.BinaryType()), strict=True)]
-    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "spans"), *added])
+    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_spans"), *added])
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
