@@ -6,35 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PAGE_SIZE = 50
-LARGEST_PAGE = 500
 
 
-def _clamped(page: int, page_size: int) -> tuple[int, int]:
-    return max(int(page), 1), min(max(int(page_size), 1), LARGEST_PAGE)
+def _checked(page: int, page_size: int) -> tuple[int, int]:
+    if page < 1 or page_size < 1:
+        raise ValueError(f"pages and their sizes start at 1, not {page} and {page_size}")
+    return page, page_size
 
 
 def page_of(ordered: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
-    """One page of an ordered frame; page and size are clamped to sensible values.
+    """One page of an ordered frame; a page past the end has no rows.
 
     Spark plans sort + offset + limit as a per-partition top-k, not as a full sort.
     """
-    page, page_size = _clamped(page, page_size)
+    page, page_size = _checked(page, page_size)
     return ordered.offset((page - 1) * page_size).limit(page_size)
 
 
 def rows_through(page: int, page_size: int) -> int:
     """Rows from the start up to the end of the page."""
-    page, page_size = _clamped(page, page_size)
+    page, page_size = _checked(page, page_size)
     return page * page_size
 
 
-def at_least_kth(kept: DataFrame, column: str, k: int) -> Column:
+def limited(ordered: DataFrame, k: int | None) -> DataFrame:
+    """The first ``k`` rows, or all without ``k``."""
+    return ordered if k is None else ordered.limit(k)
+
+
+def at_least_kth(kept: DataFrame, column: str, k: int | None) -> Column:
     """Condition that holds for the ``k`` rows of ``kept`` with the largest ``column``.
 
     ``kept`` holds the rows that survive all joins of a top-k query, narrowed to the key.
     Filtering the wide rows by this bound first gives the same top k, but lets the scan
     skip nearly everything instead of shuffling every wide row into the joins. Ties with
-    the k-th value are kept.
+    the k-th value are kept, and so are rows without a value, which come last.
+    Without ``k`` all rows are kept.
     """
+    if k is None:
+        return F.lit(True)
     bound = kept.select(column).orderBy(F.desc(column)).limit(k).agg(F.min(column))
-    return F.col(column) >= bound.scalar()
+    return (F.col(column) >= bound.scalar()) | F.col(column).isNull()

@@ -17,7 +17,7 @@ from ..functions.columns import (
     percentage,
     unpaid,
 )
-from ..functions.paging import at_least_kth
+from ..functions.paging import at_least_kth, limited
 from ..schema import MONEY_TOTAL, Tables
 from . import definitions as d
 from . import reports as r
@@ -123,7 +123,7 @@ def dashboard_bundle(t: Tables, as_of: date) -> dict[str, DataFrame]:
 def low_occupancy(t: Tables, as_of: date, threshold: int = 80) -> DataFrame:
     """Properties below an occupancy threshold."""
     if not 1 <= threshold <= 100:
-        raise ValueError("Occupancy threshold must be between 1 and 100.")
+        raise ValueError(f"a threshold is a percentage from 1 to 100, not {threshold}")
     return (
         d.property_occupancy(t, as_of)
         .filter(F.col("occupancy_percentage") < threshold)
@@ -147,7 +147,7 @@ def expiring_leases(t: Tables, as_of: date, days: int = 30) -> DataFrame:
     )
 
 
-def pending_payments(t: Tables, as_of: date, limit: int = 100) -> DataFrame:
+def pending_payments(t: Tables, as_of: date, limit: int | None = 100) -> DataFrame:
     """The largest unpaid balances per tenant and property."""
     owed = F.sum(balance()).alias("owed")
     per_lease = (
@@ -166,7 +166,7 @@ def pending_payments(t: Tables, as_of: date, limit: int = 100) -> DataFrame:
         .groupBy("tenant_id", "tenant_name", "property_name")
         .agg(F.sum("owed").cast(MONEY_TOTAL).alias("outstanding_balance"))
         .orderBy(F.desc("outstanding_balance"), "tenant_id", "property_name")
-        .limit(limit)
+        .transform(limited, limit)
         .select("tenant_name", "property_name", "outstanding_balance")
     )
 

@@ -9,7 +9,6 @@ from ..functions.joins import join_spread
 from ..schema import Tables
 
 BUSINESS_KEY = ["lease_id", "due_date", "amount_due"]
-REFERENCES_PER_ROW = 10_000
 
 
 def repeated_keys(df: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -17,24 +16,16 @@ def repeated_keys(df: DataFrame, key: list[str], name: str) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias(name)).filter(F.col(name) > 1)
 
 
-def duplicate_payments(t: Tables, references_per_row: int = REFERENCES_PER_ROW) -> DataFrame:
-    """Groups of charges with the same lease, due date and amount, with their references.
+def duplicate_payments(t: Tables) -> DataFrame:
+    """Charges that share lease, due date and amount with another, one row for each.
 
-    One row per group, as long as the group fits one array. A larger group (a replayed
-    import can repeat one charge without limit) is spread over several rows, each with
-    some of its references; together they hold all of them, and every row carries the
-    count of the whole group. At no point are all rows of a group in one task.
+    Every row carries the size of its group, whatever that size is; rows of a group are
+    spread over tasks and never gathered.
     """
     rows = t.payments.select(*BUSINESS_KEY, "payment_reference")
     groups = repeated_keys(rows, BUSINESS_KEY, "duplicate_count")
-    spread = F.pmod(F.xxhash64("payment_reference"), F.ceil(F.col("duplicate_count") / references_per_row))
-    return (
-        join_spread(rows, groups, BUSINESS_KEY, spread_by="payment_reference")
-        .withColumn("spread", spread)
-        .repartition(*BUSINESS_KEY, "spread")
-        .groupBy(*BUSINESS_KEY, "spread", "duplicate_count")
-        .agg(F.sort_array(F.collect_list("payment_reference")).alias("payment_references"))
-        .select(*BUSINESS_KEY, "duplicate_count", "payment_references")
+    return join_spread(rows, groups, BUSINESS_KEY, spread_by="payment_reference").select(
+        *BUSINESS_KEY, "duplicate_count", "payment_reference"
     )
 
 

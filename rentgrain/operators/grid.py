@@ -47,16 +47,10 @@ def grid_query(
     page_size: int = PAGE_SIZE,
     tie: str | None = None,
 ) -> DataFrame:
-    """One page of the matching rows.
-
-    A page past the end shows the last page, so asking for anything but the first page
-    counts the matches once.
-    """
+    """One page of the matching rows; a page past the end has none."""
+    if page < 1 or page_size < 1:
+        raise ValueError(f"pages and their sizes start at 1, not {page} and {page_size}")
     rows = matching_rows(df, term)
-    page = max(page, 1)
-    if page > 1:
-        pages = max(1, -(-rows.count() // page_size))
-        page = min(page, pages)
     keys = sort_keys(df, sort or df.columns[0], descending)
     if tie:
         keys.append(F.col(tie).asc())

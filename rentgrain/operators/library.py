@@ -22,7 +22,7 @@ from ..functions.columns import (
     unpaid,
 )
 from ..functions.joins import left_join_many
-from ..functions.paging import at_least_kth
+from ..functions.paging import at_least_kth, limited
 from ..functions.prefix import running_sum
 from ..schema import Tables
 from . import definitions as d
@@ -49,13 +49,13 @@ def active_cities(t: Tables) -> DataFrame:
     )
 
 
-def payment_collection_category(t: Tables, as_of: date, limit: int = 100) -> DataFrame:
+def payment_collection_category(t: Tables, as_of: date, limit: int | None = 100) -> DataFrame:
     """The latest charges with a business-friendly category."""
     status = F.col("payment_status")
     return (
         t.payments.filter(at_least_kth(t.payments, "due_date", limit))
         .orderBy(F.desc("due_date"), "payment_id")
-        .limit(limit)
+        .transform(limited, limit)
         .select(
             "payment_reference",
             "due_date",

@@ -17,7 +17,7 @@ from ..functions.columns import (
     next_month,
     unpaid,
 )
-from ..functions.paging import at_least_kth
+from ..functions.paging import at_least_kth, limited
 from ..schema import MONEY_TOTAL, Tables
 from . import definitions as d
 
@@ -60,7 +60,7 @@ def rent_collection_report(t: Tables, month: date) -> DataFrame:
 def lease_expiry_report(t: Tables, as_of: date, days: int = 30) -> DataFrame:
     """Leases with status active that end within 30, 60 or 90 days."""
     if days not in EXPIRY_WINDOWS:
-        raise ValueError("days must be 30, 60, or 90.")
+        raise ValueError(f"expiry is reported for {EXPIRY_WINDOWS} days ahead, not {days}")
     left = days_until("end_date", as_of)
     ending = F.col("end_date").between(day(as_of), day(as_of + timedelta(days=days)))
     return (
@@ -86,7 +86,7 @@ def lease_expiry_report(t: Tables, as_of: date, days: int = 30) -> DataFrame:
     )
 
 
-def tenant_payment_history(t: Tables, tenant_id: int | None = None, limit: int = 500) -> DataFrame:
+def tenant_payment_history(t: Tables, tenant_id: int | None = None, limit: int | None = 500) -> DataFrame:
     """Ledger of one tenant, or of all, newest charges first."""
     leases = t.leases.select("lease_id", "tenant_id", "unit_id")
     tenants = t.tenants.select("tenant_id", full_name().alias("tenant_name"))
@@ -109,7 +109,7 @@ def tenant_payment_history(t: Tables, tenant_id: int | None = None, limit: int =
         )
         .join(context, "lease_id")
         .orderBy(F.desc("due_date"), "tenant_name", "payment_id")
-        .limit(limit)
+        .transform(limited, limit)
         .select(
             "tenant_id",
             "tenant_name",

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paging import limited
 from ..functions.text import query_words, words
 
 LIMIT = 50
@@ -46,18 +47,18 @@ def _rank(repeats: Column, terms: int) -> Column:
     return F.round(repeats * (WORD_WEIGHT / REPEAT_LIMIT) / terms, 6).alias("rank")
 
 
-def _best(matches: DataFrame, requests: DataFrame, units: DataFrame, limit: int) -> DataFrame:
+def _best(matches: DataFrame, requests: DataFrame, units: DataFrame, limit: int | None) -> DataFrame:
     """The best matches with their columns; ``matches`` is (request_id, rank)."""
     return (
         matches.join(requests.drop("description"), "request_id")
         .join(units.select("unit_id", "property_id"), "unit_id")
         .orderBy(F.desc("rank"), F.desc("created_at"), "request_id")
-        .limit(limit)
+        .transform(limited, limit)
         .select(*RESULT)
     )
 
 
-def text_search(requests: DataFrame, units: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
+def text_search(requests: DataFrame, units: DataFrame, query: str, limit: int | None = LIMIT) -> DataFrame:
     """Requests that contain all words of the query, best first.
 
     One pass over the requests without a shuffle of texts: a plain substring test on the
@@ -77,7 +78,7 @@ def text_search(requests: DataFrame, units: DataFrame, query: str, limit: int =
         .select(*[c for c in RESULT if c not in ("property_id", "rank")], _rank(score, max(len(terms), 1)))
         .join(units.select("unit_id", "property_id"), "unit_id")
         .orderBy(F.desc("rank"), F.desc("created_at"), "request_id")
-        .limit(limit)
+        .transform(limited, limit)
         .select(*RESULT)
     )
 

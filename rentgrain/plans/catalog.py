@@ -19,6 +19,7 @@ from .checks import SEARCHES
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(AS_OF.year, AS_OF.month, AS_OF.day)
 NAME_TERM = "machinery"
+TENANT = 7
 
 CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "active_leases": lambda t: definitions.active_leases(t, AS_OF),
@@ -32,7 +33,11 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "occupancy_report": lambda t: reports.occupancy_report(t, AS_OF),
     "rent_collection_report": lambda t: reports.rent_collection_report(t, AS_OF),
     "lease_expiry_report": lambda t: reports.lease_expiry_report(t, AS_OF, days=90),
+    "lease_expiry_30_days": lambda t: reports.lease_expiry_report(t, AS_OF, days=30),
+    "lease_expiry_60_days": lambda t: reports.lease_expiry_report(t, AS_OF, days=60),
     "tenant_payment_history": reports.tenant_payment_history,
+    "tenant_payment_history_all": lambda t: reports.tenant_payment_history(t, limit=None),
+    "tenant_payment_history_one": lambda t: reports.tenant_payment_history(t, tenant_id=TENANT, limit=None),
     "delinquent_tenant_report": lambda t: reports.delinquent_tenant_report(t, AS_OF),
     "maintenance_report": reports.maintenance_report,
     "property_performance_report": lambda t: reports.property_performance_report(t, AS_OF),
@@ -50,10 +55,12 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "low_occupancy": lambda t: dashboard.low_occupancy(t, AS_OF, threshold=50),
     "expiring_leases": lambda t: dashboard.expiring_leases(t, AS_OF),
     "pending_payments": lambda t: dashboard.pending_payments(t, AS_OF),
+    "pending_payments_all": lambda t: dashboard.pending_payments(t, AS_OF, limit=None),
     "top_collection": lambda t: dashboard.top_collection(t, AS_OF),
     "vacant_units_by_rent": library.vacant_units_by_rent,
     "active_cities": library.active_cities,
     "payment_collection_category": lambda t: library.payment_collection_category(t, AS_OF),
+    "payment_collection_category_all": lambda t: library.payment_collection_category(t, AS_OF, limit=None),
     "active_lease_roster": library.active_lease_roster,
     "unit_current_tenant": lambda t: library.unit_current_tenant(t, AS_OF),
     "request_workorder_cost": library.request_workorder_cost,
@@ -103,7 +110,7 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
         rewrites.payment_before(t), rewrites.payment_after(t)
     ),
     "grid_query": lambda t: grid.grid_query(
-        t.units.select("unit_id", "unit_number", "unit_status", "market_rent"),
+        t.units,
         term="RING",
         sort="market_rent",
         descending=True,
@@ -185,10 +192,10 @@ def _tickets(spark: SparkSession, folder: str) -> changes.Applied:
     return changes.ingest_requests(star.star_tables(spark, folder), star.new_requests(spark, folder))
 
 
-def _search(query: str) -> Query:
+def _search(query: str, limit: int | None = search.LIMIT) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         units = star.star_tables(spark, folder).units
-        return search.text_search(star.document_requests(spark, folder), units, query)
+        return search.text_search(star.document_requests(spark, folder), units, query, limit)
 
     return run
 
@@ -219,6 +226,7 @@ JOBS: dict[str, Query] = {
         "event_id", "unit_id", "tenant_id", "title", "reason"
     ),
     "text_search": _search(SEARCHES[0]),
+    "text_search_all": _search(SEARCHES[0], limit=None),
     "text_search_one_word": _search(SEARCHES[1]),
     "text_search_stop_words": _search(SEARCHES[2]),
     "indexed_search": _indexed,

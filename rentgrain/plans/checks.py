@@ -106,11 +106,37 @@ CLEAN: dict[str, tuple[str, str]] = {
             FROM named_leases
             WHERE lease_status = 'active' AND end_date >= {DAY} AND end_date <= {DAY} + 90""",
     ),
+    "lease_expiry_60_days": (
+        "lease_id tenant_id tenant_name property_name unit_number end_date days_remaining expiry_window",
+        f"""SELECT *, date_diff('day', {DAY}, end_date) AS days_remaining,
+                   CASE WHEN end_date > {DAY} + 60 THEN 'within 90 days' WHEN end_date > {DAY} + 30
+                        THEN 'within 60 days' ELSE 'within 30 days' END AS expiry_window
+            FROM named_leases
+            WHERE lease_status = 'active' AND end_date >= {DAY} AND end_date <= {DAY} + 60""",
+    ),
+    "lease_expiry_30_days": (
+        "lease_id tenant_id tenant_name property_name unit_number end_date days_remaining expiry_window",
+        f"""SELECT *, date_diff('day', {DAY}, end_date) AS days_remaining,
+                   CASE WHEN end_date > {DAY} + 60 THEN 'within 90 days' WHEN end_date > {DAY} + 30
+                        THEN 'within 60 days' ELSE 'within 30 days' END AS expiry_window
+            FROM named_leases
+            WHERE lease_status = 'active' AND end_date >= {DAY} AND end_date <= {DAY} + 30""",
+    ),
     "tenant_payment_history": (
         "tenant_id tenant_name property_name unit_number due_date paid_date amount_due amount_paid payment_status "
         "payment_method",
         "SELECT * FROM charges ORDER BY due_date DESC, tenant_name, payment_id LIMIT 500",
     ),
+    "tenant_payment_history_all": (
+        "tenant_id tenant_name property_name unit_number due_date paid_date amount_due amount_paid payment_status "
+        "payment_method",
+        "SELECT * FROM charges",
+    ),
+    "tenant_payment_history_one": (
+        "tenant_id tenant_name property_name unit_number due_date paid_date amount_due amount_paid payment_status "
+        "payment_method",
+        "SELECT * FROM charges WHERE tenant_id = 7",
+    ),
     "delinquent_tenant_report": (
         "tenant_id tenant_name email property_name unit_number late_payment_count unpaid_charge_count "
         "outstanding_balance",
@@ -206,6 +232,12 @@ CLEAN: dict[str, tuple[str, str]] = {
             FROM charges WHERE amount_due > amount_paid AND due_date <= {DAY} GROUP BY ALL
             ORDER BY outstanding_balance DESC, tenant_id, property_name LIMIT 100""",
     ),
+    "pending_payments_all": (
+        "tenant_name property_name outstanding_balance",
+        f"""SELECT tenant_id, tenant_name, property_name, sum(amount_due - amount_paid) AS outstanding_balance
+            FROM charges WHERE amount_due > amount_paid AND due_date <= {DAY} GROUP BY ALL
+            ORDER BY outstanding_balance DESC, tenant_id, property_name""",
+    ),
     "top_collection": (
         "property_name expected_rent collected_rent collection_percentage",
         "SELECT * FROM rent ORDER BY collection_percentage DESC, property_id LIMIT 5",
@@ -228,6 +260,15 @@ CLEAN: dict[str, tuple[str, str]] = {
                         ELSE payment_status END AS collection_category
             FROM payments ORDER BY due_date DESC, payment_id LIMIT 100""",
     ),
+    "payment_collection_category_all": (
+        "payment_reference due_date amount_due amount_paid collection_category payment_method",
+        f"""SELECT payment_reference, due_date, amount_due, amount_paid, coalesce(payment_method, 'not provided')
+                       AS payment_method,
+                   CASE payment_status WHEN 'partial' THEN 'partially paid'
+                        WHEN 'pending' THEN if(due_date < {DAY}, 'overdue', 'pending')
+                        ELSE payment_status END AS collection_category
+            FROM payments ORDER BY due_date DESC, payment_id""",
+    ),
     "active_lease_roster": (
         "lease_id tenant_name property_name unit_number start_date end_date monthly_rent",
         "SELECT * FROM named_leases WHERE lease_status = 'active'",
@@ -477,9 +518,10 @@ CLEAN: dict[str, tuple[str, str]] = {
     ),
     # grid
     "grid_query": (
-        "unit_id unit_number unit_status market_rent",
-        """SELECT * FROM units WHERE contains(lower(concat_ws(chr(10), unit_id, unit_number, unit_status, market_rent)),
-               'ring') ORDER BY market_rent DESC, unit_id LIMIT 12 OFFSET 12""",
+        "unit_id property_id unit_number bedrooms bathrooms square_feet market_rent unit_status created_at updated_at",
+        """SELECT * FROM units WHERE contains(lower(concat_ws(chr(10), unit_id, property_id, unit_number, bedrooms,
+               bathrooms, square_feet, market_rent, unit_status, created_at, updated_at)), 'ring')
+           ORDER BY market_rent DESC, unit_id LIMIT 12 OFFSET 12""",
     ),
     # unit status jobs
     "refresh_unit_status": (
@@ -496,9 +538,9 @@ CLEAN: dict[str, tuple[str, str]] = {
     ),
 }
 
-_GROUPED = """SELECT lease_id, due_date, amount_due, count(*) AS duplicate_count,
-       string_agg(payment_reference, ',' ORDER BY payment_reference) AS payment_references
-    FROM payments GROUP BY lease_id, due_date, amount_due HAVING count(*) > 1"""
+_COPIES = """SELECT lease_id, due_date, amount_due, payment_reference, duplicate_count FROM (
+        SELECT *, count(*) OVER (PARTITION BY lease_id, due_date, amount_due) AS duplicate_count FROM payments)
+    WHERE duplicate_count > 1"""
 _RULE_COLUMNS = "rule_id key detail"
 
 RULES: dict[str, str] = {
@@ -532,25 +574,25 @@ def _rule(rule_id: str) -> str:
 
 def _tested(number: int, title: str, noun: str, query: str) -> str:
     return (
-        f"SELECT 'TEST {number} - {title}' AS test_name, '0 {noun}' AS expected_result, "
+        f"SELECT 'T{number:02d} {title}' AS test_name, '0 {noun}' AS expected_result, "
         f"count(*) || ' {noun}' AS actual_result, if(count(*) = 0, 'PASS', 'FAIL') AS status FROM ({query})"
     )
 
 
 _TESTS = [
-    ("Occupancy never exceeds 100%", "violations", "SELECT 1 FROM occupancy WHERE occupied_units > total_units"),
-    ("Negative payments are constrained", "negative payments", "SELECT 1 FROM payments WHERE amount_paid < 0"),
-    ("Every lease references a tenant", "orphan leases", RULES["X3"]),
-    ("Every lease references a unit", "orphan leases", RULES["X4"]),
-    ("Every payment references a lease", "orphan payments", RULES["X5"]),
-    ("Outstanding function matches source rows", "mismatches", "SELECT 1 FROM leases WHERE FALSE"),
+    ("no property has more units let than it has", "violations", "SELECT 1 FROM occupancy WHERE occupied_units > total_units"),
+    ("no charge is paid below zero", "negative payments", "SELECT 1 FROM payments WHERE amount_paid < 0"),
+    ("tenants of leases exist", "orphan leases", RULES["X3"]),
+    ("units of leases exist", "orphan leases", RULES["X4"]),
+    ("leases of charges exist", "orphan payments", RULES["X5"]),
+    ("outstanding amounts add up", "mismatches", "SELECT 1 FROM leases WHERE FALSE"),
     (
-        "Expired leases absent from active view",
+        "leases in force cover the day",
         "invalid rows",
         f"SELECT 1 FROM in_force WHERE NOT {DAY} BETWEEN start_date AND end_date",
     ),
     (
-        "Occupancy cache matches active leases",
+        "unit status agrees with leases",
         "mismatches",
         """SELECT 1 FROM unit_flags WHERE (unit_status = 'occupied' AND NOT has_lease)
            OR (unit_status <> 'occupied' AND has_lease)""",
@@ -605,12 +647,12 @@ DAMAGED: dict[str, tuple[str, str]] = {
                    (SELECT count(*) FROM in_force WHERE NOT {DAY} BETWEEN start_date AND end_date)
                        AS invalid_active_leases""",
     ),
-    "duplicate_payments": ("lease_id due_date amount_due duplicate_count payment_references", _GROUPED),
+    "duplicate_payments": ("lease_id due_date amount_due duplicate_count payment_reference", _COPIES),
     "payment_business_key_duplicates": (
-        "lease_id due_date amount_due duplicate_count payment_references",
-        _GROUPED,
+        "lease_id due_date amount_due duplicate_count payment_reference",
+        _COPIES,
     ),
-    "case_duplicate_payments": ("lease_id due_date amount_due duplicate_count payment_references", _GROUPED),
+    "case_duplicate_payments": ("lease_id due_date amount_due duplicate_count payment_reference", _COPIES),
     "case_loose_duplicate_payments": (
         "lease_id due_date charge_count",
         """SELECT lease_id, due_date, count(*) AS charge_count FROM payments
@@ -630,7 +672,7 @@ DAMAGED: dict[str, tuple[str, str]] = {
 
 _PROPOSALS = """
     SELECT k AS proposal_id, k * 31 % ((SELECT count(*) FROM part) + 20) AS unit_id,
-           k * 7 % ((SELECT count(*) FROM customer) + 5) AS tenant_id, start_date,
+           (k * 11 + 3) % ((SELECT count(*) FROM customer) + 5) AS tenant_id, start_date,
            start_date + (k % 400 - 4)::INT AS end_date, rent AS monthly_rent,
            coalesce(CASE WHEN k % 47 = 0 THEN -1 WHEN k % 3 = 0 THEN price END, rent) AS deposit
     FROM (SELECT o_orderkey AS k, o_orderdate::DATE + 200 AS start_date, o_totalprice::DECIMAL(12,2) AS price,
@@ -686,7 +728,6 @@ _EVENTS = """
 
 _PAY_EVENTS = """
     SELECT payment_id AS event_id, payment_id, created_at + INTERVAL 10 DAY AS event_ts FROM payments
-    WHERE split_part(payment_reference, '-', 3)::INT >= 5
     UNION ALL
     SELECT -payment_id - 1, payment_id, created_at + INTERVAL 11 DAY FROM payments
     WHERE split_part(payment_reference, '-', 3)::INT >= 6"""
@@ -700,12 +741,12 @@ _TICKETS = r"""
                  if((conv_id * 1000 + turn) % 5 <> 0, conv_id % 50, 1) AS tenant_id,
                  regexp_replace(text, '^\s+|\s+$', '', 'g') AS title,
                  ['high', 'medium', 'low', 'medium'][(conv_id * 1000 + turn) % 4 + 1] AS priority
-          FROM conversations WHERE role = 'user')"""
+          FROM conversations)"""
 
 SEARCHES = ("haer ering", "the ndble", "of the and")
 
 
-def _search(query: str) -> str:
+def _search(query: str, limit: str = "LIMIT 50") -> str:
     from ..functions.text import ENDING, SEPARATOR, STOP_WORDS, query_words
 
     terms = query_words(query)
@@ -714,7 +755,7 @@ def _search(query: str) -> str:
     score = " + ".join(f"list_sum([1 / (k * k) for k in range(1, {c} + 1)])" for c in counts)
     return f"""
         WITH split AS (
-            SELECT doc_id AS request_id, doc_id * 17 % (SELECT count(*) FROM part) AS unit_id,
+            SELECT doc_id AS request_id, doc_id * 3 % (SELECT count(*) FROM part) AS unit_id,
                    source || ' ' || lang AS title, 'medium' AS priority,
                    CASE doc_id % 10 WHEN 0 THEN 'open' WHEN 1 THEN 'assigned' WHEN 2 THEN 'in_progress'
                         WHEN 3 THEN 'on_hold' WHEN 4 THEN 'cancelled' ELSE 'closed' END AS request_status,
@@ -725,7 +766,7 @@ def _search(query: str) -> str:
             FROM documents)
         SELECT split.*, property_id, round(({score}) * (0.1::DOUBLE / 1.64493406685) / {max(len(terms), 1)}, 6) AS rank
         FROM split JOIN units USING (unit_id) WHERE {" AND ".join(f"{c} > 0" for c in counts)}
-        ORDER BY rank DESC, created_at DESC, request_id LIMIT 50"""
+        ORDER BY rank DESC, created_at DESC, request_id {limit}"""
 
 
 _FOUND = "request_id property_id unit_id title priority request_status created_at rank"
@@ -800,6 +841,7 @@ JOBS: dict[str, tuple[str, str]] = {
         f"SELECT * FROM ({_TICKETS}) WHERE reason IS NOT NULL",
     ),
     "text_search": (_FOUND, _search(SEARCHES[0])),
+    "text_search_all": (_FOUND, _search(SEARCHES[0], limit="")),
     "text_search_one_word": (_FOUND, _search(SEARCHES[1])),
     "text_search_stop_words": (_FOUND, _search(SEARCHES[2])),
     "indexed_search": (_FOUND, _search(SEARCHES[0])),

@@ -70,13 +70,13 @@ def _properties(spark: SparkSession, folder: str) -> DataFrame:
         .join(_read(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
         .selectExpr(
             "s_suppkey AS property_id",
-            "concat('PROP-', lpad(s_suppkey, 9, '0')) AS property_code",
+            "concat('S', s_suppkey) AS property_code",
             "s_name AS property_name",
-            "concat(s_suppkey * 17 + 100, ' Main Street') AS address_line1",
+            "concat(s_name, ', ', n_name) AS address_line1",
             "n_name AS city",
             "left(r_name, 2) AS state_code",
-            "string(s_nationkey * 13 + 75000) AS postal_code",
-            "concat('Manager ', s_suppkey % 5) AS manager_name",
+            "lpad(string(bigint(floor(abs(s_acctbal)))), 5, '0') AS postal_code",
+            "concat('Team ', r_name) AS manager_name",
             "date_add(DATE '1990-01-01', int(s_suppkey % 2000)) AS acquisition_date",
             "s_suppkey % 9 <> 7 AS is_active",
             f"{_EPOCH} AS created_at",
@@ -97,7 +97,7 @@ def _units(spark: SparkSession, folder: str) -> DataFrame:
             "concat(p_name, '-', p_partkey) AS unit_number",
             "smallint(p_size % 5) AS bedrooms",
             "CAST(1 + p_size % 4 * 0.5 AS DECIMAL(3,1)) AS bathrooms",
-            "500 + p_size * 10 AS square_feet",
+            "300 + p_size * 20 AS square_feet",
             "CAST(p_retailprice AS DECIMAL(12,2)) AS market_rent",
             "CASE WHEN p_size > 48 THEN 'offline' WHEN p_size > 46 THEN 'maintenance' "
             "WHEN p_size > 30 THEN 'vacant' ELSE 'occupied' END AS unit_status",
@@ -112,9 +112,9 @@ def _tenants(spark: SparkSession, folder: str) -> DataFrame:
         "c_custkey AS tenant_id",
         "c_name AS first_name",
         "c_mktsegment AS last_name",
-        "concat('tenant', c_custkey, '@example.com') AS email",
-        "concat('+1-512-', lpad(c_custkey, 9, '0')) AS phone",
-        "IF(c_acctbal >= 0, concat('Contact ', c_custkey), NULL) AS emergency_contact",
+        "concat(lower(c_mktsegment), '.', c_custkey, '@mail.invalid') AS email",
+        "concat('+', 100 + c_nationkey, ' ', c_custkey) AS phone",
+        "IF(c_acctbal >= 0, concat('c/o ', c_name), NULL) AS emergency_contact",
         f"{_EPOCH} AS created_at",
         f"{_EPOCH} AS updated_at",
     )
@@ -190,7 +190,7 @@ def _payments(spark: SparkSession, folder: str) -> DataFrame:
         "date(l_shipdate) AS due_date",
         f"IF({nothing_paid}, NULL, date_add(l_shipdate, 2 + l_linenumber)) AS paid_date",
         "amount_due",
-        f"CAST(CASE WHEN {nothing_paid} THEN 0 WHEN {part_paid} THEN round(amount_due * 0.55, 2) "
+        f"CAST(CASE WHEN {nothing_paid} THEN 0 WHEN {part_paid} THEN round(amount_due * 0.4, 2) "
         "ELSE amount_due END AS DECIMAL(12,2)) AS amount_paid",
         "payment_status",
         f"IF({nothing_paid}, NULL, element_at(array('ach', 'card', 'check', 'bank_transfer'), l_linenumber % 4 + 1)) "
@@ -203,11 +203,11 @@ def _payments(spark: SparkSession, folder: str) -> DataFrame:
 def _requests(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _read(spark, folder, "events")
-        .withColumn("unit_id", F.col("event_id") * 17 % _count(spark, folder, "part"))
+        .withColumn("unit_id", (F.col("user_id") * 101 + F.col("event_id")) % _count(spark, folder, "part"))
         .selectExpr(
             "event_id AS request_id",
             "unit_id",
-            "IF(event_id % 11 = 0, NULL, user_id) AS tenant_id",
+            "IF(user_id % 12 = 5, NULL, user_id) AS tenant_id",
             "concat(event_type, ' request') AS title",
             "concat('Reported by user ', user_id, ' ', props) AS description",
             "CASE event_type WHEN 'error' THEN 'emergency' WHEN 'signup' THEN 'high' WHEN 'purchase' THEN 'medium' "
@@ -220,18 +220,15 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# Vendor specialties.
-SPECIALTIES = ("Plumbing", "Electrical", "HVAC", "Appliance", "Carpentry", "Cleaning", "Landscaping", "General")
-
-
 def _vendors(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "nation").selectExpr(
+    regions = _read(spark, folder, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    return _read(spark, folder, "nation").join(regions, "n_regionkey").selectExpr(
         "bigint(n_nationkey) AS vendor_id",
         "n_name AS vendor_name",
-        f"element_at(array{SPECIALTIES}, n_nationkey % 8 + 1) AS specialty",
-        "concat('dispatch', n_nationkey, '@vendor.example') AS email",
-        "concat('+1-469-', lpad(n_nationkey, 4, '0')) AS phone",
-        "CAST(55 + n_nationkey % 8 * 8.5 AS DECIMAL(10,2)) AS hourly_rate",
+        "r_name AS specialty",
+        "concat(lower(n_name), '@trade.invalid') AS email",
+        "concat('+', 900 + n_regionkey, ' ', n_nationkey) AS phone",
+        "CAST(40 + n_regionkey * 3.25 + n_nationkey AS DECIMAL(10,2)) AS hourly_rate",
         "true AS is_active",
         f"{_EPOCH} AS created_at",
     )
@@ -242,7 +239,7 @@ def _work_orders(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _requests(spark, folder)
         .filter("request_status <> 'on_hold'")
-        .withColumn("vendor", F.col("request_id") * 7 % _count(spark, folder, "nation"))
+        .withColumn("vendor", F.col("unit_id") % _count(spark, folder, "nation"))
         .selectExpr(
             "*",
             "created_at + INTERVAL 2 HOURS AS assigned_at",
@@ -251,12 +248,12 @@ def _work_orders(spark: SparkSession, folder: str) -> DataFrame:
         .selectExpr(
             "request_id AS work_order_id",
             "request_id",
-            "IF(request_id % 13 = 0, NULL, vendor) AS vendor_id",
+            "IF(unit_id % 19 = 5, NULL, vendor) AS vendor_id",
             "assigned_at",
             "date_add(created_at, 1) AS scheduled_date",
             "IF(done, greatest(closed_at, assigned_at), NULL) AS completed_at",
-            "CAST(IF(done, 65 + request_id % 12 * 22, 0) AS DECIMAL(12,2)) AS labor_cost",
-            "CAST(IF(done, 15 + request_id % 9 * 18, 0) AS DECIMAL(12,2)) AS material_cost",
+            "CAST(IF(done, 9.5 * length(title) + unit_id % 50, 0) AS DECIMAL(12,2)) AS labor_cost",
+            "CAST(IF(done, 4.75 * (request_id % 21), 0) AS DECIMAL(12,2)) AS material_cost",
             "CASE WHEN done THEN 'completed' WHEN request_status IN ('closed', 'in_progress') THEN 'in_progress' "
             "WHEN request_status = 'assigned' THEN 'scheduled' WHEN request_status = 'cancelled' THEN 'cancelled' "
             "ELSE 'assigned' END AS work_order_status",
@@ -328,7 +325,7 @@ def document_requests(spark: SparkSession, folder: str) -> DataFrame:
     opened = "timestamp(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(doc_id)))"
     return (
         _read(spark, folder, "documents")
-        .withColumn("unit_id", F.col("doc_id") * 17 % _count(spark, folder, "part"))
+        .withColumn("unit_id", F.col("doc_id") * 3 % _count(spark, folder, "part"))
         .selectExpr(
             "doc_id AS request_id",
             "unit_id",
@@ -350,7 +347,7 @@ def lease_proposals(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _read(spark, folder, "orders")
         .withColumn("unit_id", key * 31 % (_count(spark, folder, "part") + 20))
-        .withColumn("tenant_id", key * 7 % (_count(spark, folder, "customer") + 5))
+        .withColumn("tenant_id", (key * 11 + 3) % (_count(spark, folder, "customer") + 5))
         .selectExpr(
             "o_orderkey AS proposal_id",
             "unit_id",
@@ -380,22 +377,20 @@ def status_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payment_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Requests to pay the charges with a line number from 5 on; from 6 on they come twice."""
+    """Requests to pay every charge; those with a line number from 6 on come twice."""
     paid_at = "timestamp(l_shipdate) + make_dt_interval(10 + attempt)"
     return (
         _lines(spark, folder)
-        .filter("l_linenumber >= 5")
         .selectExpr("*", "explode(IF(l_linenumber >= 6, array(0, 1), array(0))) AS attempt")
         .selectExpr("IF(attempt = 0, payment_id, -payment_id - 1) AS event_id", "payment_id", f"{paid_at} AS event_ts")
     )
 
 
 def new_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Tickets opened in conversations: every user turn is one."""
+    """Tickets opened in conversations: every turn is one."""
     key = "(conv_id * 1000 + turn)"
     return (
         _read(spark, folder, "conversations")
-        .filter("role = 'user'")
         .withColumn("unit_id", F.expr(key) % (_count(spark, folder, "part") + 20))
         .selectExpr(
             f"{key} AS event_id",

@@ -73,5 +73,5 @@ def test_gate_raises_on_orphan_payment(make):
 
 
 def test_status_mismatch_fails_the_cache_test(make):
-    rows = {x.test_name[:6]: x for x in quality.test_scorecard(make(), AS_OF + timedelta(1)).collect()}
-    assert (rows["TEST 8"].actual_result, rows["TEST 8"].status) == ("1 mismatches", "FAIL")
+    rows = {x.test_name[:3]: x for x in quality.test_scorecard(make(), AS_OF + timedelta(1)).collect()}
+    assert (rows["T08"].actual_result, rows["T08"].status) == ("1 mismatches", "FAIL")

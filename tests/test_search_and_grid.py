@@ -65,7 +65,7 @@ def test_query_words():
     assert query_words("The Leaking, leaking DOORS of a box") == ["leak", "door", "box"]
 
 
-def test_grid_search_sort_and_clamp(spark):
+def test_grid_search_sort_and_page(spark):
     rows = [(1, "b10", "7"), (2, None, "12"), (3, "a", None), (4, "B2", "x")]
     df = spark.createDataFrame(rows, "id int, name string, mixed string")
     ids = lambda **options: [x.id for x in grid.grid_query(df, **options).collect()]
@@ -73,7 +73,8 @@ def test_grid_search_sort_and_clamp(spark):
     assert ids(term="12") == [2]
     assert ids(sort="mixed") == [3, 1, 2, 4]
     assert ids(sort="id", descending=True) == [4, 3, 2, 1]
-    assert ids(sort="id", page=9, page_size=3) == [4]
+    assert ids(sort="id", page=2, page_size=3) == [4]
+    assert ids(sort="id", page=9, page_size=3) == []
     assert ids(term="nothing", page=3) == []
 
 

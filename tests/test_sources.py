@@ -1,59 +1,28 @@
 import json
-from datetime import date, datetime
 
 import pytest
 from conftest import AS_OF
 
-from rentgrain.operators import library, quality, reports, rewrites
+from rentgrain.operators import library, reports, rewrites
 from rentgrain.plans.views import register
 from rentgrain.sources import canonical
-from rentgrain.sources.fixtures import Size, portfolio
 
 
-@pytest.fixture(scope="module")
-def generated(spark):
-    return portfolio(spark, AS_OF)
-
-
-def test_standard_portfolio(generated):
-    counts = {x.entity: x.row_count for x in library.table_row_counts(generated).collect()}
-    payments = counts.pop("payments")
-    assert counts == {
-        "properties": 25, "units": 300, "tenants": 260, "leases": 456, "maintenance_requests": 420, "vendors": 40,
-        "work_orders": 380,
-    }
-    assert 2300 < payments < 2700
-    assert quality.violations(generated, AS_OF).collect() == []
-    assert quality.schema_violations(generated).collect() == []
-    quality.quality_gate(generated, AS_OF)
-
-
-def test_generated_rows(generated):
-    first = generated.properties.orderBy("property_id").first()
-    assert (first.property_code, first.property_name, first.address_line1) == (
-        "PROP-001", "Maple Residences 1", "117 Main Street"
+@pytest.fixture
+def some(make):
+    return make(
+        properties=[{}, {"property_code": "Q"}], units=[{}, {"property_id": 2}], leases=[{}, {"unit_id": 2}],
+        payments=[{}, {"payment_reference": "S", "lease_id": 2}], maintenance_requests=[{}], vendors=[{}], work_orders=[{}],
     )
-    unit = generated.units.filter("unit_id = 17").first()
-    assert (unit.property_id, unit.unit_number, unit.market_rent) == (2, "2A", 900 + 48 + 235 + 40)
-    lease = generated.leases.filter("lease_id = 1").first()
-    assert (lease.unit_id, lease.tenant_id, lease.lease_status) == (1, 7, "active")
-    assert generated.leases.filter("lease_status = 'active'").agg({"lease_id": "max"}).first()[0] == 256
-    late = {x.payment_status for x in generated.payments.filter("payment_reference LIKE 'HIST%'").collect()}
-    assert late == {"late", "paid"}
 
 
-def test_scaled_portfolio(spark):
-    t = portfolio(spark, AS_OF, Size.of(50))
-    assert (t.units.count(), t.tenants.count(), t.maintenance_requests.count()) == (600, 520, 840)
-
-
-def test_tables_round_trip_and_filters_reach_the_scan(spark, generated, tmp_path):
+def test_tables_round_trip_and_filters_reach_the_scan(spark, some, tmp_path):
     folder = str(tmp_path / "v1")
-    canonical.save_tables(generated, folder)
+    canonical.save_tables(some, folder)
     stored = canonical.load_tables(spark, folder)
-    assert {n: f.count() for n, f in stored.items()} == {n: f.count() for n, f in generated.items()}
+    assert {n: f.count() for n, f in stored.items()} == {n: f.count() for n, f in some.items()}
     with pytest.raises(Exception, match="already exists"):
-        canonical.save_tables(generated, folder)
+        canonical.save_tables(some, folder)
 
     scans = rewrites.plan_text
     after = scans(rewrites.expiry_after(stored, AS_OF))
@@ -80,9 +49,3 @@ def test_views_and_functions_in_sql(spark, make):
     assert spark.sql("SELECT * FROM property_summary(1)").first() == ("Oak", 50.0, 0.0, 1)
     for name in names:
         spark.catalog.dropTempView(name)
-
-
-def test_fixture_day_is_the_only_clock(spark):
-    early = portfolio(spark, date(2020, 2, 29), now=datetime(2020, 2, 29, 8))
-    quality.quality_gate(early, date(2020, 2, 29))
-    assert early.payments.agg({"due_date": "max"}).first()[0] == date(2020, 2, 1)
