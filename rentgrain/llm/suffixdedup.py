@@ -240,7 +240,8 @@ def without_repeats(docs: DataFrame, text: str = "text", span: int = SPAN, as_te
     rest = docs.drop(*new)
     spans = stored(repeated_spans(rest, text, span))
     marked = rest.withColumn("_print", print_of(F.col(text)))
-    joined = marked.join(small(spans.select(F.col("print").alias("_print"), F.col("spans").alias("_spans"))), "_print", "left").drop("_print")
+    spans = spans.select(F.col("print").alias("_print"), F.col("spans").alias("_spans"))
+    joined = marked.join(spans, "_print", "left").drop("_print")
     where, at = joined.columns.index(text), joined.columns.index("_spans")
     names = [*(c for c in joined.columns if c != "_spans"), *new]
     pair = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
