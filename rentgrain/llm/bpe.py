@@ -86,12 +86,13 @@ class PrefixEncoder:
         self.vocabulary = vocabulary = Vocabulary(path)
         self.matches = ahocorasick.Automaton()
         for step, token in enumerate(vocabulary.step_bytes):
-            self.matches.add_word(token.decode("latin-1"), (step, len(token)))
+            self.matches.add_word(token.decode("latin-1"), step)
         self.matches.make_automaton()
         self.pre_tokens = regex.compile(PRE_TOKEN)
         names = sorted(vocabulary.specials, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.lengths, self.id_of_step = list(map(len, vocabulary.step_bytes)), vocabulary.id_of_step
+        self.compatible: dict[int, bool] = {}
         self.known = _Known(self)
 
     def stands(self, left: int, right: int) -> bool:
@@ -113,27 +114,35 @@ class PrefixEncoder:
                 earliest, right = right + 1, parts[right][0]
 
     def pair_stands(self, left: int, right: int) -> bool:
-        key = (left, right)
-        found = self.compatible.get(key)
-        if found is None:
-            if len(self.compatible) >= KEPT_PAIRS:
-                self.compatible.clear()
-            found = self.compatible[key] = self.stands(left, right)
+        """``stands``, kept by pair."""
+        if len(self.compatible) >= KEPT_PAIRS:
+            self.compatible.clear()
+        found = self.compatible[left << 20 | right] = self.stands(left, right)
         return found
 
     def pre_token_ids(self, pre_token: str) -> list[int]:
         """Ids of one pre-token: last token of every prefix, then back from the end."""
         spelled = pre_token.encode("utf-8").decode("latin-1")
-        size = len(spelled)
-        last, start = [-1] * (size + 1), [0] * (size + 1)
-        for end, (step, length) in self.matches.iter(spelled):
-            after, before = end + 1, end + 1 - length
-            if last[after] < 0 and (before == 0 or (last[before] >= 0 and self.pair_stands(last[before], step))):
-                last[after], start[after] = step, before
-        ids, at = [], size
+        known, lengths = self.compatible, self.lengths
+        last = [-1] * (len(spelled) + 1)
+        for end, step in self.matches.iter(spelled):
+            after = end + 1
+            if last[after] >= 0:
+                continue
+            before = after - lengths[step]
+            if before:
+                left = last[before]
+                if left < 0:
+                    continue
+                stands = known.get(left << 20 | step)
+                if not (self.pair_stands(left, step) if stands is None else stands):
+                    continue
+            last[after] = step
+        ids, at = [], len(spelled)
         while at:
-            ids.append(self.vocabulary.id_of_step[last[at]])
-            at = start[at]
+            step = last[at]
+            ids.append(self.id_of_step[step])
+            at -= lengths[step]
         return ids[::-1]
 
     def encode(self, text: str) -> list[int]:
@@ -154,16 +163,21 @@ class PrefixEncoder:
 
 
 class _Known(dict):
-    """Ids of pre-tokens met before; emptied when full."""
+    """Ids of pre-tokens met before, in two generations.
+
+    When the younger one is full it becomes the older one, from which what is met again moves up.
+    """
 
     def __init__(self, encoder: PrefixEncoder) -> None:
         super().__init__()
         self.encoder = encoder
+        self.older: dict[str, list[int]] = {}
 
     def __missing__(self, pre_token: str) -> list[int]:
-        ids = self.encoder.pre_token_ids(pre_token)
+        ids = self.older.get(pre_token) or self.encoder.pre_token_ids(pre_token)
         if len(pre_token) <= KEPT_LENGTH:
             if len(self) >= KEPT_PRE_TOKENS:
+                self.older = dict(self)
                 self.clear()
             self[pre_token] = ids
         return ids
