@@ -22,6 +22,8 @@ from rentgrain.llm.frames import documents, let, small, stored
 WINDOW = 10
 #: Fixed value: what separates words once A-Z are in lower case.
 GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Items with all their windows that may be broadcast.
+WIDE_ROWS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -98,7 +100,7 @@ def meetings(index: DataFrame, searched: DataFrame) -> DataFrame:
         .agg(F.collect_set("at").alias("met"))
     )
     both = lambda w: F.array_contains("met", w["a"]) & F.array_contains("met", w["b"])
-    return found.join(small(offsets), "id").where(F.exists("windows", both)).select("key", "item", "words", "span", "start")
+    return found.join(small(offsets, WIDE_ROWS), "id").where(F.exists("windows", both)).select("key", "item", "words", "span", "start")
 
 
 def proximity_matches(index: DataFrame, searched: DataFrame, slop: int) -> DataFrame:
@@ -146,7 +148,7 @@ def occurrences(
     searched = stored(probes(items, document_frequency(rest, items, text)))
     places = meetings(postings(rest, searched, key, text), searched)
     by_text = stored(places.groupBy("key").agg(F.collect_set(F.struct("item", "words", "span", "start")).alias("_places")))
-    joined = rest.join(small(by_text.withColumnRenamed("key", "_key")), F.col(key) == F.col("_key"), "left")
+    joined = rest.join(by_text.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
     found = joined.withColumn(
         "_found",
         F.when(
