@@ -12,6 +12,8 @@ from rentgrain.llm.frames import documents, small, stored
 
 #: No SQL states a trained classifier, sketches or suffix arrays; tests compare with brute force instead.
 ORACLE_SQL: str | None = None
+#: The near-duplicate stage links at a Jaccard similarity of ``SIMILAR`` / 100; ``op2_neardup`` has its own value.
+SIMILAR = 80
 
 
 def _with_room(docs: DataFrame, names: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -32,7 +34,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that share an id are one document. Rows without an id stay.
     """
-    found = stored(neardup.near_duplicates(docs.select("doc_id", "text")))
+    found = stored(neardup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILAR))
     dropped = stored(found.where(~F.col("kept")).select("doc_id").distinct())
     repeated = stored(found.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
     rest = docs.join(small(dropped), "doc_id", "left_anti")

@@ -11,8 +11,10 @@ exactly in another way:
 * Two linked classes share ``needed`` retained values or more, but for a chance below 1e-7. A class
   with fewer values in long lists than that shares a value of a short list with each partner.
 * Classes with as many or more (dense ones) are compared on full sets. In the order of rising
-  frequency, partners share one of the first 15 % of their shingles, so shingles that no other dense
-  class has leave most of them without candidates.
+  frequency, partners share one of the first 15 % of their shingles (100 - ``percent``), so shingles
+  that no other dense class has leave most of them without candidates.
+
+``percent`` is the similarity from which texts are linked; all bounds follow from it.
 
 Pairs inside a component are not looked for: every list first links its members to one hub, and only
 members of different components are compared after that.
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,10 @@ from rentgrain.llm.anchors import BASE, POWERS, mixed
 from rentgrain.llm.components import components
 from rentgrain.llm.frames import documents, map_batches, small, stored
 
-#: Link at a Jaccard similarity of ``PERCENT`` / 100 on shingles of ``WORDS`` words.
+#: ``op2_neardup`` links at a Jaccard similarity of ``PERCENT`` / 100 on shingles of ``WORDS`` words.
 PERCENT, WORDS = 85, 5
-#: Values in a sketch, shared ones that a pair must have, and classes in a list from which it is long.
-K, SHARED, LONG = 32, 12, 50
+#: Values in a sketch, chance of missing a link that its bounds may have, and classes in a list from which it is long.
+K, MISSED, LONG = 32, 1e-9, 50
 #: Parts by hash in which shingles of dense classes are counted, to bound what two of them share.
 PARTS = 32
 
@@ -112,17 +115,33 @@ def full_sets(docs: DataFrame, ids: DataFrame, key: str, text: str) -> DataFrame
     return map_batches(rows, batches, "id long, set array<long>")
 
 
-def needed(n: Column) -> Column:
-    """Retained values that a class of ``n`` shingles shares with each partner."""
-    return F.when(n >= 28, F.lit(SHARED)).otherwise(F.ceil(n * PERCENT / 100))
+def least_shared(percent: int) -> int:
+    """Of the ``K`` values of a union sketch, those that linked sets share but for a chance of ``MISSED``.
+
+    Each is shared with a chance of ``percent`` / 100 or more. Drawn without replacement, fewer are rarer still.
+    """
+    x, below = percent / 100, 0.0
+    for shared in range(K + 1):
+        below += comb(K, shared) * x**shared * (1 - x) ** (K - shared)
+        if below >= MISSED:
+            return shared
+    return K
+
+
+def needed(n: Column, percent: int) -> Column:
+    """Retained values that a class of ``n`` shingles shares with each partner.
+
+    A partner has up to n * 100 / ``percent`` shingles; while these fit a sketch, both sketches are whole.
+    """
+    return F.when(100 * n > percent * K, F.lit(least_shared(percent))).otherwise(F.ceil(n * percent / 100))
 
 
-def similar(shared: Column, a: Column, b: Column) -> Column:
+def similar(shared: Column, a: Column, b: Column, percent: int) -> Column:
     """Whether sets of ``a`` and ``b`` elements that share ``shared`` are linked."""
-    return 100 * shared >= PERCENT * (a + b - shared)
+    return 100 * shared >= percent * (a + b - shared)
 
 
-def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes and union sketches allow a link; both sketches whole, the answer is exact."""
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -131,23 +150,23 @@ def plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     met = F.size(F.array_intersect(union, common))
     exact = (F.col("n_a") <= K) & (F.col("n_b") <= K)
     return both.where(
-        (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        & F.when(exact, similar(F.size(common), F.col("n_a"), F.col("n_b"))).otherwise(met >= SHARED)
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & F.when(exact, similar(F.size(common), F.col("n_a"), F.col("n_b"), percent)).otherwise(met >= least_shared(percent))
     ).select("a", "b")
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links on their full sets."""
     side = lambda x: sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return both.where(similar(shared, F.size("set_a"), F.size("set_b"))).select("a", "b")
+    return both.where(similar(shared, F.size("set_a"), F.size("set_b"), percent)).select("a", "b")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+def confirmed(docs: DataFrame, pairs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """The pairs that are links, with the full sets of their texts made for it."""
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    return linked(pairs, stored(full_sets(docs, ids, key, text)))
+    return linked(pairs, stored(full_sets(docs, ids, key, text)), percent)
 
 
 def _ordered(a: str | Column, b: str | Column) -> list[Column]:
@@ -161,11 +180,11 @@ def _to_hubs(members: DataFrame, rank: Column) -> DataFrame:
     return members.join(hubs, "value").where("id <> hub").select(*_ordered("id", "hub")).distinct()
 
 
-def _dense_lists(sets: DataFrame) -> DataFrame:
+def _dense_lists(sets: DataFrame, percent: int) -> DataFrame:
     """Lists (value, id, n, alone, place, parts) of the rarest shingles of dense classes.
 
     ``alone`` counts the shingles that no other dense class has. A class is listed under the shingles
-    among its first 15 % (and one) in rising frequency which others have too; ``place`` is how many
+    among its first 100 - ``percent`` % (and one) in rising frequency which others have too; ``place`` is how many
     come before. ``parts`` counts its shingles that others have, by hash in ``PARTS`` parts.
     """
     exploded = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("value"))
@@ -176,28 +195,28 @@ def _dense_lists(sets: DataFrame) -> DataFrame:
         F.array(*(F.count_if(shared & (F.col("value") % PARTS == k)) for k in range(PARTS))).alias("parts"),
         F.sort_array(F.collect_list(F.struct("f", "value"))).alias("rising"),
     )
-    first = F.slice("rising", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    first = F.slice("rising", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     listed = placed.select("id", "n", "alone", "parts", F.posexplode(F.filter(first, lambda x: x["f"] > 1)["value"]).alias("k", "value"))
     return listed.select("value", "id", "n", "alone", (F.col("alone") + F.col("k")).alias("place"), "parts")
 
 
-def links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Components (node, root) of the classes (id, n, sketch) that have a partner."""
     held = classes.select("id", "n", F.explode("sketch").alias("value"))
     lists = held.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(held.join(lists, "value"))
     standing = stored(
         members.groupBy("id", "n").agg(F.sum("size").alias("known"), F.count_if(F.col("size") > LONG).alias("hot"))
-        .withColumn("dense", F.col("hot") >= needed(F.col("n")))
+        .withColumn("dense", F.col("hot") >= needed(F.col("n"), percent))
     )
     members = members.where(F.col("size") <= LONG).join(standing.drop("n"), "id")
     members = stored(members)
     dense = stored(full_sets(docs, stored(standing.where("dense").select("id")), key, text))
-    rare = stored(_dense_lists(dense))
+    rare = stored(_dense_lists(dense, percent))
 
-    hubs = plausible(_to_hubs(members, F.col("known")), classes)
-    rare_hubs = plausible(_to_hubs(rare, -F.col("alone") / F.col("n")), classes)
-    first = stored(confirmed(docs, stored(hubs.unionByName(rare_hubs).distinct()), key, text))
+    hubs = plausible(_to_hubs(members, F.col("known")), classes, percent)
+    rare_hubs = plausible(_to_hubs(rare, -F.col("alone") / F.col("n")), classes, percent)
+    first = stored(confirmed(docs, stored(hubs.unionByName(rare_hubs).distinct()), key, text, percent))
     roots = components(first)
 
     def rooted(frame: DataFrame) -> DataFrame:
@@ -212,7 +231,7 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame
     short = (
         crossed(rooted(members), "n", "hot")
         .groupBy("id_x", "id_y", "n_x", "n_y", "hot_x", "hot_y").agg(F.count("*").alias("met"))
-        .where(F.col("met") + F.least("hot_x", "hot_y") >= needed(F.greatest("n_x", "n_y")))
+        .where(F.col("met") + F.least("hot_x", "hot_y") >= needed(F.greatest("n_x", "n_y"), percent))
         .select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
     )
     # At the first shingle in rising order that partners share, they share no more than what is left of
@@ -223,15 +242,15 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str) -> DataFrame
     several = mixed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     mixed = stored(mixed.join(several.select("value"), "value", "left_semi"))
     sizes = (F.col("n_x"), F.col("n_y"))
-    long = crossed(mixed, "n", "place", "parts").where(similar(left, *sizes) & similar(parts, *sizes))
+    long = crossed(mixed, "n", "place", "parts").where(similar(left, *sizes, percent) & similar(parts, *sizes, percent))
     long = long.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
-    rest = stored(plausible(short.unionByName(long).distinct(), classes))
-    second = confirmed(docs, rest, key, text)
+    rest = stored(plausible(short.unionByName(long).distinct(), classes, percent))
+    second = confirmed(docs, rest, key, text, percent)
     return components(first.unionByName(second))
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id, kept) of every row of ``docs``.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(key, n_shingles, component_id, kept) of every row of ``docs``, linked at a similarity of ``percent`` / 100.
 
     Null and empty texts and those without words have no shingles and are linked with nothing. Rows
     with one id and different texts count as linked; rows without an id are linked through copies of
@@ -243,7 +262,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         worded.groupBy("print").agg(F.min("id").alias("id"), F.max("id").alias("last"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     )
     classes = grouped.where("id IS NOT NULL").drop("print", "last")
-    roots = links(docs, classes, key, text)
+    roots = links(docs, classes, key, text, percent)
     moved = grouped.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
         "print", F.coalesce("root", "id").alias("component_id"), "id", "last"
     )
@@ -257,4 +276,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document and whether it stays."""
-    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), percent=PERCENT)

@@ -345,3 +345,71 @@ def test_pipeline_on_odd_rows(spark, odd, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, str(tmp_path))
     assert nothing.count() == 0
+
+
+def brute_kept(table, percent):
+    """Smallest ids of the groups of (id, text) that brute force links at ``percent`` / 100."""
+    sets = dict(shingle_sets(table))
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            shared = len(sets[a] & sets[b])
+            if a < b and shared and 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    return set(root.values())
+
+
+def near_pairs():
+    """Pairs (id, text) with Jaccard similarities of 0.79, 0.80, 0.83 and 0.85, and what each has."""
+    table, has = [], {}
+    for k, (words, edits) in enumerate([(48, 1), (49, 1), (58, 1), (66, 1), (94, 2), (85, 2)]):
+        first = [f"p{k}x{i}." if i % 9 == 8 else f"p{k}x{i}" for i in range(words)]
+        second = list(first)
+        for e in range(edits):
+            second[20 + 30 * e] = f"edit{k}x{e}"
+        sets = dict(shingle_sets([(0, " ".join(first)), (1, " ".join(second))]))
+        has[1000 + 2 * k] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        table += [(1000 + 2 * k, " ".join(first).capitalize()), (1001 + 2 * k, " ".join(second).capitalize())]
+    return table, has
+
+
+@pytest.mark.parametrize("percent,kept", [(85, 12), (80, 10)])
+def test_least_shared(percent, kept):
+    assert neardup.least_shared(percent) == kept
+
+
+@pytest.mark.parametrize("limit", [50, 1])
+def test_near_duplicates_at_other_thresholds(spark, monkeypatch, limit):
+    monkeypatch.setattr(neardup, "LONG", limit)
+    table, has = near_pairs()
+    r = random.Random(8)
+    for group in range(4):
+        base = prose(300 + group, r.choice([20, 40, 90])).split()
+        for _ in range(12):
+            words = list(base)
+            for _ in range(r.randrange(4)):
+                words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+            table.append((len(table), " ".join(words)))
+    assert sorted(round(x, 4) for x in has.values()) == [0.7802, 0.7959, 0.8, 0.8, 0.8305, 0.8507]
+    for percent in (80, 60):
+        found = rows_of(neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), percent=percent))
+        assert {x["doc_id"] for x in found if x["kept"]} == brute_kept(table, percent)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    pairs, has = near_pairs()
+    good = [(k, prose(k, 80).capitalize() + ".") for k in range(150)]
+    junk = [(2000 + k, prose(k, 60).upper().replace(" ", "!! ")) for k in range(25)]
+    junk += [(3000 + k, prose(k, 60).replace(" ", "*** ")) for k in range(25)] + [(4000 + k, f"word{k} " * 80) for k in range(25)]
+    passage = " ".join(good[7][1].split()[20:40])
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(d, t, "en", "a", len(t)) for d, t in pairs + good + junk]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = neardup.documents(spark, str(tmp_path))
+    accepted = {x["doc_id"] for x in corpus_pipeline.good_quality(spark, docs, str(tmp_path)).collect()}
+    assert {d for d, _ in pairs} <= accepted and 7 in accepted
+    kept = brute_kept([(d, t) for d, t in pairs + good + junk if d in accepted], 80) - {7}
+    assert {d for d, x in has.items() if d + 1 not in kept} == {d for d, x in has.items() if x >= 0.8}
+    found = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
+    assert sorted(x["doc_id"] for x in found) == sorted(kept) and all(x["round_trip"] for x in found)
