@@ -32,14 +32,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group of near-duplicates, once.
 
-    Rows that share an id are one document. Rows without an id stay.
+    Rows that share an id are one document. Rows without an id get one from a hash of their text, above
+    all ids below 2^62; those without words are copies of nothing and stay.
     """
-    found = stored(neardup.near_duplicates(docs.select("doc_id", "text"), percent=SIMILAR))
-    dropped = stored(found.where(~F.col("kept")).select("doc_id").distinct())
-    repeated = stored(found.where("kept").groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"))
-    rest = docs.join(small(dropped), "doc_id", "left_anti")
-    single = rest.join(small(repeated), "doc_id", "left_anti")
-    folded = rest.join(small(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    worded = F.coalesce("text", F.lit("")).rlike(r"[^\x09-\x0D ]")
+    of_text = F.when(worded, F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    docs_with = docs.withColumn("_name", F.coalesce(F.col("doc_id").cast("long"), of_text))
+    found = stored(neardup.near_duplicates(docs_with.select("_name", "text"), key="_name", percent=SIMILAR))
+    dropped = stored(found.where(~F.col("kept")).select("_name").distinct())
+    repeated = stored(found.where("kept").groupBy("_name").count().where("count > 1 AND _name IS NOT NULL").select("_name"))
+    rest = docs_with.join(small(dropped), "_name", "left_anti")
+    single = rest.join(small(repeated), "_name", "left_anti")
+    folded = rest.join(small(repeated), "_name", "left_semi").dropDuplicates(["_name"])
     return single.unionByName(folded).select(*docs.columns)
 
 

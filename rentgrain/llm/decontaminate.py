@@ -140,15 +140,19 @@ def occurrences(
 ) -> DataFrame:
     """``docs`` with n_words, hit_positions and hit_items (item ids as sorted strings).
 
-    A null text has no words, an item without words no windows. Rows with equal keys each get the
-    result of their own text. Columns with the new names are replaced.
+    A null text has no words, an item without words no windows. Rows with equal keys or none each get
+    the result of their own text. Columns with the new names are replaced.
+
+    Places belong to a hash of key and text. Texts that share one by chance share places, which are
+    compared with each text.
     """
     items = stored(items_of(benchmark, item, text))
     rest = docs.drop("n_words", "hit_positions", "hit_items")
+    own = F.xxhash64(F.lit(1), key, text)
     searched = stored(probes(items, document_frequency(rest, items, text)))
-    places = meetings(postings(rest, searched, key, text), searched)
+    places = meetings(postings(rest.select(own.alias("_key"), F.col(text).alias("_text")), searched, "_key", "_text"), searched)
     by_text = stored(places.groupBy("key").agg(F.collect_set(F.struct("item", "words", "span", "start")).alias("_places")))
-    joined = rest.join(by_text.withColumnRenamed("key", "_key"), F.col(key) == F.col("_key"), "left")
+    joined = rest.join(by_text.withColumnRenamed("key", "_key"), own == F.col("_key"), "left")
     found = joined.withColumn(
         "_found",
         F.when(

@@ -413,3 +413,19 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert {d for d, x in has.items() if d + 1 not in kept} == {d for d, x in has.items() if x >= 0.8}
     found = rows_of(corpus_pipeline.run(spark, str(tmp_path)))
     assert sorted(x["doc_id"] for x in found) == sorted(kept) and all(x["round_trip"] for x in found)
+
+
+def test_rows_without_an_id(spark, tmp_path):
+    passage = " ".join(prose(9, 30).split())
+    texts = [(None, f"{prose(21, 30)} {passage}"), (None, passage), (None, prose(22, 60)), (None, None), (5, prose(23, 60)), (5, f"x {passage}"), (None, prose(22, 60)), (None, prose(23, 60)), (None, " ")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts], SCHEMA)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = rows_of(decontaminate.occurrences(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet"))))
+    order = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((x["text"], len(x["hit_positions"])) for x in found), key=order) == sorted(
+        ((t, 30 if t and passage in t else 0) for _, t in texts), key=order
+    )
+    clean = [x["text"] for x in rows_of(corpus_pipeline.uncontaminated(spark, docs, str(tmp_path)))]
+    assert sorted(map(str, clean)) == sorted(str(t) for _, t in texts if not (t and passage in t))
+    once = [(x["doc_id"], x["text"]) for x in rows_of(corpus_pipeline.one_of_each(spark, docs.where("coalesce(text, '') NOT LIKE 'x %'"), ""))]
+    assert sorted(once, key=order) == sorted([texts[k] for k in (0, 1, 2, 3, 4, 8)], key=order)
