@@ -429,3 +429,21 @@ def test_rows_without_an_id(spark, tmp_path):
     assert sorted(map(str, clean)) == sorted(str(t) for _, t in texts if not (t and passage in t))
     once = [(x["doc_id"], x["text"]) for x in rows_of(corpus_pipeline.one_of_each(spark, docs.where("coalesce(text, '') NOT LIKE 'x %'"), ""))]
     assert sorted(once, key=order) == sorted([texts[k] for k in (0, 1, 2, 3, 4, 8)], key=order)
+
+
+@pytest.mark.parametrize("common,core", [(1 << 18, 1 << 10), (64, 8)])
+def test_backoff_keeps_pairs_met_once(spark, odd, monkeypatch, tmp_path, common, core):
+    monkeypatch.setattr(backoff, "COMMON", common)
+    monkeypatch.setattr(backoff, "CORE", core)
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    words = [backoff.words_of(t) for _, t, *_ in ODD]
+    single, pairs = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:]))
+    total = sum(single.values())
+    assert 1 in pairs.values()
+
+    def expected(x):
+        first = math.log(single[x[0]] / total) if x else 0.0
+        return first + sum(math.log(pairs[p] / single[p[0]]) for p in zip(x, x[1:]))
+
+    found = rows_of(backoff.op8_lm_score(spark, str(tmp_path)))
+    assert sorted((x["n_words"], round(x["score"], 4)) for x in found) == sorted((len(x), round(expected(x), 4)) for x in words)
