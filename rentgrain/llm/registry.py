@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rentgrain.llm import backoff, bpe, decontaminate, language, neardup, quality, rules, suffixdedup, unigram, warc
+from rentgrain.llm import (
+    alignment,
+    backoff,
+    bpe,
+    collocations,
+    decontaminate,
+    impactsearch,
+    language,
+    neardup,
+    quality,
+    rules,
+    suffixdedup,
+    unigram,
+    warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": backoff.op8_lm_score,
         "op9_bpe": bpe.op9_bpe,
         "op10_language": language.op10_language,
+        "op11_alignment": alignment.op11_alignment,
+        "op12_collocations": collocations.op12_collocations,
+        "op13_exact_topk": impactsearch.op13_exact_topk,
     }
 
 
@@ -29,4 +46,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontaminate.OP1_SQL,
         "op5_warc": warc.OP5_SQL,
         "op7_rules": rules.OP7_SQL,
+        "op12_collocations": collocations.OP12_SQL,
+        "op13_exact_topk": impactsearch.OP13_SQL,
     }
