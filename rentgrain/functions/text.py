@@ -1,17 +1,17 @@
-"""Words of a text: lower-cased, without stop words, lightly stemmed."""
+"""Words of a text for searching: lower-cased, placed, without stop words, stemmed."""
 
 from __future__ import annotations
 
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .stems import common_start, stems, stems_of
+
 # Letters and digits make words; everything else separates them.
 SEPARATOR = r"[^\p{L}\p{N}]+"
-# Shortest stem of three or more characters in front of a common English ending.
-ENDING = r"^(.{3,}?)(ings?|edly|ed|es|s|e)$"
 
 # The English stop word list used by the search.
 STOP_WORDS = (
@@ -24,20 +24,35 @@ STOP_WORDS = (
 ).split()
 
 
-def words(text: Column, prefixes: list[str] | None = None) -> Column:
-    """Array of stemmed words in reading order, with repeats.
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """Distinct stems of a search query, in order; stop words are left out."""
+    raw = [w for w in re.split(r"[\W_]+", query.lower()) if w and w not in STOP_WORDS]
+    return list(dict.fromkeys(stems_of(spark, raw)))
 
-    With ``prefixes``, only words that start with one of them; all others are dropped
-    before the costlier steps.
-    """
-    raw = F.split(F.lower(text), SEPARATOR)
-    if prefixes:
-        raw = F.filter(raw, lambda w: reduce(lambda a, b: a | b, [w.startswith(p) for p in prefixes]))
-    kept = F.filter(raw, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-    return F.transform(kept, lambda w: F.regexp_replace(w, ENDING, "$1"))
 
+def may_have(text: Column, terms: list[str]) -> Column:
+    """Whether the text has the beginning of every term: true for each text that has all terms, cheap to test."""
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a & b, [lowered.contains(common_start(term)) for term in terms], F.lit(bool(terms)))
 
-def query_words(query: str) -> list[str]:
-    """Distinct stemmed words of a search query, in order."""
-    raw = [w for w in re.split(r"[\W_]+", query.lower()) if w and w not in STOP_WORDS]
-    return list(dict.fromkeys(re.sub(ENDING, r"\1", w) for w in raw))
+
+def placed(text: Column) -> Column:
+    """All words in order as (place, word); places count from 1, stop words included."""
+    words = F.array_remove(F.split(F.lower(text), SEPARATOR), "")
+    return F.transform(words, lambda w, i: F.struct((i + 1).alias("place"), w.alias("word")))
+
+
+def could_be(word: Column, terms: list[str]) -> Column:
+    """Whether a word may have one of the terms as its stem."""
+    start = reduce(lambda a, b: a | b, [word.startswith(common_start(term)) for term in terms], F.lit(False))
+    return start & ~word.isin(*STOP_WORDS)
+
+
+def hits(text: Column, terms: list[str]) -> Column:
+    """Where the terms occur, in order, as (place, term).
+
+    Words that cannot have one of the stems are dropped before stemming.
+    """
+    likely = F.filter(placed(text), lambda p: could_be(p["word"], terms))
+    found = F.arrays_zip(likely["place"].alias("place"), stems(likely["word"]).alias("term"))
+    return F.filter(found, lambda h: h["term"].isin(*terms) if terms else F.lit(False))

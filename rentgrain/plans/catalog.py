@@ -203,7 +203,7 @@ def _search(query: str, limit: int | None = search.LIMIT) -> Query:
 def _indexed(spark: SparkSession, folder: str) -> DataFrame:
     requests = star.document_requests(spark, folder)
     units = star.star_tables(spark, folder).units
-    return search.indexed_search(search.search_index(requests), requests, units, SEARCHES[0])
+    return search.indexed_search(requests, units, SEARCHES[0], limit=None)
 
 
 JOBS: dict[str, Query] = {
@@ -229,6 +229,8 @@ JOBS: dict[str, Query] = {
     "text_search_all": _search(SEARCHES[0], limit=None),
     "text_search_one_word": _search(SEARCHES[1]),
     "text_search_stop_words": _search(SEARCHES[2]),
+    "text_search_three_words": _search(SEARCHES[3], limit=None),
+    "text_search_unchanged_word": _search(SEARCHES[4]),
     "indexed_search": _indexed,
 }
 
