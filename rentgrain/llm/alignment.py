@@ -16,10 +16,13 @@ chunk and plane however often it occurs.
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,46 +30,64 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from rentgrain.llm import bpe
 from rentgrain.llm.frames import documents, map_batches, stored
 
 #: Documents and links of a chunk; a chunk of one long text may have more links.
 CHUNK_DOCS, CHUNK_LINKS = 1 << 16, 4_000_000
-#: Pieces a worker keeps from one chunk to the next.
-KEPT_PIECES = 400_000
+#: Pieces from which a worker ends its chunk and starts with none again.
+KEPT_PIECES = 500_000
 #: Documents from which a container is a bitmap of ``CHUNK_DOCS`` bits instead of a list of 16-bit numbers.
 DENSE = 4096
 #: Bits of a pair's code that hold the second id.
 SECOND = 17
 SPACE = "▁"
 
-_CUT = re.compile(r"(?<=\S)(?= )")
+_CUT, _RUN = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
 
 
-def aligned(first: list[int], first_ends: list[int], second: list[int], second_ends: list[int]) -> tuple[str, int, list[int]]:
+def aligned(first: list[int], first_sizes: list[int], second: list[int], second_sizes: list[int]) -> tuple[str, int, list[int]]:
     """Groups as text, their number, and the codes of the linked pairs of two tokenizations of the same bytes."""
-    groups, left, right, links = [], [], [], []
-    i = j = 0
-    while i < len(first):
-        if not left or left[-1] != i:
-            left.append(i)
-        if not right or right[-1] != j:
-            right.append(j)
-        links.append(first[i] << SECOND | second[j])
-        a, b = first_ends[i], second_ends[j]
-        if a == b:
-            groups.append(",".join(str(first[x]) for x in left) + "|" + ",".join(str(second[x]) for x in right))
-            left, right = [], []
-        i, j = i + (a <= b), j + (b <= a)
-    return ";".join(groups), len(groups), links
+    links, text, groups = [], [], 0
+    left_ids, right_ids, ahead = "", "", 0
+    rest_a, rest_b = iter(zip(first, first_sizes, strict=True)), iter(zip(second, second_sizes, strict=True))
+    while True:
+        # ``ahead`` is how far the first side's tokens reach beyond those of the second.
+        if ahead <= 0:
+            before = ahead
+            a, size = next(rest_a, (None, 0))
+            if a is None:
+                return ";".join(text), groups, links
+            ahead += size
+            left_ids = f"{left_ids},{a}" if left_ids else str(a)
+            if before:
+                links.append(a << SECOND | b)
+        if ahead > 0:
+            b, size = next(rest_b)
+            ahead -= size
+            right_ids = f"{right_ids},{b}" if right_ids else str(b)
+            links.append(a << SECOND | b)
+        if ahead == 0:
+            text.append(f"{left_ids}|{right_ids}")
+            left_ids = right_ids = ""
+            groups += 1
 
 
 class Pieces:
     """Pieces of texts with their two encodings, numbered as they are met."""
 
     def __init__(self, first_path: str, second_path: str) -> None:
-        self.bpe = bpe.encoder(first_path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
+        self.first = Tokenizer.from_file(first_path)
+        self.first.encode_special_tokens = True
+        self.first.no_truncation()
+        self.first.no_padding()
+        letters = bpe.byte_letters()
+        specials = {x.content for x in self.first.get_added_tokens_decoder().values()}
+        spelled = {i: t.encode() if t in specials else bytes(map(letters.__getitem__, t)) for t, i in self.first.get_vocab().items()}
+        self.first_bytes = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
         self.other = sentencepiece.SentencePieceProcessor(model_file=second_path)
         names = [self.other.id_to_piece(i) for i in range(self.other.get_piece_size())]
         self.second_bytes = [
@@ -86,32 +107,35 @@ class Pieces:
 
     def split(self, text: str) -> list[str]:
         """Pieces of a space and the text; each begins with a space."""
+        if self.cuts and not _RUN.search(text) and text[0] != " ":
+            return [" " + word for word in text.split(" ")]
         return _CUT.split(" " + text) if self.cuts else [" " + text]
 
-    def number(self, piece: str) -> int:
-        found = self.numbers.get(piece)
-        return self.add(piece) if found is None else found
-
-    def add(self, piece: str) -> int:
-        data = piece.encode("utf-8", "replace")
-        first = [x for t in self.bpe.pre_tokens.findall(piece) for x in self.bpe.known[t]]
+    def encoded(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Both encodings of each piece."""
+        firsts = self.first.encode_batch_fast(pieces, add_special_tokens=False)
         # The library puts a space in front by itself, but not in front of nothing.
-        second = self.other.encode(piece[1:], num_threads=1) if len(piece) > 1 else [self.alone]
-        same = all(
-            b"".join(map(table.__getitem__, ids)) == data for table, ids in ((self.bpe.vocabulary.bytes_of, first), (self.second_bytes, second))
-        )
-        if same:
-            ends = [np.cumsum([len(t[x]) for x in ids]).tolist() for t, ids in ((self.bpe.vocabulary.bytes_of, first), (self.second_bytes, second))]
-            groups, count, links = aligned(first, ends[0], second, ends[1])
-            self.groups.append(groups)
-            self.sizes.extend((len(first), len(second), count, len(links)))
-            self.links.extend(links)
-        else:
-            self.groups.append("")
-            self.sizes.extend((-1, 0, 0, 0))
-        self.starts.append(len(self.links))
-        self.numbers[piece] = number = len(self.groups) - 1
-        return number
+        seconds = self.other.encode([p[1:] for p in pieces], num_threads=1)
+        for piece, first, second in zip(pieces, firsts, seconds, strict=True):
+            yield first.ids, second if len(piece) > 1 else [self.alone]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Number the pieces that are new."""
+        new = [p for p in dict.fromkeys(pieces) if p not in self.numbers]
+        of_first, of_second = self.first_bytes.__getitem__, self.second_bytes.__getitem__
+        for piece, (first, second) in zip(new, self.encoded(new) if new else (), strict=True):
+            data = piece.encode("utf-8", "replace")
+            left, right = list(map(of_first, first)), list(map(of_second, second))
+            if b"".join(left) == data == b"".join(right):
+                groups, count, links = aligned(first, list(map(len, left)), second, list(map(len, right)))
+                self.groups.append(groups)
+                self.sizes.extend((len(first), len(second), count, len(links)))
+                self.links.extend(links)
+            else:
+                self.groups.append("")
+                self.sizes.extend((-1, 0, 0, 0))
+            self.starts.append(len(self.links))
+            self.numbers[piece] = len(self.groups) - 1
 
 
 _PIECES: dict[tuple[str, str], Pieces] = {}
@@ -172,6 +196,7 @@ def chunked(docs: DataFrame, first_path: str, second_path: str, key: str, text:
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(first_path, second_path)
+        gc.disable()  # millions of small objects without a cycle among them
         chunk = TaskContext.get().partitionId() << 32
         held: list[tuple[int, np.ndarray]] = []
         slot = links = 0
@@ -195,7 +220,9 @@ def chunked(docs: DataFrame, first_path: str, second_path: str, key: str, text:
 
         for part in parts:
             rows = []
-            for name, value in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            split = [pieces.split(x) if x else [] for x in part.column(1).to_pylist()]
+            pieces.learn(list(chain.from_iterable(split)))
+            for name, value in zip(part.column(0).to_pylist(), split, strict=True):
                 if slot == CHUNK_DOCS or links >= CHUNK_LINKS:
                     if rows:
                         yield of_documents(rows)
@@ -204,11 +231,9 @@ def chunked(docs: DataFrame, first_path: str, second_path: str, key: str, text:
                         yield from postings()
                     held.clear()
                     slot, links, chunk = 0, 0, chunk + 1
-                    if len(pieces.groups) > KEPT_PIECES:
-                        pieces.clear()
                 sizes = np.zeros((0, 4), dtype=np.int64)
                 if value:
-                    numbers = np.fromiter(map(pieces.number, pieces.split(value)), dtype=np.int64)
+                    numbers = np.fromiter(map(pieces.numbers.__getitem__, value), dtype=np.int64, count=len(value))
                     sizes = np.frombuffer(pieces.sizes, dtype=np.int64).reshape(-1, 4)[numbers]
                 if len(sizes) and sizes[:, 0].min() >= 0:
                     total = sizes.sum(axis=0).tolist()
@@ -221,8 +246,16 @@ def chunked(docs: DataFrame, first_path: str, second_path: str, key: str, text:
                 slot += 1
             if rows:
                 yield of_documents(rows)
+            if len(pieces.groups) > KEPT_PIECES:
+                # The chunk ends here: its documents are held by numbers of pieces.
+                if held:
+                    yield from postings()
+                held.clear()
+                slot, links, chunk = 0, 0, chunk + 1
+                pieces.clear()
         if held:
             yield from postings()
+        gc.enable()
 
     def of_documents(rows: list[tuple]) -> pa.RecordBatch:
         arrays = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
