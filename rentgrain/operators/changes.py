@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.joins import flag, flag_known
-from ..functions.prefix import running_sum
+from ..functions.prefix import row_positions
 from ..schema import MONEY, PRIORITIES, REQUEST_STATUSES, Tables
 from . import definitions as d
 
@@ -39,12 +39,6 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _numbered(df: DataFrame, accepted: Column, order: list[str]) -> DataFrame:
-    """Add ``position`` among the accepted rows; the frame is materialised once on the way."""
-    marked = df.withColumn("_one", accepted.cast("long"))
-    return running_sum(marked, "_one", [], order, "position").drop("_one")
-
-
 # Lease admission ------------------------------------------------------------------
 
 
@@ -167,10 +161,10 @@ def decide_proposals(t: Tables, proposals: DataFrame) -> DataFrame:
 
 def admit_leases(t: Tables, proposals: DataFrame, now: datetime) -> Admission:
     """Turn proposals into active leases, first charges and occupied units."""
-    decided = _numbered(decide_proposals(t, proposals), F.col("reason").isNull(), ["proposal_id"])
-    accepted = decided.filter("reason IS NULL").withColumn(
-        "lease_id", F.col("position") + _largest(t.leases, "lease_id")
-    )
+    decided = decide_proposals(t, proposals)
+    accepted = row_positions(
+        decided.filter("reason IS NULL"), ["proposal_id"], "position", sample_from=proposals
+    ).withColumn("lease_id", F.col("position") + _largest(t.leases, "lease_id"))
     leases = accepted.select(
         "lease_id",
         "unit_id",
@@ -203,7 +197,7 @@ def admit_leases(t: Tables, proposals: DataFrame, now: datetime) -> Admission:
         taken, "unit_status", F.col("_taken"), F.lit("occupied"), now
     ).select(*t.units.columns)
     tables = t.with_(leases=t.leases.unionByName(leases), payments=t.payments.unionByName(charges), units=units)
-    return Admission(tables, leases, charges, decided.filter("reason IS NOT NULL").drop("position"))
+    return Admission(tables, leases, charges, decided.filter("reason IS NOT NULL"))
 
 
 def _touch(df: DataFrame, column: str, changed: Column, value: Column, now: datetime) -> DataFrame:
@@ -248,7 +242,7 @@ def audit_changes(
 
 def append_audit(audit_logs: DataFrame, changes: DataFrame) -> DataFrame:
     """The audit table with the changes appended under the next ids."""
-    numbered = _numbered(changes, F.lit(True), ["record_id"])
+    numbered = row_positions(changes, ["record_id", "table_name"], "position")
     rows = numbered.withColumn("audit_id", F.col("position") + _largest(audit_logs, "audit_id"))
     return audit_logs.unionByName(rows.select(*audit_logs.columns))
 
@@ -350,8 +344,10 @@ def ingest_requests(t: Tables, events: DataFrame) -> Applied:
         .when(~F.col("tenant_known"), "unknown_tenant")
     )
     judged = known.withColumn("reason", reason).drop("unit_known", "tenant_known")
-    numbered = _numbered(judged, F.col("reason").isNull(), ["event_ts", "event_id"])
-    fresh = numbered.filter("reason IS NULL").select(
+    numbered = row_positions(
+        judged.filter("reason IS NULL"), ["event_ts", "event_id"], "position", sample_from=events
+    )
+    fresh = numbered.select(
         (F.col("position") + _largest(t.maintenance_requests, "request_id")).alias("request_id"),
         "unit_id",
         "tenant_id",
@@ -363,7 +359,7 @@ def ingest_requests(t: Tables, events: DataFrame) -> Applied:
         F.lit(None).cast("timestamp").alias("closed_at"),
         F.col("event_ts").alias("updated_at"),
     )
-    rejects = numbered.filter("reason IS NOT NULL").drop("position")
+    rejects = judged.filter("reason IS NOT NULL")
     return Applied(t.maintenance_requests.unionByName(fresh), rejects)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -48,29 +48,35 @@ def dashboard_summary(t: Tables, as_of: date) -> DataFrame:
     )
 
 
-def recent_maintenance(t: Tables, limit: int = 8) -> DataFrame:
+def recent_maintenance(t: Tables, limit: int | None = 8) -> DataFrame:
     """The newest requests with their property and unit."""
     return (
         newest_requests(t, limit)
-        .limit(limit)
+        .transform(limited, limit)
         .select(
             "request_id", "property_name", "unit_number", "title", "priority", "request_status", "created_at"
         )
     )
 
 
-def newest_requests(t: Tables, at_least: int) -> DataFrame:
-    """Requests with unit and property names, newest first, at least the given number if there are."""
-    placed = t.units.select("unit_id", "property_id", "unit_number").join(
+def placed_units(t: Tables) -> DataFrame:
+    """Units with the name of their property."""
+    return t.units.select("unit_id", "property_id", "unit_number").join(
         t.properties.select("property_id", "property_name"), "property_id"
     )
-    latest = at_least_kth(t.maintenance_requests.join(placed, "unit_id", "left_semi"), "created_at", at_least)
-    return (
-        t.maintenance_requests.filter(latest)
-        .drop("description", "tenant_id", "updated_at")
-        .join(placed, "unit_id")
-        .orderBy(F.desc("created_at"), "request_id")
-    )
+
+
+def placed_requests(t: Tables, condition: Column | None = None) -> DataFrame:
+    """Requests with unit and property names."""
+    requests = t.maintenance_requests if condition is None else t.maintenance_requests.filter(condition)
+    return requests.drop("description", "tenant_id", "updated_at").join(placed_units(t), "unit_id")
+
+
+def newest_requests(t: Tables, at_least: int | None) -> DataFrame:
+    """Requests with unit and property names, newest first, at least the given number if there are."""
+    kept = t.maintenance_requests.join(placed_units(t), "unit_id", "left_semi")
+    latest = at_least_kth(kept, "created_at", at_least)
+    return placed_requests(t, latest).orderBy(F.desc("created_at"), "request_id")
 
 
 def active_lease_names(t: Tables, as_of: date) -> DataFrame:
@@ -89,24 +95,24 @@ def active_lease_names(t: Tables, as_of: date) -> DataFrame:
     )
 
 
-def upcoming_expirations(t: Tables, as_of: date, days: int = 60, limit: int = 8) -> DataFrame:
+def upcoming_expirations(t: Tables, as_of: date, days: int = 60, limit: int | None = 8) -> DataFrame:
     """The leases in force that end soonest."""
     ending = F.col("end_date").between(day(as_of), day(as_of + timedelta(days=days)))
-    return active_lease_names(t, as_of).filter(ending).orderBy("end_date", "lease_id").limit(limit)
+    return active_lease_names(t, as_of).filter(ending).orderBy("end_date", "lease_id").transform(limited, limit)
 
 
-def lowest_collection(t: Tables, month: date, limit: int = 7) -> DataFrame:
+def lowest_collection(t: Tables, month: date, limit: int | None = 7) -> DataFrame:
     """The properties with the weakest collection in the month."""
     return (
         r.rent_collection_month(t, month)
         .orderBy("collection_percentage", "property_name", "property_id")
-        .limit(limit)
+        .transform(limited, limit)
     )
 
 
-def lowest_occupancy(t: Tables, as_of: date, limit: int = 12) -> DataFrame:
+def lowest_occupancy(t: Tables, as_of: date, limit: int | None = 12) -> DataFrame:
     """The emptiest properties."""
-    return r.occupancy_report(t, as_of).limit(limit)
+    return r.occupancy_report(t, as_of).transform(limited, limit)
 
 
 def dashboard_bundle(t: Tables, as_of: date) -> dict[str, DataFrame]:
@@ -171,11 +177,11 @@ def pending_payments(t: Tables, as_of: date, limit: int | None = 100) -> DataFra
     )
 
 
-def top_collection(t: Tables, as_of: date, limit: int = 5) -> DataFrame:
+def top_collection(t: Tables, as_of: date, limit: int | None = 5) -> DataFrame:
     """The properties with the best collection this month."""
     return (
         d.rent_collection(t, as_of)
         .orderBy(F.desc_nulls_last("collection_percentage"), "property_id")
-        .limit(limit)
+        .transform(limited, limit)
         .select("property_name", "expected_rent", "collected_rent", "collection_percentage")
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paging import page_of
+
 PAGE_SIZE = 12
 
 
@@ -20,8 +22,8 @@ def matching_rows(df: DataFrame, term: str | None) -> DataFrame:
     return df.filter(reduce(lambda a, b: a | b, [cell.contains(wanted) for cell in cells]))
 
 
-def sort_keys(df: DataFrame, column: str, descending: bool = False) -> list[Column]:
-    """Sort expressions for a column.
+def sort_keys(df: DataFrame, column: str) -> list[Column]:
+    """Expressions to sort a column by, without a direction.
 
     Numbers sort by value with missing as 0. Text that reads as a number sorts by value in
     front of other text, which sorts as text; missing text counts as 0.
@@ -35,7 +37,7 @@ def sort_keys(df: DataFrame, column: str, descending: bool = False) -> list[Colu
         keys = [number.isNull(), F.coalesce(number, F.lit(0.0)), F.lower(cleaned), cleaned]
     else:
         keys = [F.coalesce(value.cast("string"), F.lit(""))]
-    return [key.desc() if descending else key.asc() for key in keys]
+    return keys
 
 
 def grid_query(
@@ -48,10 +50,7 @@ def grid_query(
     tie: str | None = None,
 ) -> DataFrame:
     """One page of the matching rows; a page past the end has none."""
-    if page < 1 or page_size < 1:
-        raise ValueError(f"pages and their sizes start at 1, not {page} and {page_size}")
-    rows = matching_rows(df, term)
-    keys = sort_keys(df, sort or df.columns[0], descending)
-    if tie:
-        keys.append(F.col(tie).asc())
-    return rows.orderBy(*keys).offset((page - 1) * page_size).limit(page_size)
+    keys = {f"_key{n}": key for n, key in enumerate(sort_keys(df, sort or df.columns[0]))}
+    rows = matching_rows(df, term).withColumns(keys)
+    order = [f"-{name}" if descending else name for name in keys] + ([tie] if tie else [])
+    return page_of(rows, order, page, page_size).drop(*keys)

@@ -23,7 +23,7 @@ from ..functions.columns import (
 )
 from ..functions.joins import left_join_many
 from ..functions.paging import at_least_kth, limited
-from ..functions.prefix import running_sum
+from ..functions.prefix import dense_ranks, running_sum
 from ..schema import Tables
 from . import definitions as d
 from . import reports as r
@@ -303,29 +303,9 @@ def monthly_running_collection(t: Tables, month: date) -> DataFrame:
 
 
 def collection_rank(t: Tables, as_of: date) -> DataFrame:
-    """Dense rank of the properties by collection rate, ties sharing a rank.
-
-    Only the distinct rates are ranked. They are two-decimal numbers, so a band of whole
-    percents holds at most ``band * 100`` of them; bands are ranked inside and carried on.
-    """
+    """Dense rank of the properties by collection rate, ties sharing a rank."""
     rates = d.rent_collection(t, as_of).select("property_name", "collection_percentage")
-    band = F.floor(F.col("collection_percentage") / 1000)
-    distinct = rates.select("collection_percentage").distinct().withColumn("band", band)
-    best_first = F.desc_nulls_last("collection_percentage")
-    higher_bands = W.orderBy(F.desc_nulls_last("band")).rowsBetween(W.unboundedPreceding, -1)
-    bands = (
-        distinct.groupBy("band")
-        .agg(F.count("*").alias("size"))
-        .select("band", F.coalesce(F.sum("size").over(higher_bands), F.lit(0)).alias("higher"))
-    )
-    ranks = (
-        distinct.withColumn("inside", F.row_number().over(W.partitionBy("band").orderBy(best_first)))
-        .join(bands, "band")
-        .select("collection_percentage", (F.col("inside") + F.col("higher")).alias("collection_rank"))
-    )
-    return rates.join(ranks, "collection_percentage").select(
-        "property_name", "collection_percentage", "collection_rank"
-    )
+    return dense_ranks(rates, "collection_percentage", "collection_rank", descending=True)
 
 
 def status_cache_mismatch(t: Tables, as_of: date) -> DataFrame:

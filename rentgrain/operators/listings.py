@@ -31,12 +31,14 @@ def properties_list(t: Tables, as_of: date, page: int = 1, page_size: int = DEFA
         "total_units",
         "occupancy_percentage",
     )
-    return page_of(rows.orderBy("property_name", "property_id"), page, page_size)
+    return page_of(rows, ["property_name", "property_id"], page, page_size)
 
 
 def units_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Units with their property."""
-    rows = t.units.join(t.properties.select("property_id", "property_name"), "property_id").select(
+    named = t.units.join(t.properties.select("property_id", "property_name"), "property_id")
+    order = ["property_name", "unit_number", "unit_id"]
+    rows = named.select(
         "unit_id",
         "property_name",
         "unit_number",
@@ -46,7 +48,7 @@ def units_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) ->
         "market_rent",
         "unit_status",
     )
-    return page_of(rows.orderBy("property_name", "unit_number", "unit_id"), page, page_size)
+    return page_of(rows, order, page, page_size, keys=named)
 
 
 def tenant_lease_counts(t: Tables) -> DataFrame:
@@ -64,7 +66,10 @@ def tenant_lease_counts(t: Tables) -> DataFrame:
 
 def tenants_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Tenants with their number of leases."""
-    return page_of(tenant_lease_counts(t).orderBy("last_name", "first_name", "tenant_id"), page, page_size)
+    # Every tenant is one row of the list, so their names alone tell which rows a page holds.
+    return page_of(
+        tenant_lease_counts(t), ["last_name", "first_name", "tenant_id"], page, page_size, keys=t.tenants
+    )
 
 
 def leases_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
@@ -73,10 +78,16 @@ def leases_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) ->
         "lease_id", "tenant_id", "unit_id", "start_date", "end_date", "monthly_rent", "lease_status"
     )
     tenants = t.tenants.select("tenant_id", full_name().alias("tenant_name"))
-    kept = r.lease_context(t, t.leases.select("unit_id", "tenant_id", "end_date"), tenants)
+    kept = r.lease_context(t, t.leases.select("lease_id", "unit_id", "tenant_id", "end_date"), tenants)
     latest = at_least_kth(kept, "end_date", rows_through(page, page_size))
-    ordered = r.lease_context(t, leases.filter(latest), tenants).orderBy(F.desc("end_date"), "lease_id")
-    return page_of(ordered, page, page_size).select(
+    return page_of(
+        r.lease_context(t, leases, tenants),
+        ["-end_date", "lease_id"],
+        page,
+        page_size,
+        keys=kept,
+        top=r.lease_context(t, leases.filter(latest), tenants),
+    ).select(
         "lease_id",
         "tenant_name",
         "property_name",
@@ -94,12 +105,15 @@ def payments_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE)
     context = r.lease_context(t, t.leases.select("lease_id", "tenant_id", "unit_id"), tenants)
     kept = t.payments.join(context, "lease_id", "left_semi")
     latest = at_least_kth(kept, "due_date", rows_through(page, page_size))
-    ordered = (
-        t.payments.filter(latest)
-        .join(context.select("lease_id", "tenant_name", "property_name"), "lease_id")
-        .orderBy(F.desc("due_date"), F.desc("payment_id"))
-    )
-    return page_of(ordered, page, page_size).select(
+    named = context.select("lease_id", "tenant_name", "property_name")
+    return page_of(
+        t.payments.join(named, "lease_id"),
+        ["-due_date", "-payment_id"],
+        page,
+        page_size,
+        keys=kept,
+        top=t.payments.filter(latest).join(named, "lease_id"),
+    ).select(
         "payment_id",
         "payment_reference",
         "tenant_name",
@@ -115,8 +129,14 @@ def payments_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE)
 
 def maintenance_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Requests with unit and property, newest first."""
-    ordered = dashboard.newest_requests(t, rows_through(page, page_size))
-    return page_of(ordered, page, page_size).select(
+    return page_of(
+        dashboard.placed_requests(t),
+        ["-created_at", "request_id"],
+        page,
+        page_size,
+        keys=t.maintenance_requests.join(dashboard.placed_units(t), "unit_id", "left_semi"),
+        top=dashboard.newest_requests(t, rows_through(page, page_size)),
+    ).select(
         "request_id",
         "property_name",
         "unit_number",
@@ -130,6 +150,6 @@ def maintenance_list(t: Tables, page: int = 1, page_size: int = DEFAULT_PAGE_SIZ
 
 def audit_list(audit_logs: DataFrame, page: int = 1, page_size: int = DEFAULT_PAGE_SIZE) -> DataFrame:
     """Audit rows, newest id first."""
-    return page_of(audit_logs.orderBy(F.desc("audit_id")), page, page_size).select(
+    return page_of(audit_logs, ["-audit_id"], page, page_size).select(
         "audit_id", "table_name", "action", "record_id", "old_data", "new_data", "changed_at"
     )

@@ -52,6 +52,10 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "leases_list": listings.leases_list,
     "payments_list": listings.payments_list,
     "maintenance_list": listings.maintenance_list,
+    "payments_list_page_1000": lambda t: listings.payments_list(t, page=1_000),
+    "payments_list_page_100000": lambda t: listings.payments_list(t, page=100_000, page_size=5),
+    "units_list_page_15000": lambda t: listings.units_list(t, page=15_000, page_size=1),
+    "maintenance_list_last_page": lambda t: listings.maintenance_list(t, page=2, page_size=9_000),
     "low_occupancy": lambda t: dashboard.low_occupancy(t, AS_OF, threshold=50),
     "expiring_leases": lambda t: dashboard.expiring_leases(t, AS_OF),
     "pending_payments": lambda t: dashboard.pending_payments(t, AS_OF),

@@ -212,6 +212,25 @@ CLEAN: dict[str, tuple[str, str]] = {
         "payment_status payment_method",
         "SELECT * FROM charges ORDER BY due_date DESC, payment_id DESC LIMIT 50",
     ),
+    "payments_list_page_1000": (
+        "payment_id payment_reference tenant_name property_name due_date paid_date amount_due amount_paid "
+        "payment_status payment_method",
+        "SELECT * FROM charges ORDER BY due_date DESC, payment_id DESC LIMIT 50 OFFSET 49950",
+    ),
+    "payments_list_page_100000": (
+        "payment_id payment_reference tenant_name property_name due_date paid_date amount_due amount_paid "
+        "payment_status payment_method",
+        "SELECT * FROM charges ORDER BY due_date DESC, payment_id DESC LIMIT 5 OFFSET 499995",
+    ),
+    "units_list_page_15000": (
+        "unit_id property_name unit_number bedrooms bathrooms square_feet market_rent unit_status",
+        """SELECT * FROM units JOIN properties USING (property_id)
+           ORDER BY property_name, unit_number, unit_id LIMIT 1 OFFSET 14999""",
+    ),
+    "maintenance_list_last_page": (
+        "request_id property_name unit_number title priority request_status created_at closed_at",
+        "SELECT * FROM placed_requests ORDER BY created_at DESC, request_id LIMIT 9000 OFFSET 9000",
+    ),
     "maintenance_list": (
         "request_id property_name unit_number title priority request_status created_at closed_at",
         "SELECT * FROM placed_requests ORDER BY created_at DESC, request_id LIMIT 50",
