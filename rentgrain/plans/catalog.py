@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import cases, changes, dashboard, definitions, grid, library, listings, quality, reports, rewrites, search
+from ..operators import cases, changes, constraints, dashboard, definitions, grid, library, listings, quality, reports, rewrites, search
 from ..operators.duplicates import duplicate_payments, loose_duplicate_payments
 from ..schema import AUDIT_LOGS, Tables
 from ..sources import star
@@ -138,7 +138,6 @@ DAMAGED: dict[str, Callable[[Tables], DataFrame]] = {
     **{f"rule_{name.lower()}": _rule(name) for name in quality.RULES},
     "violations": lambda t: quality.violations(t, AS_OF),
     "scorecard": lambda t: quality.scorecard(t, AS_OF),
-    "schema_violations": quality.schema_violations,
     "test_scorecard": lambda t: quality.test_scorecard(t, AS_OF),
     "gate_findings": lambda t: quality.gate_findings(t, AS_OF),
     "duplicate_payments": duplicate_payments,
@@ -150,6 +149,9 @@ DAMAGED: dict[str, Callable[[Tables], DataFrame]] = {
 }
 
 
+BROKEN: dict[str, Callable[[Tables], DataFrame]] = {"schema_violations": constraints.schema_violations}
+
+
 def _admission(spark: SparkSession, folder: str) -> changes.Admission:
     tables = star.star_tables(spark, folder)
     tables = tables.with_(leases=star.rolled_over(tables.leases))
@@ -271,5 +273,6 @@ def queries() -> dict[str, Query]:
     return (
         {name: over(star.star_tables, run) for name, run in CLEAN.items()}
         | {name: over(star.damaged_tables, run) for name, run in DAMAGED.items()}
+        | {name: over(star.broken_tables, run) for name, run in BROKEN.items()}
         | {name: job(run) for name, run in JOBS.items()}
     )

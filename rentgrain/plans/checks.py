@@ -618,25 +618,119 @@ _TESTS = [
     ),
 ]
 
-# Schema rules that the damaged portfolio can break; the others find nothing on either side.
-_SCHEMA_RULES = {
-    "leases.end_after_start": "SELECT lease_id::VARCHAR AS key, '' AS detail FROM leases WHERE end_date <= start_date",
-    "payments.not_overpaid": """SELECT payment_id::VARCHAR AS key, '' AS detail FROM payments
-        WHERE amount_paid > amount_due""",
-    "payments.pending_is_untouched": """SELECT payment_id::VARCHAR AS key, '' AS detail FROM payments
-        WHERE payment_status = 'pending' AND (amount_paid <> 0 OR paid_date IS NOT NULL)""",
-    "maintenance_requests.closed_has_time": """SELECT request_id::VARCHAR AS key, '' AS detail
-        FROM maintenance_requests WHERE request_status = 'closed' AND closed_at IS NULL""",
-    "leases.unit_id_reference": "SELECT key::VARCHAR AS key, detail FROM (" + RULES["X4"] + ")",
-    "leases.tenant_id_reference": "SELECT key::VARCHAR AS key, detail FROM (" + RULES["X3"] + ")",
-    "payments.lease_id_reference": "SELECT key::VARCHAR AS key, detail FROM (" + RULES["X5"] + ")",
-    "maintenance_requests.unit_id_reference": "SELECT key::VARCHAR AS key, detail FROM (" + RULES["X9"] + ")",
-    "maintenance_requests.tenant_id_reference": """SELECT request_id::VARCHAR AS key, tenant_id::VARCHAR AS detail
-        FROM maintenance_requests WHERE tenant_id IS NOT NULL AND tenant_id NOT IN (SELECT tenant_id FROM tenants)""",
-    "work_orders.request_id_reference": "SELECT key::VARCHAR AS key, detail FROM (" + RULES["X10"] + ")",
-    "leases.one_active_per_unit": """SELECT unit_id::VARCHAR AS key, count(*)::VARCHAR AS detail FROM leases
-        WHERE lease_status = 'active' GROUP BY unit_id HAVING count(*) > 1""",
+# The portfolio with every schema rule broken, and the rules, written out.
+_REQUIRED = {
+    "properties": "property_code property_name address_line1 city state_code postal_code manager_name is_active created_at updated_at",
+    "units": "property_id unit_number bedrooms bathrooms square_feet market_rent unit_status created_at updated_at",
+    "tenants": "first_name last_name email phone created_at updated_at",
+    "leases": "unit_id tenant_id start_date end_date monthly_rent security_deposit lease_status created_at updated_at",
+    "payments": "lease_id payment_reference due_date amount_due amount_paid payment_status created_at updated_at",
+    "maintenance_requests": "unit_id title description priority request_status created_at updated_at",
+    "vendors": "vendor_name specialty email phone is_active created_at",
+    "work_orders": "request_id assigned_at labor_cost material_cost work_order_status created_at updated_at",
 }
+_PRIMARY = {
+    "properties": "property_id", "units": "unit_id", "tenants": "tenant_id", "leases": "lease_id", "payments": "payment_id",
+    "maintenance_requests": "request_id", "vendors": "vendor_id", "work_orders": "work_order_id",
+}
+# Column, remainder of the key, value.
+_WRONG = {
+    "properties": [], "tenants": [], "vendors": [("hourly_rate", 22, "0")],
+    "units": [("bedrooms", 22, "9"), ("bathrooms", 23, "9.5"), ("square_feet", 24, "149"), ("market_rent", 25, "0"),
+              ("unit_status", 26, "'haunted'"), ("property_id", 28, "-1")],
+    "leases": [("monthly_rent", 22, "0"), ("security_deposit", 23, "-1"), ("lease_status", 24, "'lost'"),
+               ("end_date", 25, "start_date"), ("unit_id", 28, "-1"), ("tenant_id", 28, "-1")],
+    "payments": [("amount_due", 22, "0"), ("amount_paid", 23, "-1"), ("payment_status", 24, "'unknown'"),
+                 ("payment_method", 25, "'barter'"), ("lease_id", 28, "-1"), ("payment_status", 29, "'pending'"),
+                 ("paid_date", 29, "due_date"), ("amount_paid", 30, "amount_due + 1")],
+    "maintenance_requests": [("priority", 22, "'whenever'"), ("request_status", 23, "'lost'"),
+                             ("closed_at", 24, "created_at - INTERVAL 1 DAY"), ("unit_id", 28, "-1"), ("tenant_id", 28, "-1"),
+                             ("request_status", 29, "'closed'"), ("closed_at", 29, "NULL")],
+    "work_orders": [("labor_cost", 22, "-1"), ("material_cost", 23, "-1"), ("work_order_status", 24, "'lost'"),
+                    ("completed_at", 25, "assigned_at - INTERVAL 1 DAY"), ("request_id", 28, "-1"), ("vendor_id", 28, "-1"),
+                    ("work_order_status", 29, "'completed'"), ("completed_at", 29, "NULL")],
+}
+# Rule, what a broken row looks like.
+_CHECKED = {
+    "units": {
+        "bedrooms_range": "bedrooms < 0 OR bedrooms > 8", "bathrooms_range": "bathrooms < 0.5 OR bathrooms > 8",
+        "square_feet_range": "square_feet < 150 OR square_feet > 10000", "market_rent_positive": "market_rent <= 0",
+        "unit_status_domain": "unit_status NOT IN ('occupied', 'vacant', 'maintenance', 'offline')",
+    },
+    "leases": {
+        "monthly_rent_positive": "monthly_rent <= 0", "security_deposit_not_negative": "security_deposit < 0",
+        "lease_status_domain": "lease_status NOT IN ('draft', 'active', 'expired', 'terminated')",
+        "end_after_start": "end_date <= start_date",
+    },
+    "payments": {
+        "amount_due_positive": "amount_due <= 0", "amount_paid_not_negative": "amount_paid < 0", "not_overpaid": "amount_paid > amount_due",
+        "payment_status_domain": "payment_status NOT IN ('pending', 'partial', 'paid', 'late', 'waived')",
+        "payment_method_domain": "payment_method NOT IN ('ach', 'card', 'check', 'cash', 'bank_transfer')",
+        "pending_is_untouched": "payment_status = 'pending' AND (amount_paid <> 0 OR paid_date IS NOT NULL)",
+    },
+    "maintenance_requests": {
+        "priority_domain": "priority NOT IN ('low', 'medium', 'high', 'emergency')",
+        "request_status_domain": "request_status NOT IN ('open', 'assigned', 'in_progress', 'on_hold', 'closed', 'cancelled')",
+        "closed_after_created": "closed_at < created_at", "closed_has_time": "request_status = 'closed' AND closed_at IS NULL",
+    },
+    "vendors": {"hourly_rate_positive": "hourly_rate <= 0"},
+    "work_orders": {
+        "labor_cost_not_negative": "labor_cost < 0", "material_cost_not_negative": "material_cost < 0",
+        "work_order_status_domain": "work_order_status NOT IN ('assigned', 'scheduled', 'in_progress', 'completed', 'cancelled')",
+        "completed_after_assigned": "completed_at < assigned_at",
+        "completed_has_time": "work_order_status = 'completed' AND completed_at IS NULL",
+    },
+}
+_REPEATED = [
+    ("properties", "property_id"), ("properties", "property_code"), ("units", "unit_id"), ("units", "property_id, unit_number"),
+    ("tenants", "tenant_id"), ("tenants", "email"), ("leases", "lease_id"), ("payments", "payment_id"),
+    ("payments", "payment_reference"), ("maintenance_requests", "request_id"), ("vendors", "vendor_id"), ("vendors", "vendor_name"),
+    ("vendors", "email"), ("work_orders", "work_order_id"),
+]
+_POINTS = [
+    ("units", "property_id", "properties"), ("leases", "unit_id", "units"), ("leases", "tenant_id", "tenants"),
+    ("payments", "lease_id", "leases"), ("maintenance_requests", "unit_id", "units"),
+    ("maintenance_requests", "tenant_id", "tenants"), ("work_orders", "request_id", "maintenance_requests"),
+    ("work_orders", "vendor_id", "vendors"),
+]
+
+
+def _broken(table: str) -> str:
+    key = _PRIMARY[table]
+    wrong = [(column, at, "NULL") for at, column in enumerate(_REQUIRED[table].split(), start=1)] + _WRONG[table]
+    columns = dict.fromkeys(column for column, _, _ in wrong)
+    replaced = ", ".join(
+        f"CASE mod(mod({key}, 31) + 31, 31) " + " ".join(f"WHEN {at} THEN {value}" for c, at, value in wrong if c == column)
+        + f" ELSE {column} END AS {column}" for column in columns
+    )
+    return f"""broken_{table} AS (SELECT * REPLACE ({replaced}) FROM {table}
+        UNION ALL SELECT * FROM {table} WHERE mod(mod({key}, 31) + 31, 31) = 20
+        UNION ALL SELECT * REPLACE (NULL AS {key}) FROM {table} WHERE mod(mod({key}, 31) + 31, 31) = 21)"""
+
+
+def _schema_violations() -> str:
+    found = []
+    for table, key in _PRIMARY.items():
+        checks = {f"{c}_required": f"{c} IS NULL" for c in [key, *_REQUIRED[table].split()]} | _CHECKED.get(table, {})
+        found += [
+            f"SELECT '{table}.{name}' AS rule_id, {key}::VARCHAR AS key, '' AS detail FROM broken_{table} WHERE {bad}"
+            for name, bad in checks.items()
+        ]
+    for table, columns in _REPEATED + [("leases", "unit_id")]:
+        active = len(found) and (table, columns) == ("leases", "unit_id")
+        name = "one_active_per_unit" if active else columns.replace(", ", "_") + "_unique"
+        held = " AND ".join(f"{c} IS NOT NULL" for c in columns.split(", ")) + (" AND lease_status = 'active'" if active else "")
+        found.append(
+            f"SELECT '{table}.{name}', concat_ws('|', {columns}), count(*)::VARCHAR FROM broken_{table} WHERE {held} "
+            f"GROUP BY {columns} HAVING count(*) > 1"
+        )
+    for table, column, parent in _POINTS:
+        found.append(
+            f"SELECT '{table}.{column}_reference', {_PRIMARY[table]}::VARCHAR, {column}::VARCHAR FROM broken_{table} "
+            f"WHERE {column} NOT IN (SELECT {_PRIMARY[parent]} FROM broken_{parent} WHERE {_PRIMARY[parent]} IS NOT NULL)"
+        )
+    return f"WITH {', '.join(map(_broken, _PRIMARY))} " + " UNION ALL ".join(found)
+
 
 DAMAGED: dict[str, tuple[str, str]] = {
     **{f"rule_{rule_id.lower()}": (_RULE_COLUMNS, _rule(rule_id)) for rule_id in RULES},
@@ -649,12 +743,6 @@ DAMAGED: dict[str, tuple[str, str]] = {
             for r in RULES
         ),
     ),
-    "schema_violations": (
-        _RULE_COLUMNS,
-        " UNION ALL ".join(
-            f"SELECT '{name}' AS rule_id, key, detail FROM ({sql})" for name, sql in _SCHEMA_RULES.items()
-        ),
-    ),
     "test_scorecard": (
         "test_name expected_result actual_result status",
         " UNION ALL ".join(_tested(i, *test) for i, test in enumerate(_TESTS, start=1)),
@@ -809,6 +897,7 @@ def _search(query: str, limit: str = "LIMIT 50") -> str:
 _FOUND = "request_id property_id unit_id title priority request_status created_at rank"
 
 JOBS: dict[str, tuple[str, str]] = {
+    "schema_violations": ("rule_id key detail", _schema_violations()),
     "admit_leases_accepted": (
         "lease_id unit_id tenant_id start_date end_date monthly_rent security_deposit lease_status",
         f"SELECT *, deposit AS security_deposit, 'active' AS lease_status FROM ({_ACCEPTED})",

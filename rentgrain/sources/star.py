@@ -23,7 +23,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import Tables
+from ..schema import SCHEMAS, Tables
 
 AS_OF = date(1998, 7, 1)
 
@@ -320,6 +320,72 @@ def damaged_tables(spark: SparkSession, folder: str) -> Tables:
     )
 
 
+#: Rows of a broken import repeat their kinds of damage after so many keys.
+DAMAGE_CYCLE = 31
+_OUT_OF_RANGE = {
+    "units": {
+        "bedrooms": "CAST(9 AS SMALLINT)", "bathrooms": "CAST(9.5 AS DECIMAL(3,1))", "square_feet": "149",
+        "market_rent": "CAST(0 AS DECIMAL(12,2))", "unit_status": "'haunted'",
+    },
+    "leases": {
+        "monthly_rent": "CAST(0 AS DECIMAL(12,2))", "security_deposit": "CAST(-1 AS DECIMAL(12,2))", "lease_status": "'lost'",
+        "end_date": "start_date",
+    },
+    "payments": {
+        "amount_due": "CAST(0 AS DECIMAL(12,2))", "amount_paid": "CAST(-1 AS DECIMAL(12,2))", "payment_status": "'unknown'",
+        "payment_method": "'barter'",
+    },
+    "maintenance_requests": {"priority": "'whenever'", "request_status": "'lost'", "closed_at": "created_at - INTERVAL 1 DAY"},
+    "vendors": {"hourly_rate": "CAST(0 AS DECIMAL(10,2))"},
+    "work_orders": {
+        "labor_cost": "CAST(-1 AS DECIMAL(12,2))", "material_cost": "CAST(-1 AS DECIMAL(12,2))", "work_order_status": "'lost'",
+        "completed_at": "assigned_at - INTERVAL 1 DAY",
+    },
+}
+_PARENTS = {
+    "units": ("property_id",), "leases": ("unit_id", "tenant_id"), "payments": ("lease_id",),
+    "maintenance_requests": ("unit_id", "tenant_id"), "work_orders": ("request_id", "vendor_id"),
+}
+
+
+def broken_tables(spark: SparkSession, folder: str) -> Tables:
+    """The portfolio after an import without any constraint: every rule of the schema is broken somewhere.
+
+    The remainder of a row's key by ``DAMAGE_CYCLE`` says what is wrong with it: required columns are missing in
+    turn (from 1 on), the row comes twice (20) or once more without its key (21), values are out of range in turn (22 to
+    26), parents do not exist (28), a status contradicts the other columns (29).
+    """
+    clean = star_tables(spark, folder)
+
+    def broken(name: str) -> DataFrame:
+        df, key = getattr(clean, name), SCHEMAS[name][0].name
+        kind = F.pmod(F.col(key), F.lit(DAMAGE_CYCLE))
+        required = [f.name for f in SCHEMAS[name] if not f.nullable and f.name != key]
+        wrong = {column: [(at, "NULL")] for at, column in enumerate(required, start=1)}
+        for at, (column, value) in enumerate(_OUT_OF_RANGE.get(name, {}).items(), start=22):
+            wrong.setdefault(column, []).append((at, value))
+        for column in _PARENTS.get(name, ()):
+            wrong.setdefault(column, []).append((28, "-1L"))
+        if name == "payments":
+            wrong["payment_status"].append((29, "'pending'"))
+            wrong.setdefault("paid_date", []).append((29, "due_date"))
+            wrong["amount_paid"].append((30, "CAST(amount_due + 1 AS DECIMAL(12,2))"))
+        if name == "maintenance_requests":
+            wrong["request_status"].append((29, "'closed'"))
+            wrong["closed_at"].append((29, "NULL"))
+        if name == "work_orders":
+            wrong["work_order_status"].append((29, "'completed'"))
+            wrong["completed_at"].append((29, "NULL"))
+        case = lambda c: F.expr(
+            f"CASE pmod({key}, {DAMAGE_CYCLE}) " + " ".join(f"WHEN {at} THEN {value}" for at, value in wrong[c]) + f" ELSE {c} END"
+        )
+        rows = df.select(*[case(c).cast(df.schema[c].dataType).alias(c) if c in wrong else F.col(c) for c in df.columns])
+        nameless = df.filter(kind == 21).withColumn(key, F.lit(None).cast("long"))
+        return rows.unionByName(df.filter(kind == 20)).unionByName(nameless)
+
+    return Tables(**{name: (lambda name=name: broken(name)) for name in _BUILDERS})
+
+
 def document_requests(spark: SparkSession, folder: str) -> DataFrame:
     """Maintenance requests whose description is a long text, for the text search."""
     opened = "timestamp(TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, int(doc_id)))"

@@ -3,7 +3,8 @@ from datetime import date, datetime, timedelta
 import pytest
 from conftest import AS_OF, money
 
-from rentgrain.operators import quality
+from rentgrain.operators import constraints, quality
+from rentgrain.sources import star
 
 HEALTHY = dict(units=[{"unit_status": "occupied"}])
 BROKEN = {
@@ -25,7 +26,7 @@ BROKEN = {
 def test_healthy_portfolio_has_no_violations(make):
     t = make(**HEALTHY)
     assert quality.violations(t, AS_OF).collect() == []
-    assert quality.schema_violations(t).collect() == []
+    assert constraints.schema_violations(t).collect() == []
     assert {x.status for x in quality.test_scorecard(t, AS_OF).collect()} == {"PASS"}
     quality.quality_gate(t, AS_OF)
 
@@ -51,7 +52,7 @@ def test_schema_rules(make):
         maintenance_requests=[{"request_status": "closed"}, {"tenant_id": 5}],
         work_orders=[{"vendor_id": 8, "completed_at": datetime(2023, 1, 1)}],
     )
-    assert sorted(x.rule_id for x in quality.schema_violations(t).collect()) == [
+    assert sorted(x.rule_id for x in constraints.schema_violations(t).collect()) == [
         "leases.one_active_per_unit",
         "leases.security_deposit_not_negative",
         "maintenance_requests.closed_has_time",
@@ -67,6 +68,26 @@ def test_schema_rules(make):
     ]
 
 
+def test_every_schema_rule_occurs_in_the_broken_portfolio(spark):
+    found = constraints.schema_violations(star.broken_tables(spark, "/root/testdata/sf0.01"))
+    counts = {x.rule_id: x["count"] for x in found.groupBy("rule_id").count().collect()}
+    assert set(counts) == set(constraints.rule_names()) and len(counts) == 118
+
+
+def test_schema_rules_shuffle_once_and_read_each_table_once(spark):
+    tables = star.broken_tables(spark, "/root/testdata/sf0.001")
+    plan = constraints.schema_violations(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [domain") == 3 and "Window" not in plan
+
+
+def test_a_key_of_a_third_of_the_rows_is_one_entry_per_task(make):
+    t = make(leases=[{"unit_id": 7, "lease_status": "expired"} for _ in range(40)], payments=[{"lease_id": 99}] * 30)
+    found = constraints.schema_violations(t).collect()
+    assert sum(x.rule_id == "leases.unit_id_reference" and x.detail == "7" for x in found) == 40
+    assert sum(x.rule_id == "payments.lease_id_reference" for x in found) == 30
+    assert not [x for x in found if x.rule_id.endswith("unique")]
+
+
 def test_gate_raises_on_orphan_payment(make):
     with pytest.raises(quality.QualityGateError, match="orphan_payments = 1"):
         quality.quality_gate(make(**(HEALTHY | BROKEN["X5"])), AS_OF)
