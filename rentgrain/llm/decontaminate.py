@@ -32,25 +32,17 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAPS), "")
 
 
-def terms_of(text: Column) -> Column:
-    """Words as index terms: at the same positions as ``words_of``, all letters in lower case.
-
-    Equal words are equal terms, and lower-casing whole texts is far cheaper than A-Z alone.
-    """
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), "")
-
-
 def items_of(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
     """Items with words and the length of their windows; items without words are left out."""
     return benchmark.select(
-        F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("words"), terms_of(F.col(text)).alias("terms")
+        F.col(item).cast("string").alias("item"), words_of(F.col(text)).alias("words")
     ).where(F.size("words") > 0).withColumn("span", F.least(F.lit(WINDOW), F.size("words")))
 
 
 def document_frequency(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """For each term of the items, the number of texts that have it (0 if none)."""
-    wanted = stored(items.select(F.explode("terms").alias("term")).distinct())
-    seen = docs.select(F.explode(F.array_distinct(terms_of(F.col(text)))).alias("term"))
+    wanted = stored(items.select(F.explode("words").alias("term")).distinct())
+    seen = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("term"))
     counted = seen.join(small(wanted), "term").groupBy("term").agg(F.count("*").alias("frequency"))
     return wanted.join(counted, "term", "left").select("term", F.coalesce("frequency", F.lit(0)).alias("frequency"))
 
@@ -60,7 +52,7 @@ def probes(items: DataFrame, frequency: DataFrame) -> DataFrame:
 
     Of equally rare terms the first counts; a window of one word has it as both.
     """
-    placed = items.select("item", "words", "span", F.posexplode("terms").alias("at", "term")).join(frequency, "term")
+    placed = items.select("item", "words", "span", F.posexplode("words").alias("at", "term")).join(frequency, "term")
     ranked = (
         placed.groupBy("item", "words", "span")  # words keep items apart whose ids repeat
         .agg(F.sort_array(F.collect_list(F.struct("at", "term", "frequency"))).alias("t"))
@@ -84,7 +76,7 @@ def postings(docs: DataFrame, searched: DataFrame, key: str = "doc_id", text: st
     terms = (
         searched.select(F.explode("windows").alias("w")).select(F.explode(F.array("w.a_term", "w.b_term")).alias("term")).distinct()
     )
-    places = docs.select(F.col(key).alias("key"), F.posexplode(terms_of(F.col(text))).alias("position", "term"))
+    places = docs.select(F.col(key).alias("key"), F.posexplode(words_of(F.col(text))).alias("position", "term"))
     return stored(places.join(small(stored(terms)), "term").select("term", "key", "position"))
 
 

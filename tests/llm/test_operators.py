@@ -162,6 +162,14 @@ def windows_hit(words, items):
     return hit, found
 
 
+def test_decontamination_lowers_only_a_to_z(spark):
+    # Lower-casing the whole text depends on what follows a capital sigma, and maps other letters to several.
+    docs = spark.createDataFrame([(1, "xx ΟΔΟΣ.Α yy"), (2, "xx İx \u212a yy"), (3, "odos İX k")], "doc_id long, text string")
+    items = spark.createDataFrame([("1", "ΟΔΟΣ"), ("2", "ΟΔΟΣ.Α"), ("3", "İX K"), ("4", "οδος"), ("5", "i̇x")], "item_id string, text string")
+    found = {r["doc_id"]: (r["hit_items"], r["hit_positions"]) for r in rows_of(decontaminate.occurrences(docs, items))}
+    assert found == {1: (["1", "2"], [1, 2]), 2: ([], []), 3: (["3"], [1, 2])}
+
+
 def test_decontamination(spark, odd, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     lower = lambda t: "".join(c.lower() if c.isascii() else c for c in t or "")
@@ -326,7 +334,7 @@ def test_backoff(odd, empty, monkeypatch, common, core):
             s += math.log(pairs[before, w] / single[before] if seen else (1 if before is None else 0.4) * single[w] / total)
         return s
 
-    found = rows_of(backoff.score(odd.select("doc_id", "text")))
+    found = rows_of(backoff.score(odd.select("doc_id", "text"), least=2))
     assert sorted((x["n_words"], round(x["score"], 4)) for x in found) == sorted((len(x), round(expected(x), 4)) for x in words)
     assert backoff.score(empty).count() == 0
 

@@ -36,3 +36,13 @@ def test_entry_without_the_corpus_operators(tmp_path):
     code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and not [x for x in e.queries() if x.startswith('op1_')]"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "sentencepiece", "zstandard"])
+def test_entry_without_a_library_of_the_corpus_operators(missing):
+    code = (
+        f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; "
+        "assert len(e.queries()) > 100 and not [x for x in e.queries() if x.startswith('op')] and 'pipeline' not in e.queries()"
+    )
+    code = code.replace("x.startswith('op')", "x.startswith('op1_')")
+    subprocess.run([sys.executable, "-c", code], cwd=TOP, check=True, timeout=120)
