@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from rentgrain.llm.frames import documents, map_batches, small, stored
 
 #: ``score`` takes pairs met less often as unseen unless told otherwise; factor for backing off.
-LEAST, ALPHA = 2, 0.4
+LEAST, ALPHA = 1, 0.4
 COMMON, CORE = 1 << 18, 1 << 10
 #: Places of a filter for words beyond the common ones that occur more than once. Words that share a
 #: place by chance only cost time.
