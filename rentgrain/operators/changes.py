@@ -24,6 +24,8 @@ STATUS_ROLES = ("property_manager", "vendor", "tenant", "support_engineer")
 VENDOR_TARGETS = ("in_progress", "closed", "assigned")
 TENANT_TARGETS = ("cancelled",)
 LONGEST_TITLE = 160
+LEASE_ROLES = ("property_manager",)
+PAYMENT_ROLES = TICKET_ROLES = ("property_manager", "tenant", "support_engineer")
 
 
 def _at(moment: datetime) -> Column:
@@ -35,6 +37,18 @@ def _largest(df: DataFrame, key: str) -> Column:
     return df.agg(F.coalesce(F.max(key), F.lit(0))).scalar()
 
 
+def _role(rows: DataFrame) -> Column:
+    """The normalised role of a row; a batch without roles comes from the property manager."""
+    if "role" not in rows.columns:
+        return F.lit("property_manager")
+    role = F.lower(_stripped(F.col("role")))
+    return F.when(role == "operations", "property_manager").otherwise(role)
+
+
+def _may(rows: DataFrame, roles: tuple[str, ...]) -> Column:
+    return F.coalesce(_role(rows).isin(*roles), F.lit(False))
+
+
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -111,13 +125,16 @@ def decide_proposals(t: Tables, proposals: DataFrame) -> DataFrame:
     c = F.col
     required = ["unit_id", "tenant_id", "start_date", "end_date", "monthly_rent"]
     missing = F.greatest(*[c(name).isNull() for name in required])
-    checked = proposals.withColumn("deposit", F.coalesce("deposit", "monthly_rent"))
+    checked = proposals.withColumns(
+        {"deposit": F.coalesce("deposit", "monthly_rent"), "allowed": _may(proposals, LEASE_ROLES)}
+    )
     checked = flag_known(checked, t.tenants, "tenant_id", "tenant_known")
     checked = flag_known(checked, t.units, "unit_id", "unit_known")
     checked = checked.join(active_on_unit(proposals, t.leases), "proposal_id", "left")
     checked = checked.withColumn("unit_taken", F.coalesce(c("held") > 0, F.lit(False)))
     sound = (
-        ~missing
+        c("allowed")
+        & ~missing
         & (c("end_date") > c("start_date"))
         & c("tenant_known")
         & c("unit_known")
@@ -138,7 +155,8 @@ def decide_proposals(t: Tables, proposals: DataFrame) -> DataFrame:
     after_winner = F.coalesce(c("winner") < c("proposal_id"), F.lit(False))
     hits_winner = after_winner & (c("winner_start") <= c("end_date")) & (c("winner_end") >= c("start_date"))
     reason = (
-        F.when(missing, "missing_field")
+        F.when(~c("allowed"), "role_not_allowed")
+        .when(missing, "missing_field")
         .when(c("end_date") <= c("start_date"), "invalid_dates")
         .when(~c("tenant_known"), "unknown_tenant")
         .when(~c("unit_known"), "unknown_unit")
@@ -213,15 +231,39 @@ def _touch(df: DataFrame, column: str, changed: Column, value: Column, now: date
 # Audit trail ----------------------------------------------------------------------
 
 
+#: Consecutive keys whose rows are compared by one fingerprint.
+KEYS_TOGETHER = 256
+
+
+def _fingerprints(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(range, n, prints) for each range of keys: the number of rows and order-free sums of two hashes of each."""
+    missing = [F.col(c).isNull() for c in columns]  # hashes pass over missing values
+    row = [F.xxhash64(*columns, *missing), F.xxhash64(F.lit("second"), *missing, *columns)]
+    total = lambda h: F.sum(h.cast("decimal(20,0)"))
+    return df.groupBy(F.floor(F.col(key) / KEYS_TOGETHER).alias("range")).agg(
+        F.count("*").alias("n"), F.struct(*[total(h) for h in row], *[F.bit_xor(h) for h in row]).alias("prints")
+    )
+
+
+def changed_ranges(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(range): ranges of keys in which the snapshots differ."""
+    prints = lambda df, side: _fingerprints(df, key, old.columns).select("range", F.struct("n", "prints").alias(side))
+    both = prints(old, "before").join(prints(new, "after"), "range", "full")
+    return both.filter(~F.col("before").eqNullSafe(F.col("after"))).select("range")
+
+
 def audit_changes(
     old: DataFrame, new: DataFrame, changed_at: datetime, table: str = "leases", key: str = "lease_id"
 ) -> DataFrame:
     """Inserted, updated and deleted rows between two snapshots, with both images as JSON.
 
-    A row rewritten with equal values is not a change.
+    A row rewritten with equal values is not a change. Only ranges of keys whose fingerprints differ
+    reach the join, so most of two snapshots that are nearly alike is read but not shuffled.
     """
-    before = old.select(key, F.struct(*old.columns).alias("before"))
-    after = new.select(key, F.struct(*old.columns).alias("after"))
+    ranges = changed_ranges(old, new, key)
+    here = lambda df: df.withColumn("range", F.floor(F.col(key) / KEYS_TOGETHER)).join(ranges, "range", "left_semi")
+    before = here(old).select(key, F.struct(*old.columns).alias("before"))
+    after = here(new).select(key, F.struct(*old.columns).alias("after"))
     keep_nulls = {"ignoreNullFields": "false"}
     action = (
         F.when(F.col("before").isNull(), "INSERT").when(F.col("after").isNull(), "DELETE").otherwise("UPDATE")
@@ -247,7 +289,7 @@ def append_audit(audit_logs: DataFrame, changes: DataFrame) -> DataFrame:
     return audit_logs.unionByName(rows.select(*audit_logs.columns))
 
 
-# Requests and charges -------------------------------------------------------------
+# Keyed changes --------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
@@ -258,11 +300,37 @@ class Applied:
     rejects: DataFrame
 
 
+def merge_changes(table: DataFrame, changes: DataFrame, key: str, now: datetime) -> Applied:
+    """A table after a batch of (change_id, action, key, columns): ``put`` inserts or replaces a row, ``delete`` removes it.
+
+    The last change of a key counts. A row whose columns do not differ keeps its ``updated_at``, any other
+    gets the time of the batch. Changes without a key and deletions of unknown rows are refused.
+    """
+    values = [c for c in table.columns if c not in (key, "created_at", "updated_at")]
+    named = changes.filter(F.col(key).isNotNull())
+    last = named.groupBy(key).agg(F.max_by(F.struct("action", "change_id", *values), "change_id").alias("_new"))
+    # Both sides have one row per key, so no key can be hot.
+    both = table.withColumn("_here", F.lit(True)).join(last, key, "full")
+    put, there = F.coalesce(F.col("_new.action") == "put", F.lit(False)), F.coalesce("_here", F.lit(False))
+    differs = F.greatest(*[~F.col(c).eqNullSafe(F.col(f"_new.{c}")) for c in values], F.lit(False))
+    merged = both.filter(put | (there & F.col("_new").isNull())).select(
+        key,
+        *[F.when(put, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in values],
+        F.when(there, F.col("created_at")).otherwise(_at(now)).alias("created_at"),
+        F.when(put & (~there | differs), _at(now)).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+    unknown = both.filter(~there & ~put).select(F.col(key).alias("_key"), F.col("_new.change_id").alias("change_id"))
+    refused = changes.join(unknown, "change_id", "left_semi").withColumn("reason", F.lit("unknown_key"))
+    nameless = changes.filter(F.col(key).isNull()).withColumn("reason", F.lit("missing_key"))
+    return Applied(merged.select(*table.columns), refused.select(*changes.columns, "reason").unionByName(nameless))
+
+
+# Requests and charges -------------------------------------------------------------
+
+
 def judge_status_events(events: DataFrame) -> DataFrame:
     """Events with normalised role and status and a ``reason``, NULL if the change is allowed."""
-    role, status = F.lower(_stripped(F.col("role"))), F.lower(_stripped(F.col("new_status")))
-    role = F.when(role == "operations", "property_manager").otherwise(role)
-    cleaned = events.withColumns({"role": role, "new_status": status})
+    cleaned = events.withColumns({"role": _role(events), "new_status": F.lower(_stripped(F.col("new_status")))})
     role, status = F.col("role"), F.col("new_status")
     reason = (
         F.when(~F.coalesce(role.isin(*STATUS_ROLES), F.lit(False)), "role_not_allowed")
@@ -302,8 +370,9 @@ def apply_status_changes(requests: DataFrame, events: DataFrame) -> Applied:
 
 
 def apply_payments(payments: DataFrame, events: DataFrame) -> Applied:
-    """Pay charges in full on the day of their first event; paid or unknown ones are refused."""
-    first = events.groupBy("payment_id").agg(F.min(F.struct("event_ts", "event_id")).alias("_first"))
+    """Pay charges in full on the day of their first event; paid or unknown ones are refused, and roles that may not pay."""
+    allowed = events.filter(_may(events, PAYMENT_ROLES))
+    first = allowed.groupBy("payment_id").agg(F.min(F.struct("event_ts", "event_id")).alias("_first"))
     open_charge = payments.filter("payment_status <> 'paid'").select("payment_id")
     effective = first.join(open_charge, "payment_id", "left_semi")
     paid_at = F.col("_first.event_ts")
@@ -317,9 +386,11 @@ def apply_payments(payments: DataFrame, events: DataFrame) -> Applied:
         }
     )
     used = effective.select("payment_id", F.col("_first.event_id").alias("event_id"))
-    rejects = events.join(used, ["payment_id", "event_id"], "left_anti").withColumn(
+    late = allowed.join(used, ["payment_id", "event_id"], "left_anti").withColumn(
         "reason", F.lit("already_paid_or_unknown")
     )
+    barred = events.filter(~_may(events, PAYMENT_ROLES)).withColumn("reason", F.lit("role_not_allowed"))
+    rejects = late.select(*events.columns, "reason").unionByName(barred)
     return Applied(paid.select(*payments.columns), rejects)
 
 
@@ -338,7 +409,8 @@ def ingest_requests(t: Tables, events: DataFrame) -> Applied:
     known = flag_known(cleaned, t.units, "unit_id", "unit_known")
     known = flag_known(known, t.tenants, "tenant_id", "tenant_known")
     reason = (
-        F.when(F.col("unit_id").isNull() | F.col("title").isNull(), "missing_field")
+        F.when(~_may(events, TICKET_ROLES), "role_not_allowed")
+        .when(F.col("unit_id").isNull() | F.col("title").isNull(), "missing_field")
         .when(F.length("title") > LONGEST_TITLE, "title_too_long")
         .when(~F.col("unit_known"), "unknown_unit")
         .when(~F.col("tenant_known"), "unknown_tenant")

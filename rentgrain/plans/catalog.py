@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators import cases, changes, constraints, dashboard, definitions, grid, library, listings, quality, reports, rewrites, search
 from ..operators.duplicates import duplicate_payments, loose_duplicate_payments
-from ..schema import AUDIT_LOGS, Tables
+from ..schema import AUDIT_LOGS, SCHEMAS, Tables
 from ..sources import star
 from ..sources.star import AS_OF
 from .checks import SEARCHES
@@ -20,6 +20,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(AS_OF.year, AS_OF.month, AS_OF.day)
 NAME_TERM = "machinery"
 TENANT = 7
+# Tables whose rows carry the time of their last change.
+STAMPED = tuple(name for name, schema in SCHEMAS.items() if "updated_at" in schema.names)
 
 CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "active_leases": lambda t: definitions.active_leases(t, AS_OF),
@@ -79,7 +81,7 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "monthly_running_collection": lambda t: library.monthly_running_collection(t, AS_OF),
     "collection_rank": lambda t: library.collection_rank(t, AS_OF),
     "status_cache_mismatch": lambda t: library.status_cache_mismatch(t, AS_OF),
-    "workorder_status_conflicts": lambda t: library.workorder_status_conflicts(t).drop("closed_at", "completed_at"),
+    "workorder_status_conflicts": lambda t: library.workorder_status_conflicts(t),
     "maintenance_spend_by_property": library.maintenance_spend_by_property,
     "table_row_counts": library.table_row_counts,
     "case_occupancy_inflation": lambda t: cases.occupancy_inflation(t, AS_OF),
@@ -121,12 +123,8 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
         page=2,
         tie="unit_id",
     ),
-    "refresh_unit_status": lambda t: changes.refresh_unit_status(t, NOW).select(
-        "unit_id", "property_id", "unit_status", "updated_at"
-    ),
-    "repair_unit_status": lambda t: changes.repair_unit_status(t, NOW).select(
-        "unit_id", "property_id", "unit_status", "updated_at"
-    ),
+    "refresh_unit_status": lambda t: changes.refresh_unit_status(t, NOW),
+    "repair_unit_status": lambda t: changes.repair_unit_status(t, NOW),
 }
 
 
@@ -158,30 +156,21 @@ def _admission(spark: SparkSession, folder: str) -> changes.Admission:
     return changes.admit_leases(tables, star.lease_proposals(spark, folder), NOW)
 
 
-def _audit(spark: SparkSession, folder: str) -> DataFrame:
-    return changes.audit_changes(*star.lease_snapshots(spark, folder), NOW)
+def _merged(name: str) -> Callable[[SparkSession, str], changes.Applied]:
+    def run(spark: SparkSession, folder: str) -> changes.Applied:
+        table = getattr(star.star_tables(spark, folder), name)
+        return changes.merge_changes(table, star.table_changes(spark, folder, name), SCHEMAS[name][0].name, NOW)
 
+    return run
 
-def _audit_changes(spark: SparkSession, folder: str) -> DataFrame:
-    def image(side: str, field: str) -> Column:
-        return F.get_json_object(f"{side}_data", f"$.{field}")
 
-    return _audit(spark, folder).select(
-        "table_name",
-        "action",
-        "record_id",
-        image("old", "lease_status").alias("old_status"),
-        image("new", "lease_status").alias("new_status"),
-        image("old", "monthly_rent").cast("double").alias("old_rent"),
-        image("new", "monthly_rent").cast("double").alias("new_rent"),
-    )
+def _audit(spark: SparkSession, folder: str) -> DataFrame:
+    return changes.audit_changes(star.star_tables(spark, folder).leases, _merged("leases")(spark, folder).table, NOW)
 
 
 def _audit_list(spark: SparkSession, folder: str) -> DataFrame:
     empty = spark.createDataFrame([], AUDIT_LOGS)
-    return listings.audit_list(changes.append_audit(empty, _audit(spark, folder))).select(
-        "audit_id", "table_name", "action", "record_id"
-    )
+    return listings.audit_list(changes.append_audit(empty, _audit(spark, folder)))
 
 
 def _status_changes(spark: SparkSession, folder: str) -> changes.Applied:
@@ -213,24 +202,20 @@ def _indexed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 JOBS: dict[str, Query] = {
-    "admit_leases_accepted": lambda s, d: _admission(s, d).leases.drop("created_at", "updated_at"),
-    "admit_leases_charges": lambda s, d: _admission(s, d).charges.drop("created_at", "updated_at"),
+    "admit_leases_accepted": lambda s, d: _admission(s, d).leases,
+    "admit_leases_charges": lambda s, d: _admission(s, d).charges,
     "admit_leases_rejects": lambda s, d: _admission(s, d).rejects,
-    "admit_leases_units": lambda s, d: _admission(s, d).tables.units.select("unit_id", "unit_status", "updated_at"),
-    "audit_changes": _audit_changes,
+    "admit_leases_units": lambda s, d: _admission(s, d).tables.units,
+    "audit_changes": _audit,
     "audit_list": _audit_list,
-    "apply_status_changes": lambda s, d: _status_changes(s, d).table.select(
-        "request_id", "request_status", "closed_at", "updated_at"
-    ),
-    "apply_status_changes_rejects": lambda s, d: _status_changes(s, d).rejects.drop("event_ts"),
-    "apply_payments": lambda s, d: _payments(s, d).table.select(
-        "payment_id", "amount_due", "amount_paid", "payment_status", "paid_date", "updated_at"
-    ),
-    "apply_payments_rejects": lambda s, d: _payments(s, d).rejects.drop("event_ts"),
-    "ingest_requests": lambda s, d: _tickets(s, d).table.drop("created_at", "closed_at", "updated_at"),
-    "ingest_requests_rejects": lambda s, d: _tickets(s, d).rejects.select(
-        "event_id", "unit_id", "tenant_id", "title", "reason"
-    ),
+    "apply_status_changes": lambda s, d: _status_changes(s, d).table,
+    "apply_status_changes_rejects": lambda s, d: _status_changes(s, d).rejects,
+    "apply_payments": lambda s, d: _payments(s, d).table,
+    "apply_payments_rejects": lambda s, d: _payments(s, d).rejects,
+    "ingest_requests": lambda s, d: _tickets(s, d).table,
+    "ingest_requests_rejects": lambda s, d: _tickets(s, d).rejects,
+    **{f"merge_{name}": lambda s, d, run=_merged(name): run(s, d).table for name in STAMPED},
+    **{f"merge_{name}_rejects": lambda s, d, run=_merged(name): run(s, d).rejects for name in ("leases", "payments")},
     "text_search": _search(SEARCHES[0]),
     "text_search_all": _search(SEARCHES[0], limit=None),
     "text_search_one_word": _search(SEARCHES[1]),

@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from .prelude import DAY, prelude
 
-DATES = set("start_date end_date due_date paid_date report_month".split())
-TIMES = set("created_at closed_at completed_at updated_at event_ts changed_at".split())
+DATES = set("start_date end_date due_date paid_date report_month acquisition_date scheduled_date".split())
+TIMES = set("created_at closed_at completed_at updated_at event_ts changed_at assigned_at".split())
 NUMBERS = set(
     """monthly_rent market_rent security_deposit deposit amount_due amount_paid expected_rent collected_rent
     pending_rent collection_percentage occupancy_percentage average_resolution_hours outstanding
     outstanding_balance total_due total_paid occupancy_rate collection_rate total_cost average_job_cost
     average_cost monthly_running_total inflation_factor inflated_expected_rent expected_once portfolio_average
     cost_per_job faulty_expected_rent faulty_collected expected collected paid_total rank old_rent new_rent
-    bathrooms""".split()
+    bathrooms labor_cost material_cost hourly_rate""".split()
 )
 COUNTS = set(
     """property_id unit_id tenant_id lease_id payment_id request_id work_order_id total_units occupied_units
@@ -25,7 +25,7 @@ COUNTS = set(
     bedrooms square_feet total_properties pending_payments open_maintenance open_maintenance_requests
     duplicate_count charge_count row_count recency_rank collection_rank occupied_count joined_rows
     orphan_payments violations occupancy_above_100 invalid_active_leases proposal_id event_id record_id
-    audit_id""".split()
+    audit_id change_id vendor_id""".split()
 )
 
 
@@ -374,7 +374,7 @@ CLEAN: dict[str, tuple[str, str]] = {
            WHERE (unit_status = 'occupied' AND NOT has_lease) OR (unit_status <> 'occupied' AND has_lease)""",
     ),
     "workorder_status_conflicts": (
-        "request_id request_status work_order_id work_order_status",
+        "request_id request_status closed_at work_order_id work_order_status completed_at",
         """SELECT * FROM maintenance_requests JOIN work_orders USING (request_id)
            WHERE if(request_status = 'closed', 1, 0) + if(work_order_status = 'completed', 1, 0) = 1""",
     ),
@@ -544,16 +544,16 @@ CLEAN: dict[str, tuple[str, str]] = {
     ),
     # unit status jobs
     "refresh_unit_status": (
-        "unit_id property_id unit_status updated_at",
-        f"""SELECT unit_id, property_id, CASE WHEN has_lease THEN 'occupied' ELSE 'vacant' END AS unit_status,
-                   TIMESTAMP '1998-07-01 00:00:00' AS updated_at FROM unit_flags""",
+        "unit_id property_id unit_number bedrooms bathrooms square_feet market_rent unit_status created_at updated_at",
+        """SELECT * REPLACE (CASE WHEN has_lease THEN 'occupied' ELSE 'vacant' END AS unit_status,
+                  TIMESTAMP '1998-07-01 00:00:00' AS updated_at) FROM unit_flags""",
     ),
     "repair_unit_status": (
-        "unit_id property_id unit_status updated_at",
-        """SELECT unit_id, property_id,
+        "unit_id property_id unit_number bedrooms bathrooms square_feet market_rent unit_status created_at updated_at",
+        """SELECT * REPLACE (
                   CASE WHEN unit_status = 'occupied' AND NOT has_lease THEN 'vacant' ELSE unit_status END AS unit_status,
                   CASE WHEN unit_status = 'occupied' AND NOT has_lease THEN TIMESTAMP '1998-07-01 00:00:00'
-                       ELSE updated_at END AS updated_at FROM unit_flags""",
+                       ELSE updated_at END AS updated_at) FROM unit_flags""",
     ),
 }
 
@@ -778,7 +778,8 @@ DAMAGED: dict[str, tuple[str, str]] = {
 # Batch jobs and search: inputs first, then the outcome.
 
 _PROPOSALS = """
-    SELECT k AS proposal_id, k * 31 % ((SELECT count(*) FROM part) + 20) AS unit_id,
+    SELECT k AS proposal_id, CASE WHEN k % 59 <> 0 THEN 'property_manager' ELSE 'tenant' END AS role,
+           CASE WHEN k % 53 <> 0 THEN k * 31 % ((SELECT count(*) FROM part) + 20) END AS unit_id,
            (k * 11 + 3) % ((SELECT count(*) FROM customer) + 5) AS tenant_id, start_date,
            start_date + (k % 400 - 4)::INT AS end_date, rent AS monthly_rent,
            coalesce(CASE WHEN k % 47 = 0 THEN -1 WHEN k % 3 = 0 THEN price END, rent) AS deposit
@@ -795,9 +796,12 @@ _DECIDED = f"""
     ), first_fit AS (
         SELECT arg_min(base, proposal_id) AS f FROM base
         WHERE end_date > start_date AND tenant_known AND unit_known AND NOT taken AND monthly_rent > 0 AND deposit >= 0
+          AND role = 'property_manager'
         GROUP BY unit_id
     )
     SELECT base.*, CASE
+        WHEN role <> 'property_manager' THEN 'role_not_allowed'
+        WHEN base.unit_id IS NULL THEN 'missing_field'
         WHEN base.end_date <= base.start_date THEN 'invalid_dates'
         WHEN NOT tenant_known THEN 'unknown_tenant'
         WHEN NOT unit_known THEN 'unknown_unit'
@@ -811,44 +815,91 @@ _ACCEPTED = f"""
     SELECT *, n + (SELECT max(lease_id) FROM leases) AS lease_id
     FROM (SELECT *, row_number() OVER (ORDER BY proposal_id) AS n FROM ({_DECIDED}) WHERE reason IS NULL)"""
 
+# What a batch changes, and the tables after it.
+_COLUMNS = {
+    "properties": "property_code property_name address_line1 city state_code postal_code manager_name acquisition_date is_active",
+    "units": "property_id unit_number bedrooms bathrooms square_feet market_rent unit_status",
+    "tenants": "first_name last_name email phone emergency_contact",
+    "leases": "unit_id tenant_id start_date end_date monthly_rent security_deposit lease_status",
+    "payments": "lease_id payment_reference due_date paid_date amount_due amount_paid payment_status payment_method",
+    "maintenance_requests": "unit_id tenant_id title description priority request_status closed_at",
+    "work_orders": "request_id vendor_id assigned_at scheduled_date completed_at labor_cost material_cost work_order_status notes",
+}
+_ALTERED = {
+    "properties": ("manager_name", "'New ' || manager_name"), "units": ("market_rent", "market_rent + 10"),
+    "tenants": ("phone", "phone || '0'"), "leases": ("monthly_rent", "monthly_rent + 25"), "payments": ("payment_method", "'cash'"),
+    "maintenance_requests": ("priority", "'high'"), "work_orders": ("notes", "notes || ' (changed)'"),
+}
+_BATCH_TIME = "TIMESTAMP '1998-07-01 00:00:00'"
+
+
+def _after_batch(table: str) -> str:
+    key, (column, value) = _PRIMARY[table], _ALTERED[table]
+    new_value = f"if({key} % 17 = 2, {value}, {column})"
+    return f"""SELECT * REPLACE ({new_value} AS {column},
+                   if({key} % 17 = 2 AND {new_value} IS DISTINCT FROM {column}, {_BATCH_TIME}, updated_at) AS updated_at)
+               FROM {table} WHERE {key} % 17 <> 1
+               UNION ALL SELECT * REPLACE (-{key} - 1 AS {key}, {_BATCH_TIME} AS created_at, {_BATCH_TIME} AS updated_at)
+               FROM {table} WHERE {key} % 17 = 5"""
+
+
+def _refused(table: str) -> str:
+    key = _PRIMARY[table]
+    return f"""SELECT {key} * 2 AS change_id, 'delete' AS action, * REPLACE (-{key} - 1 AS {key}), 'unknown_key' AS reason
+               FROM {table} WHERE {key} % 17 = 6
+               UNION ALL SELECT {key} * 2, 'put', * REPLACE (NULL AS {key}), 'missing_key' FROM {table} WHERE {key} % 17 = 7"""
+
+
+def _image(row: str) -> str:
+    """A lease as the JSON text that the audit keeps."""
+    text = lambda c: f"""'"{c}":"' || {row}.{c} || '"'"""
+    number = lambda c: f"""'"{c}":' || {row}.{c}"""
+    stamp = lambda c: f"""'"{c}":"' || strftime({row}.{c}, '%Y-%m-%dT%H:%M:%S.%gZ') || '"'"""
+    fields = [number(c) for c in ("lease_id", "unit_id", "tenant_id")] + [text("start_date"), text("end_date")]
+    fields += [number("monthly_rent"), number("security_deposit"), text("lease_status"), stamp("created_at"), stamp("updated_at")]
+    return "'{' || " + " || ',' || ".join(fields) + " || '}'"
+
+
 _AUDIT = f"""
     SELECT 'leases' AS table_name, coalesce(o.lease_id, n.lease_id) AS record_id,
            CASE WHEN o.lease_id IS NULL THEN 'INSERT' WHEN n.lease_id IS NULL THEN 'DELETE' ELSE 'UPDATE' END AS action,
-           o.lease_status AS old_status, n.lease_status AS new_status, o.monthly_rent AS old_rent,
-           n.monthly_rent AS new_rent
-    FROM (SELECT * FROM leases WHERE start_date <= {DAY} - 30) o
-    FULL JOIN (SELECT * REPLACE (if(lease_status = 'active' AND end_date < {DAY}, 'expired', lease_status)
-                                 AS lease_status) FROM leases WHERE end_date >= {DAY} - 700) n
-         ON o.lease_id = n.lease_id
-    WHERE o.lease_status IS DISTINCT FROM n.lease_status OR o.lease_id IS NULL OR n.lease_id IS NULL"""
+           {_image("o")} AS old_data, {_image("n")} AS new_data, {_BATCH_TIME} AS changed_at
+    FROM leases o FULL JOIN ({_after_batch("leases")}) n ON o.lease_id = n.lease_id
+    WHERE o.lease_id IS NULL OR n.lease_id IS NULL OR o.monthly_rent <> n.monthly_rent"""
 
 _EVENTS = """
     SELECT *, CASE
+        WHEN role = 'guest' THEN 'role_not_allowed'
         WHEN new_status = 'reopened' THEN 'unknown_status'
         WHEN role = 'vendor' AND new_status IN ('open', 'on_hold', 'cancelled') THEN 'not_for_vendor'
         WHEN role = 'tenant' AND new_status <> 'cancelled' THEN 'not_for_tenant'
         WHEN request_id NOT IN (SELECT request_id FROM maintenance_requests) THEN 'unknown_request' END AS reason
-    FROM (SELECT event_id, event_id * 3 // 4 AS request_id,
-                 ['vendor', 'tenant', 'property_manager'][event_id % 3 + 1] AS role,
+    FROM (SELECT event_id, CASE event_id % 29 WHEN 0 THEN -event_id - 1 ELSE event_id * 3 // 4 END AS request_id,
+                 CASE event_id % 23 WHEN 0 THEN 'guest' ELSE ['vendor', 'tenant', 'property_manager'][event_id % 3 + 1] END AS role,
                  ['open', 'assigned', 'in_progress', 'on_hold', 'closed', 'cancelled',
                   'reopened'][event_id % 7 + 1] AS new_status, ts + INTERVAL 40 DAY AS event_ts FROM events)"""
 
 _PAY_EVENTS = """
-    SELECT payment_id AS event_id, payment_id, created_at + INTERVAL 10 DAY AS event_ts FROM payments
-    UNION ALL
-    SELECT -payment_id - 1, payment_id, created_at + INTERVAL 11 DAY FROM payments
-    WHERE split_part(payment_reference, '-', 3)::INT >= 6"""
+    SELECT *, ['tenant', 'property_manager', 'vendor', 'support_engineer', 'tenant'][payment_id % 5 + 1] AS role FROM (
+        SELECT payment_id AS event_id, payment_id, created_at + INTERVAL 10 DAY AS event_ts FROM payments
+        UNION ALL
+        SELECT -payment_id - 1, payment_id, created_at + INTERVAL 11 DAY FROM payments
+        WHERE split_part(payment_reference, '-', 3)::INT >= 6)"""
 
 _TICKETS = r"""
-    SELECT *, CASE WHEN length(title) > 160 THEN 'title_too_long'
+    SELECT *, CASE WHEN role = 'vendor' THEN 'role_not_allowed'
+                   WHEN unit_id IS NULL OR title IS NULL THEN 'missing_field'
+                   WHEN length(title) > 160 THEN 'title_too_long'
                    WHEN unit_id NOT IN (SELECT unit_id FROM units) THEN 'unknown_unit'
                    WHEN tenant_id NOT IN (SELECT tenant_id FROM tenants) THEN 'unknown_tenant' END AS reason
-    FROM (SELECT conv_id * 1000 + turn AS event_id,
-                 (conv_id * 1000 + turn) % ((SELECT count(*) FROM part) + 20) AS unit_id,
-                 if((conv_id * 1000 + turn) % 5 <> 0, conv_id % 50, 1) AS tenant_id,
-                 regexp_replace(text, '^\s+|\s+$', '', 'g') AS title,
-                 ['high', 'medium', 'low', 'medium'][(conv_id * 1000 + turn) % 4 + 1] AS priority
-          FROM conversations)"""
+    FROM (SELECT k AS event_id, CASE k % 19 WHEN 0 THEN 'vendor' ELSE 'tenant' END AS role,
+                 CASE WHEN k % 37 <> 0 THEN if(k % 47 = 0, -1, k % ((SELECT count(*) FROM part) + 20)) END AS unit_id,
+                 CASE WHEN k % 43 = 0 THEN -1 WHEN k % 5 = 0 THEN 1 ELSE conv_id % 50 END AS tenant_id,
+                 CASE WHEN k % 41 <> 0 THEN said END AS title,
+                 coalesce(CASE WHEN turn > 0 THEN said END, CASE WHEN k % 41 <> 0 THEN said END) AS description,
+                 ['high', 'medium', 'low', 'medium'][k % 4 + 1] AS priority,
+                 make_timestamp(1709251200000000 + k * 1000000) AS event_ts
+          FROM (SELECT *, conv_id * 1000 + turn AS k, regexp_replace(text, '^\s+|\s+$', '', 'g') AS said FROM conversations))"""
 
 SEARCHES = ("haering ering", "handed", "of the and", "things handed onating", "ndble")
 # Forms of the words searched for, written out by hand: the statements know no rule for finding them.
@@ -899,73 +950,85 @@ _FOUND = "request_id property_id unit_id title priority request_status created_a
 JOBS: dict[str, tuple[str, str]] = {
     "schema_violations": ("rule_id key detail", _schema_violations()),
     "admit_leases_accepted": (
-        "lease_id unit_id tenant_id start_date end_date monthly_rent security_deposit lease_status",
-        f"SELECT *, deposit AS security_deposit, 'active' AS lease_status FROM ({_ACCEPTED})",
+        "lease_id unit_id tenant_id start_date end_date monthly_rent security_deposit lease_status created_at updated_at",
+        f"""SELECT *, deposit AS security_deposit, 'active' AS lease_status, {_BATCH_TIME} AS created_at,
+                   {_BATCH_TIME} AS updated_at FROM ({_ACCEPTED})""",
     ),
     "admit_leases_charges": (
-        "payment_id lease_id payment_reference due_date paid_date amount_due amount_paid payment_status payment_method",
+        "payment_id lease_id payment_reference due_date paid_date amount_due amount_paid payment_status payment_method "
+        "created_at updated_at",
         f"""SELECT n + (SELECT max(payment_id) FROM payments) AS payment_id, lease_id,
                    'PAY-LEASE-' || lease_id || '-' || strftime(start_date, '%Y%m') AS payment_reference,
-                   start_date AS due_date, NULL::DATE AS paid_date, monthly_rent AS amount_due, 0 AS amount_paid,
-                   'pending' AS payment_status, 'ach' AS payment_method FROM ({_ACCEPTED})""",
+                   start_date AS due_date, NULL::DATE AS paid_date, monthly_rent AS amount_due, 0::DECIMAL(12,2) AS amount_paid,
+                   'pending' AS payment_status, 'ach' AS payment_method, {_BATCH_TIME} AS created_at,
+                   {_BATCH_TIME} AS updated_at FROM ({_ACCEPTED})""",
     ),
     "admit_leases_rejects": (
         "proposal_id unit_id tenant_id start_date end_date monthly_rent deposit reason",
         f"SELECT * FROM ({_DECIDED}) WHERE reason IS NOT NULL",
     ),
     "admit_leases_units": (
-        "unit_id unit_status updated_at",
-        f"""SELECT unit_id, if(hit, 'occupied', unit_status) AS unit_status,
-                   if(hit, TIMESTAMP '1998-07-01 00:00:00', updated_at) AS updated_at
+        "unit_id property_id unit_number bedrooms bathrooms square_feet market_rent unit_status created_at updated_at",
+        f"""SELECT * REPLACE (if(hit, 'occupied', unit_status) AS unit_status, if(hit, {_BATCH_TIME}, updated_at) AS updated_at)
             FROM (SELECT *, unit_id IN (SELECT unit_id FROM ({_ACCEPTED})) AS hit FROM units)""",
     ),
-    "audit_changes": ("table_name action record_id old_status new_status old_rent new_rent", _AUDIT),
+    "audit_changes": ("table_name action record_id old_data new_data changed_at", _AUDIT),
     "audit_list": (
-        "audit_id table_name action record_id",
+        "audit_id table_name action record_id old_data new_data changed_at",
         f"""SELECT *, row_number() OVER (ORDER BY record_id) AS audit_id FROM ({_AUDIT})
             ORDER BY audit_id DESC LIMIT 50""",
     ),
     "apply_status_changes": (
-        "request_id request_status closed_at updated_at",
-        f"""SELECT request_id, coalesce(status, request_status) AS request_status,
-                   coalesce(closing, closed_at) AS closed_at, coalesce(moved, updated_at) AS updated_at
+        "request_id unit_id tenant_id title description priority request_status created_at closed_at updated_at",
+        f"""SELECT maintenance_requests.* REPLACE (coalesce(status, request_status) AS request_status,
+                   coalesce(closing, closed_at) AS closed_at, coalesce(moved, updated_at) AS updated_at)
             FROM maintenance_requests LEFT JOIN (
                 SELECT request_id, arg_max(new_status, (event_ts, event_id)) AS status, max(event_ts) AS moved,
                        max(event_ts) FILTER (new_status = 'closed') AS closing
                 FROM ({_EVENTS}) WHERE reason IS NULL GROUP BY request_id) USING (request_id)""",
     ),
     "apply_status_changes_rejects": (
-        "event_id request_id role new_status reason",
+        "event_id request_id role new_status event_ts reason",
         f"SELECT * FROM ({_EVENTS}) WHERE reason IS NOT NULL",
     ),
     "apply_payments": (
-        "payment_id amount_due amount_paid payment_status paid_date updated_at",
-        f"""SELECT payment_id, amount_due, if(hit, amount_due, amount_paid) AS amount_paid,
-                   if(hit, 'paid', payment_status) AS payment_status,
-                   if(hit, event_ts::DATE, paid_date) AS paid_date, if(hit, event_ts, updated_at) AS updated_at
+        "payment_id lease_id payment_reference due_date paid_date amount_due amount_paid payment_status payment_method "
+        "created_at updated_at",
+        f"""SELECT * REPLACE (if(hit, amount_due, amount_paid) AS amount_paid, if(hit, 'paid', payment_status) AS payment_status,
+                   if(hit, event_ts::DATE, paid_date) AS paid_date, if(hit, event_ts, updated_at) AS updated_at)
             FROM (SELECT *, event_ts IS NOT NULL AND payment_status <> 'paid' AS hit FROM payments LEFT JOIN (
-                SELECT payment_id, min(event_ts) AS event_ts FROM ({_PAY_EVENTS}) GROUP BY payment_id)
+                SELECT payment_id, min(event_ts) AS event_ts FROM ({_PAY_EVENTS}) WHERE role <> 'vendor' GROUP BY payment_id)
                 USING (payment_id))""",
     ),
     "apply_payments_rejects": (
-        "event_id payment_id reason",
-        f"""SELECT event_id, payment_id, 'already_paid_or_unknown' AS reason
+        "event_id payment_id role event_ts reason",
+        f"""SELECT *, 'already_paid_or_unknown' AS reason
             FROM (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY event_ts, event_id) AS n
-                  FROM ({_PAY_EVENTS})) WHERE n > 1
-                OR payment_id IN (SELECT payment_id FROM payments WHERE payment_status = 'paid')""",
+                  FROM ({_PAY_EVENTS}) WHERE role <> 'vendor') WHERE n > 1
+                OR payment_id IN (SELECT payment_id FROM payments WHERE payment_status = 'paid')
+            UNION ALL BY NAME SELECT *, 'role_not_allowed' AS reason FROM ({_PAY_EVENTS}) WHERE role = 'vendor'""",
     ),
     "ingest_requests": (
-        "request_id unit_id tenant_id title description priority request_status",
-        f"""SELECT row_number() OVER (ORDER BY event_id) + (SELECT max(request_id) FROM maintenance_requests)
-                       AS request_id, unit_id, tenant_id, title, title AS description, priority,
-                   'open' AS request_status FROM ({_TICKETS}) WHERE reason IS NULL
-            UNION ALL SELECT request_id, unit_id, tenant_id, title, description, priority, request_status
-            FROM maintenance_requests""",
+        "request_id unit_id tenant_id title description priority request_status created_at closed_at updated_at",
+        f"""SELECT row_number() OVER (ORDER BY event_ts, event_id) + (SELECT max(request_id) FROM maintenance_requests)
+                       AS request_id, unit_id, tenant_id, title, description, priority,
+                   'open' AS request_status, event_ts AS created_at, NULL::TIMESTAMP AS closed_at, event_ts AS updated_at
+            FROM ({_TICKETS}) WHERE reason IS NULL
+            UNION ALL SELECT request_id, unit_id, tenant_id, title, description, priority, request_status, created_at,
+                   closed_at, updated_at FROM maintenance_requests""",
     ),
     "ingest_requests_rejects": (
-        "event_id unit_id tenant_id title reason",
+        "event_id role unit_id title description priority tenant_id event_ts reason",
         f"SELECT * FROM ({_TICKETS}) WHERE reason IS NOT NULL",
     ),
+    **{
+        f"merge_{table}": (f"{_PRIMARY[table]} {columns} created_at updated_at", _after_batch(table))
+        for table, columns in _COLUMNS.items()
+    },
+    **{
+        f"merge_{table}_rejects": (f"change_id action {_PRIMARY[table]} {_COLUMNS[table]} reason", _refused(table))
+        for table in ("leases", "payments")
+    },
     "text_search": (_FOUND, _search(SEARCHES[0])),
     "text_search_all": (_FOUND, _search(SEARCHES[0], limit="")),
     "text_search_one_word": (_FOUND, _search(SEARCHES[1])),

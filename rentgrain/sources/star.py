@@ -416,7 +416,8 @@ def lease_proposals(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("tenant_id", (key * 11 + 3) % (_count(spark, folder, "customer") + 5))
         .selectExpr(
             "o_orderkey AS proposal_id",
-            "unit_id",
+            "IF(o_orderkey % 59 = 0, 'tenant', ' Operations') AS role",
+            "IF(o_orderkey % 53 = 0, NULL, unit_id) AS unit_id",
             "tenant_id",
             "date_add(o_orderdate, 200) AS start_date",
             "date_add(o_orderdate, int(196 + o_orderkey % 400)) AS end_date",
@@ -435,8 +436,8 @@ def status_events(spark: SparkSession, folder: str) -> DataFrame:
     """Status changes asked for by three roles; some requests get several."""
     return _read(spark, folder, "events").selectExpr(
         "event_id",
-        "event_id * 3 DIV 4 AS request_id",
-        "element_at(array('vendor', 'tenant', 'property_manager'), int(event_id % 3 + 1)) AS role",
+        "IF(event_id % 29 = 0, -event_id - 1, event_id * 3 DIV 4) AS request_id",
+        "IF(event_id % 23 = 0, 'guest', element_at(array('vendor', 'tenant', 'property_manager'), int(event_id % 3 + 1))) AS role",
         f"element_at(array{TARGETS}, int(event_id % 7 + 1)) AS new_status",
         "timestamp(ts) + INTERVAL 40 DAYS AS event_ts",
     )
@@ -448,7 +449,12 @@ def payment_events(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _lines(spark, folder)
         .selectExpr("*", "explode(IF(l_linenumber >= 6, array(0, 1), array(0))) AS attempt")
-        .selectExpr("IF(attempt = 0, payment_id, -payment_id - 1) AS event_id", "payment_id", f"{paid_at} AS event_ts")
+        .selectExpr(
+            "IF(attempt = 0, payment_id, -payment_id - 1) AS event_id",
+            "payment_id",
+            "element_at(array('tenant', 'property_manager', 'vendor', 'support_engineer', 'tenant'), int(payment_id % 5 + 1)) AS role",
+            f"{paid_at} AS event_ts",
+        )
     )
 
 
@@ -460,11 +466,12 @@ def new_requests(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("unit_id", F.expr(key) % (_count(spark, folder, "part") + 20))
         .selectExpr(
             f"{key} AS event_id",
-            "unit_id",
-            "text AS title",
+            f"IF({key} % 19 = 0, 'vendor', 'tenant') AS role",
+            f"CASE WHEN {key} % 37 = 0 THEN NULL WHEN {key} % 47 = 0 THEN -1L ELSE unit_id END AS unit_id",
+            f"IF({key} % 41 = 0, NULL, text) AS title",
             "IF(turn > 0, concat(' ', text), NULL) AS description",
             f"element_at(array('HIGH', 'urgent', ' low ', NULL), int({key} % 4 + 1)) AS priority",
-            f"IF({key} % 5 = 0, NULL, conv_id % 50) AS tenant_id",
+            f"CASE WHEN {key} % 43 = 0 THEN -1L WHEN {key} % 5 = 0 THEN NULL ELSE conv_id % 50 END AS tenant_id",
             f"timestamp(TIMESTAMP_NTZ '2024-03-01 00:00:00' + make_dt_interval(0, 0, 0, {key})) AS event_ts",
         )
     )
@@ -476,9 +483,35 @@ def rolled_over(leases: DataFrame) -> DataFrame:
     return leases.withColumn("lease_status", F.when(ended, "expired").otherwise(F.col("lease_status")))
 
 
-def lease_snapshots(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Two states of the lease table, a month of operations apart."""
-    leases = _leases(spark, folder)
-    old = leases.filter(F.col("start_date") <= F.date_add(F.lit(AS_OF), -30))
-    new = rolled_over(leases.filter(F.col("end_date") >= F.date_add(F.lit(AS_OF), -700)))
-    return old, new
+# What a batch of changes does to one column of each table.
+_ALTERED = {
+    "properties": ("manager_name", "concat('New ', manager_name)"),
+    "units": ("market_rent", "CAST(market_rent + 10 AS DECIMAL(12,2))"),
+    "tenants": ("phone", "concat(phone, '0')"),
+    "leases": ("monthly_rent", "CAST(monthly_rent + 25 AS DECIMAL(12,2))"),
+    "payments": ("payment_method", "'cash'"),
+    "maintenance_requests": ("priority", "'high'"),
+    "work_orders": ("notes", "concat(notes, ' (changed)')"),
+}
+
+
+def table_changes(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A batch of changes to one of the tables that keep ``updated_at``, made from its own rows.
+
+    By the remainder of a row's key by 17: deleted (1), altered (2), altered and altered back (3), put with equal
+    values (4), put once more under a new key (5), an unknown row deleted (6), put without a key (7).
+    """
+    table, key = getattr(star_tables(spark, folder), name), SCHEMAS[name][0].name
+    column, value = _ALTERED[name]
+    batch = table.withColumn("kind", F.pmod(F.col(key), F.lit(17))).filter("kind BETWEEN 1 AND 7")
+    steps = batch.withColumn("step", F.expr("explode(IF(kind = 3, array(0, 1), array(0)))"))
+    number = f"{key} * 2 + step"
+    altered = f"IF(kind = 2 OR (kind = 3 AND step = 0), {value}, {column})"
+    new_key = f"CASE kind WHEN 5 THEN -{key} - 1 WHEN 6 THEN -{key} - 1 WHEN 7 THEN NULL ELSE {key} END"
+    columns = [c for c in table.columns if c not in (key, "created_at", "updated_at")]
+    return steps.selectExpr(
+        f"{number} AS change_id",
+        "IF(kind IN (1, 6), 'delete', 'put') AS action",
+        f"{new_key} AS {key}",
+        *[f"{altered} AS {c}" if c == column else c for c in columns],
+    )

@@ -6,6 +6,7 @@ import pytest
 from conftest import AS_OF, NOW, frame, money
 
 from rentgrain.operators import changes, listings
+from rentgrain.plans import catalog
 from rentgrain.schema import AUDIT_LOGS
 
 PROPOSAL = (
@@ -194,3 +195,78 @@ def test_unit_status(make, repair):
         assert rows == {1: ("vacant", False), 2: ("vacant", True), 3: ("offline", False)}
     else:
         assert rows == {1: ("occupied", True), 2: ("vacant", True), 3: ("vacant", True)}
+
+
+CHANGES = (
+    "change_id long, action string, tenant_id long, first_name string, last_name string, email string, phone string, "
+    "emergency_contact string"
+)
+
+
+def test_merged_changes_equal_one_by_one(spark, make):
+    rng = random.Random(3)
+    person = lambda: (rng.choice("abc"), rng.choice("xy"), "mail", "1", rng.choice([None, "c"]))
+    start = {k: person() for k in range(1, 80)}
+    names = ("first_name", "last_name", "email", "phone", "emergency_contact")
+    table = make(tenants=[{"tenant_id": k, **dict(zip(names, v))} for k, v in start.items()]).tenants
+    batch = []
+    for number in range(300):
+        key = None if number % 50 == 7 else 5 if rng.random() < 0.3 else rng.randrange(1, 120)  # one key has a third of all changes
+        batch.append((number, rng.choice(["put", "put", "delete"]), key, *person()))
+    done = changes.merge_changes(table, spark.createDataFrame(batch, CHANGES), "tenant_id", NOW)
+    last = {b[2]: b for b in batch if b[2] is not None}
+    after = {k: v for k, v in start.items() if last.get(k, ("", "put"))[1] == "put"}
+    after |= {k: b[3:] for k, b in last.items() if b[1] == "put"}
+    found = {r.tenant_id: r for r in done.table.collect()}
+    assert {k: tuple(r[n] for n in names) for k, r in found.items()} == after
+    for key, r in found.items():
+        assert (r.updated_at == NOW) == (start.get(key) != after[key]), key
+        assert (r.created_at == NOW) == (key not in start)
+    refused = sorted((b[0], "missing_key" if b[2] is None else "unknown_key") for b in batch
+                     if b[2] is None or (b is last[b[2]] and b[1] == "delete" and b[2] not in start))
+    assert sorted((r.change_id, r.reason) for r in done.rejects.collect()) == refused
+
+
+def test_only_ranges_with_a_change_are_compared(spark):
+    old = spark.range(10_000).selectExpr("id AS lease_id", "IF(id % 7 = 0, NULL, id) AS a", "IF(id % 7 = 0, id, NULL) AS b")
+    # Values that move between columns, a repeated row and a lost one are changes too.
+    new = old.selectExpr("lease_id", "IF(lease_id = 14, b, a) AS a", "IF(lease_id = 14, NULL, b) AS b").filter("lease_id <> 5000")
+    new = new.unionByName(new.filter("lease_id = 9000"))
+    assert sorted(r["range"] for r in changes.changed_ranges(old, new, "lease_id").collect()) == [0, 5000 // 256, 9000 // 256]
+    assert changes.changed_ranges(old, old.repartition(3), "lease_id").isEmpty()
+    found = changes.audit_changes(old, old.filter("lease_id <> 5000"), NOW).collect()
+    assert [(r.action, r.record_id, r.new_data) for r in found] == [("DELETE", 5000, None)]
+
+
+def test_roles_are_refused(spark, make):
+    t = make(payments=[{}, {}], maintenance_requests=[{}])
+    events = spark.createDataFrame(
+        [(1, 1, "vendor", NOW), (2, 1, " Tenant ", NOW), (3, 2, None, NOW), (4, 9, "operations", NOW)],
+        "event_id long, payment_id long, role string, event_ts timestamp",
+    )
+    done = changes.apply_payments(t.payments, events)
+    assert {r.payment_id: r.payment_status for r in done.table.collect()} == {1: "paid", 2: "pending"}
+    assert {r.event_id: r.reason for r in done.rejects.collect()} == {
+        1: "role_not_allowed", 3: "role_not_allowed", 4: "already_paid_or_unknown"
+    }
+    tickets = spark.createDataFrame(
+        [(1, "vendor", 1, "a", None, None, None, NOW), (2, "tenant", 1, "b", None, None, None, NOW)],
+        "event_id long, role string, unit_id long, title string, description string, priority string, tenant_id long, event_ts timestamp",
+    )
+    done = changes.ingest_requests(t, tickets)
+    assert {r.event_id: r.reason for r in done.rejects.collect()} == {1: "role_not_allowed"}
+    assert done.table.count() == 2
+
+
+def test_every_reason_occurs_in_the_registered_jobs(spark):
+    reasons = {
+        "admit_leases_rejects": {"role_not_allowed", "missing_field", "invalid_dates", "unknown_tenant", "unknown_unit",
+                                 "overlaps_active_lease", "invalid_rent", "invalid_deposit", "unit_already_leased"},
+        "apply_status_changes_rejects": {"role_not_allowed", "unknown_status", "not_for_vendor", "not_for_tenant", "unknown_request"},
+        "apply_payments_rejects": {"role_not_allowed", "already_paid_or_unknown"},
+        "ingest_requests_rejects": {"role_not_allowed", "missing_field", "title_too_long", "unknown_unit", "unknown_tenant"},
+        "merge_leases_rejects": {"unknown_key", "missing_key"},
+    }
+    for name, expected in reasons.items():
+        found = catalog.queries()[name](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()
+        assert {r.reason for r in found} == expected, name
