@@ -194,16 +194,17 @@ class DuplicateKeyError(ValueError):
 def write_performance_snapshot(t: Tables, as_of: date, folder: str) -> DataFrame:
     """Store :func:`property_performance` for the day and read it back.
 
-    Each day is its own partition folder and is written once; the key is checked on the
-    stored rows, so the report is computed a single time.
+    Each day is its own partition folder and is written once. The report is computed a single time,
+    into a folder aside; its key is checked there, and only then it appears under its day.
     """
-    path = f"{folder}/as_of={as_of.isoformat()}"
-    property_performance(t, as_of).write.mode("errorifexists").parquet(path)
-    stored = t.properties.sparkSession.read.parquet(path)
-    repeated = stored.groupBy("property_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        raise DuplicateKeyError(f"property_id is not unique in {path}")
-    return stored
+    spark, name = t.properties.sparkSession, f"as_of={as_of.isoformat()}"
+    aside, path = f"{folder}/_unchecked/{name}", f"{folder}/{name}"
+    property_performance(t, as_of).write.mode("errorifexists").parquet(aside)
+    unchecked = spark.read.parquet(aside)
+    if not unchecked.groupBy("property_id").count().filter("count > 1").isEmpty():
+        raise DuplicateKeyError(f"property_id is not unique in {aside}")
+    unchecked.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
 
 
 def only_property(t: Tables, property_id: int | None) -> Tables:

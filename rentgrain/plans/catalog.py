@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import cases, changes, constraints, dashboard, definitions, grid, library, listings, quality, reports, rewrites, search
+from ..operators import cases, changes, constraints, dashboard, definitions, grid, library, listings, publishing, quality, reports, rewrites, search
 from ..operators.duplicates import duplicate_payments, loose_duplicate_payments
 from ..schema import AUDIT_LOGS, SCHEMAS, Tables
 from ..sources import star
+from ..sources.canonical import fresh_folder
 from ..sources.star import AS_OF
 from .checks import SEARCHES
 
@@ -187,6 +188,19 @@ def _tickets(spark: SparkSession, folder: str) -> changes.Applied:
     return changes.ingest_requests(star.star_tables(spark, folder), star.new_requests(spark, folder))
 
 
+def _published(tables: Callable[[SparkSession, str], Tables]) -> Query:
+    return lambda s, d: publishing.publish(tables(s, d), AS_OF, fresh_folder(s), "v1")
+
+
+def _read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Occupancy, from the snapshot that was published although a broken one came after it."""
+    place = fresh_folder(spark)
+    publishing.publish(star.star_tables(spark, folder), AS_OF, place, "v1")
+    publishing.publish(star.damaged_tables(spark, folder), AS_OF, place, "v2")
+    stored = publishing.load_published(spark, place)
+    return reports.occupancy_report(stored, AS_OF)
+
+
 def _search(query: str, limit: int | None = search.LIMIT) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         units = star.star_tables(spark, folder).units
@@ -216,6 +230,9 @@ JOBS: dict[str, Query] = {
     "ingest_requests_rejects": lambda s, d: _tickets(s, d).rejects,
     **{f"merge_{name}": lambda s, d, run=_merged(name): run(s, d).table for name in STAMPED},
     **{f"merge_{name}_rejects": lambda s, d, run=_merged(name): run(s, d).rejects for name in ("leases", "payments")},
+    "publication_verdict": _published(star.star_tables),
+    "publication_verdict_damaged": _published(star.damaged_tables),
+    "published_occupancy_report": _read_back,
     "text_search": _search(SEARCHES[0]),
     "text_search_all": _search(SEARCHES[0], limit=None),
     "text_search_one_word": _search(SEARCHES[1]),

@@ -25,7 +25,7 @@ COUNTS = set(
     bedrooms square_feet total_properties pending_payments open_maintenance open_maintenance_requests
     duplicate_count charge_count row_count recency_rank collection_rank occupied_count joined_rows
     orphan_payments violations occupancy_above_100 invalid_active_leases proposal_id event_id record_id
-    audit_id change_id vendor_id""".split()
+    audit_id change_id vendor_id table_rows repeated_properties""".split()
 )
 
 
@@ -947,6 +947,23 @@ def _search(query: str, limit: str = "LIMIT 50") -> str:
 
 _FOUND = "request_id property_id unit_id title priority request_status created_at rank"
 
+_VERDICT = (
+    "version as_of table_rows occupancy_above_100 orphan_payments invalid_active_leases repeated_properties status"
+)
+
+
+def _verdict() -> str:
+    rows = " + ".join(f"(SELECT count(*) FROM {table})" for table in _PRIMARY)
+    return f"""SELECT *, if(occupancy_above_100 + orphan_payments + invalid_active_leases + repeated_properties = 0, 'PASS', 'FAIL') AS status
+        FROM (SELECT 'v1' AS version, '1998-07-01' AS as_of, {rows} AS table_rows,
+                     (SELECT count(*) FROM occupancy WHERE occupied_units > total_units) AS occupancy_above_100,
+                     (SELECT count(*) FROM payments pm WHERE NOT EXISTS (SELECT 1 FROM leases le WHERE le.lease_id = pm.lease_id))
+                         AS orphan_payments,
+                     (SELECT count(*) FROM in_force WHERE NOT {DAY} BETWEEN start_date AND end_date) AS invalid_active_leases,
+                     (SELECT count(*) FROM (SELECT property_id FROM properties WHERE is_active GROUP BY property_id HAVING count(*) > 1))
+                         AS repeated_properties)"""
+
+
 JOBS: dict[str, tuple[str, str]] = {
     "schema_violations": ("rule_id key detail", _schema_violations()),
     "admit_leases_accepted": (
@@ -1021,6 +1038,11 @@ JOBS: dict[str, tuple[str, str]] = {
         "event_id role unit_id title description priority tenant_id event_ts reason",
         f"SELECT * FROM ({_TICKETS}) WHERE reason IS NOT NULL",
     ),
+    "publication_verdict": (_VERDICT, _verdict()),
+    "published_occupancy_report": (
+        f"{_MATCH} city total_units occupied_units vacant_units occupancy_percentage",
+        "SELECT * FROM occupancy",
+    ),
     **{
         f"merge_{table}": (f"{_PRIMARY[table]} {columns} created_at updated_at", _after_batch(table))
         for table, columns in _COLUMNS.items()
@@ -1043,4 +1065,5 @@ def oracle_sql() -> dict[str, str]:
     """The statement of every registered query."""
     clean = {key: statement(columns, sql) for key, (columns, sql) in (CLEAN | JOBS).items()}
     damaged = {key: statement(columns, sql, damaged=True) for key, (columns, sql) in DAMAGED.items()}
+    damaged["publication_verdict_damaged"] = statement(_VERDICT, _verdict(), damaged=True)
     return clean | damaged

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,17 @@ def save_tables(tables: Tables, folder: str) -> None:
 def write_records(df: DataFrame, path: str) -> None:
     """Result rows as JSON records, one object per line, keeping NULL fields."""
     df.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder that the driver and every executor reach.
+
+    Below ``spark.checkpoint.dir``; a temporary folder of this machine only where that is unset and
+    Spark runs inside one process, as in tests.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        top = tempfile.gettempdir()
+    return f"{top.rstrip('/')}/portfolio-{uuid.uuid4().hex}"
