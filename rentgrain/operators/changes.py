@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import flag, flag_known
 from ..functions.prefix import row_positions
+from ..functions.prints import bag_print
 from ..schema import MONEY, PRIORITIES, REQUEST_STATUSES, Tables
 from . import definitions as d
 
@@ -235,19 +236,12 @@ def _touch(df: DataFrame, column: str, changed: Column, value: Column, now: date
 KEYS_TOGETHER = 256
 
 
-def _fingerprints(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(range, n, prints) for each range of keys: the number of rows and order-free sums of two hashes of each."""
-    missing = [F.col(c).isNull() for c in columns]  # hashes pass over missing values
-    row = [F.xxhash64(*columns, *missing), F.xxhash64(F.lit("second"), *missing, *columns)]
-    total = lambda h: F.sum(h.cast("decimal(20,0)"))
-    return df.groupBy(F.floor(F.col(key) / KEYS_TOGETHER).alias("range")).agg(
-        F.count("*").alias("n"), F.struct(*[total(h) for h in row], *[F.bit_xor(h) for h in row]).alias("prints")
-    )
-
-
 def changed_ranges(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(range): ranges of keys in which the snapshots differ."""
-    prints = lambda df, side: _fingerprints(df, key, old.columns).select("range", F.struct("n", "prints").alias(side))
+    def prints(df: DataFrame, side: str) -> DataFrame:
+        ranges = df.groupBy(F.floor(F.col(key) / KEYS_TOGETHER).alias("range"))
+        return ranges.agg(bag_print(old.columns).alias(side))
+
     both = prints(old, "before").join(prints(new, "after"), "range", "full")
     return both.filter(~F.col("before").eqNullSafe(F.col("after"))).select("range")
 

@@ -13,10 +13,14 @@ from ..functions.columns import (
     day,
     days_until,
     full_name,
+    in_month,
     is_open_request,
+    month_start,
+    next_month,
     percentage,
     unpaid,
 )
+from ..functions.joins import flag
 from ..functions.paging import at_least_kth, limited
 from ..schema import MONEY_TOTAL, Tables
 from . import definitions as d
@@ -115,8 +119,22 @@ def lowest_occupancy(t: Tables, as_of: date, limit: int | None = 12) -> DataFram
     return r.occupancy_report(t, as_of).transform(limited, limit)
 
 
-def dashboard_bundle(t: Tables, as_of: date) -> dict[str, DataFrame]:
-    """Everything the dashboard shows, all from one snapshot of the tables."""
+def leases_of_month(t: Tables, as_of: date) -> DataFrame:
+    """The leases that any part of the dashboard can need: in force on the day, of the month, or charged in it."""
+    first, after = month_start(as_of), next_month(as_of)
+    charged = t.payments.filter(in_month("due_date", as_of)).select("lease_id").distinct()
+    touching = (F.col("start_date") < day(after)) & (F.col("end_date") >= day(first))
+    return flag(t.leases, charged, "lease_id", "_charged").filter(touching | F.col("_charged")).drop("_charged")
+
+
+def dashboard_bundle(t: Tables, as_of: date, folder: str) -> dict[str, DataFrame]:
+    """Everything the dashboard shows, all from one snapshot of the tables.
+
+    One job reads the leases and keeps those that matter in ``folder``; every part reads these.
+    """
+    path = f"{folder}/leases_of_month"
+    leases_of_month(t, as_of).write.mode("errorifexists").parquet(path)
+    t = t.with_(leases=t.properties.sparkSession.read.schema(t.leases.schema).parquet(path))
     return {
         "summary": dashboard_summary(t, as_of),
         "occupancy": r.occupancy_report(t, as_of),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date, timedelta
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import day, or_zero, total
+from ..functions.prints import bag_print
 from ..schema import Tables
 
 
@@ -57,6 +59,27 @@ def payment_after(t: Tables) -> DataFrame:
     return active.join(paid, "lease_id", "left").select("lease_id", or_zero(F.col("paid_total")).alias("paid_total"))
 
 
+def plan_text(df: DataFrame) -> str:
+    """The formatted physical plan."""
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@dataclass(frozen=True)
+class PlanFacts:
+    """What a plan reads and moves."""
+
+    scans: int
+    exchanges: int
+    pushed: tuple[str, ...]
+
+    @staticmethod
+    def of(df: DataFrame) -> "PlanFacts":
+        text = plan_text(df)
+        pushed = {f for group in re.findall(r"PushedFilters: \[(.*)\]", text) for f in re.findall(r"\w+\(.*?\)", group)}
+        nodes = re.findall(r"^\(\d+\) (\w+)", text, re.M)
+        return PlanFacts(nodes.count("Scan"), nodes.count("Exchange"), tuple(sorted(pushed)))
+
+
 @dataclass(frozen=True)
 class Comparison:
     """Two formulations side by side."""
@@ -65,26 +88,52 @@ class Comparison:
     after_plan: str
     only_before: DataFrame
     only_after: DataFrame
+    same: DataFrame
 
     def is_equivalent(self) -> bool:
-        """No row is on one side only, repeats included."""
-        return self.only_before.isEmpty() and self.only_after.isEmpty()
-
-
-def plan_text(df: DataFrame) -> str:
-    """The formatted physical plan."""
-    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        """No row is on one side only, repeats included; decided by fingerprints."""
+        return self.same.first()["equivalent"]
 
 
 def compare(before: DataFrame, after: DataFrame) -> Comparison:
     """Plans of both formulations and the rows only one of them returns."""
     after = after.select(*before.columns)
-    return Comparison(plan_text(before), plan_text(after), before.exceptAll(after), after.exceptAll(before))
+    return Comparison(
+        plan_text(before), plan_text(after), before.exceptAll(after), after.exceptAll(before), same_bag(before, after)
+    )
+
+
+def same_bag(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (rows_before, rows_after, equivalent): are both the same rows, repeats included?
+
+    Each side is folded to a fingerprint where it is computed; no row is shuffled or sorted.
+    """
+    left = before.agg(bag_print(before.columns).alias("before"))
+    right = after.select(*before.columns).agg(bag_print(before.columns).alias("after"))
+    sides = before.sparkSession.range(1).select(left.scalar().alias("before"), right.scalar().alias("after"))
+    return sides.select(
+        F.col("before.rows").alias("rows_before"),
+        F.col("after.rows").alias("rows_after"),
+        F.col("before").eqNullSafe(F.col("after")).alias("equivalent"),
+    )
+
+
+def equivalence(before: DataFrame, after: DataFrame) -> DataFrame:
+    """:func:`same_bag` with the facts of both plans as columns."""
+    facts = {"before": PlanFacts.of(before), "after": PlanFacts.of(after)}
+    columns = {f"scans_{side}": F.lit(f.scans) for side, f in facts.items()}
+    columns |= {f"pushed_{side}": F.lit(", ".join(f.pushed)) for side, f in facts.items()}
+    return same_bag(before, after).withColumns(columns)
 
 
 def difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows that only one formulation returns, labelled with the side."""
-    sides = compare(before, after)
-    return sides.only_before.withColumn("side", F.lit("before")).unionByName(
-        sides.only_after.withColumn("side", F.lit("after"))
+    """Rows that only one formulation returns, labelled with the side.
+
+    Rows are matched only if the fingerprints differ: of two equal sides no row reaches the comparison.
+    """
+    after = after.select(*before.columns)
+    differs = ~same_bag(before, after).select("equivalent").scalar()
+    here, there = before.filter(differs), after.filter(differs)
+    return here.exceptAll(there).withColumn("side", F.lit("before")).unionByName(
+        there.exceptAll(here).withColumn("side", F.lit("after"))
     )

@@ -19,7 +19,7 @@ from .checks import SEARCHES
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(AS_OF.year, AS_OF.month, AS_OF.day)
-NAME_TERM = "machinery"
+NAME_TERM, NAME_PART = "machinery", "achine"
 TENANT = 7
 # Tables whose rows carry the time of their last change.
 STAMPED = tuple(name for name, schema in SCHEMAS.items() if "updated_at" in schema.names)
@@ -116,6 +116,21 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "rewrite_payment_difference": lambda t: rewrites.difference(
         rewrites.payment_before(t), rewrites.payment_after(t)
     ),
+    "rewrite_tenant_difference_part": lambda t: rewrites.difference(
+        rewrites.tenant_before(t, NAME_PART), rewrites.tenant_after(t, NAME_PART)
+    ),
+    "rewrite_expiry_equivalence": lambda t: rewrites.equivalence(
+        rewrites.expiry_before(t, AS_OF), rewrites.expiry_after(t, AS_OF)
+    ),
+    "rewrite_tenant_equivalence": lambda t: rewrites.equivalence(
+        rewrites.tenant_before(t, NAME_TERM), rewrites.tenant_after(t, NAME_TERM)
+    ),
+    "rewrite_tenant_equivalence_part": lambda t: rewrites.equivalence(
+        rewrites.tenant_before(t, NAME_PART), rewrites.tenant_after(t, NAME_PART)
+    ),
+    "rewrite_payment_equivalence": lambda t: rewrites.equivalence(
+        rewrites.payment_before(t), rewrites.payment_after(t)
+    ),
     "grid_query": lambda t: grid.grid_query(
         t.units,
         term="RING",
@@ -188,6 +203,10 @@ def _tickets(spark: SparkSession, folder: str) -> changes.Applied:
     return changes.ingest_requests(star.star_tables(spark, folder), star.new_requests(spark, folder))
 
 
+def _bundle(part: str) -> Query:
+    return lambda s, d: dashboard.dashboard_bundle(star.star_tables(s, d), AS_OF, fresh_folder(s))[part]
+
+
 def _published(tables: Callable[[SparkSession, str], Tables]) -> Query:
     return lambda s, d: publishing.publish(tables(s, d), AS_OF, fresh_folder(s), "v1")
 
@@ -230,6 +249,10 @@ JOBS: dict[str, Query] = {
     "ingest_requests_rejects": lambda s, d: _tickets(s, d).rejects,
     **{f"merge_{name}": lambda s, d, run=_merged(name): run(s, d).table for name in STAMPED},
     **{f"merge_{name}_rejects": lambda s, d, run=_merged(name): run(s, d).rejects for name in ("leases", "payments")},
+    **{
+        f"bundle_{part}": _bundle(part)
+        for part in ("summary", "occupancy", "rent_collection", "recent_maintenance", "upcoming_expirations")
+    },
     "publication_verdict": _published(star.star_tables),
     "publication_verdict_damaged": _published(star.damaged_tables),
     "published_occupancy_report": _read_back,

@@ -25,7 +25,8 @@ COUNTS = set(
     bedrooms square_feet total_properties pending_payments open_maintenance open_maintenance_requests
     duplicate_count charge_count row_count recency_rank collection_rank occupied_count joined_rows
     orphan_payments violations occupancy_above_100 invalid_active_leases proposal_id event_id record_id
-    audit_id change_id vendor_id table_rows repeated_properties""".split()
+    audit_id change_id vendor_id table_rows repeated_properties rows_before rows_after
+    scans_before scans_after""".split()
 )
 
 
@@ -56,6 +57,17 @@ _PERFORMANCE_SQL = """
     FROM occupancy JOIN rent USING (property_id) JOIN upkeep USING (property_id)"""
 _MATCH = "property_id property_code property_name"
 
+_FACTS = "rows_before rows_after equivalent scans_before scans_after pushed_before pushed_after"
+
+
+def _equivalence(before: str, after: str, scans_before: int, scans_after: int, pushed_before: str, pushed_after: str) -> str:
+    """Both sides compared as bags, with the plan facts that are expected."""
+    return f"""SELECT (SELECT count(*) FROM ({before})) AS rows_before, (SELECT count(*) FROM ({after})) AS rows_after,
+                      NOT EXISTS (({before}) EXCEPT ALL ({after})) AND NOT EXISTS (({after}) EXCEPT ALL ({before})) AS equivalent,
+                      {scans_before} AS scans_before, {scans_after} AS scans_after,
+                      '{pushed_before}' AS pushed_before, '{pushed_after}' AS pushed_after"""
+
+
 CLEAN: dict[str, tuple[str, str]] = {
     # definitions and functions
     "active_leases": (
@@ -530,6 +542,45 @@ CLEAN: dict[str, tuple[str, str]] = {
         """SELECT *, 'before' AS side FROM tenants
            WHERE contains(lower(first_name || ' ' || last_name), 'machinery') AND lower(last_name) <> 'machinery'""",
     ),
+    "rewrite_tenant_difference_part": (
+        "tenant_id first_name last_name email side",
+        """SELECT *, 'before' AS side FROM tenants WHERE contains(lower(first_name || ' ' || last_name), 'achine')
+           AND lower(last_name) <> 'achine'""",
+    ),
+    "rewrite_expiry_equivalence": (
+        _FACTS,
+        _equivalence(
+            f"SELECT lease_id, unit_id, end_date FROM leases WHERE end_date BETWEEN {DAY} AND {DAY} + 90",
+            f"SELECT lease_id, unit_id, end_date FROM leases WHERE end_date BETWEEN {DAY} AND {DAY} + 90 AND lease_status = 'active'",
+            2, 2, "IsNotNull(o_orderdate), IsNotNull(o_orderkey)", "IsNotNull(o_orderdate), IsNotNull(o_orderkey)",
+        ),
+    ),
+    "rewrite_tenant_equivalence": (
+        _FACTS,
+        _equivalence(
+            "SELECT * FROM tenants WHERE contains(lower(first_name || ' ' || last_name), 'machinery')",
+            "SELECT * FROM tenants WHERE lower(last_name) = 'machinery'",
+            1, 1, "", "IsNotNull(c_mktsegment)",
+        ),
+    ),
+    "rewrite_tenant_equivalence_part": (
+        _FACTS,
+        _equivalence(
+            "SELECT * FROM tenants WHERE contains(lower(first_name || ' ' || last_name), 'achine')",
+            "SELECT * FROM tenants WHERE lower(last_name) = 'achine'",
+            1, 1, "", "IsNotNull(c_mktsegment)",
+        ),
+    ),
+    "rewrite_payment_equivalence": (
+        _FACTS,
+        _equivalence(
+            """SELECT lease_id, (SELECT sum(amount_paid) FROM payments pm WHERE pm.lease_id = le.lease_id) AS paid_total
+               FROM leases le WHERE lease_status = 'active'""",
+            """SELECT lease_id, coalesce((SELECT sum(amount_paid) FROM payments pm WHERE pm.lease_id = le.lease_id), 0) AS paid_total
+               FROM leases le WHERE lease_status = 'active'""",
+            2, 2, "IsNotNull(l_orderkey)", "IsNotNull(l_orderkey)",
+        ),
+    ),
     "rewrite_payment_difference": (
         "lease_id paid_total side",
         """SELECT lease_id, unnest([NULL, 0]) AS paid_total, unnest(['before', 'after']) AS side FROM leases
@@ -1063,7 +1114,15 @@ JOBS: dict[str, tuple[str, str]] = {
 
 def oracle_sql() -> dict[str, str]:
     """The statement of every registered query."""
-    clean = {key: statement(columns, sql) for key, (columns, sql) in (CLEAN | JOBS).items()}
+    parts = {
+        "bundle_summary": "dashboard_summary",
+        "bundle_occupancy": "occupancy_report",
+        "bundle_rent_collection": "rent_collection_report",
+        "bundle_recent_maintenance": "recent_maintenance",
+        "bundle_upcoming_expirations": "upcoming_expirations",
+    }
+    every = CLEAN | JOBS | {part: CLEAN[whole] for part, whole in parts.items()}
+    clean = {key: statement(columns, sql) for key, (columns, sql) in every.items()}
     damaged = {key: statement(columns, sql, damaged=True) for key, (columns, sql) in DAMAGED.items()}
     damaged["publication_verdict_damaged"] = statement(_VERDICT, _verdict(), damaged=True)
     return clean | damaged

@@ -3,8 +3,9 @@ from datetime import date, timedelta
 import pytest
 from conftest import AS_OF, money
 
-from rentgrain.operators import dashboard, listings
+from rentgrain.operators import dashboard, listings, rewrites
 from rentgrain.operators import reports as r
+from rentgrain.sources import canonical
 
 
 def test_expiry_windows(make):
@@ -87,14 +88,24 @@ def test_no_limit_gives_every_row(make):
     assert r.tenant_payment_history(t).count() == 500
 
 
-def test_dashboard_bundle(make):
+def test_dashboard_bundle(make, tmp_path):
     t = make(properties=[{}, {"is_active": False}], units=[{}, {"property_id": 2}], payments=[{}, {"due_date": date(2024, 6, 1)}])
-    bundle = dashboard.dashboard_bundle(t, AS_OF)
+    bundle = dashboard.dashboard_bundle(t, AS_OF, str(tmp_path))
     assert set(bundle) == {"summary", "occupancy", "rent_collection", "recent_maintenance", "upcoming_expirations"}
     assert tuple(bundle["summary"].first()) == (1, 2, 100.0, 0.0, 1, 1)
     assert bundle["recent_maintenance"].count() == 1
 
 
+def test_bundle_reads_the_leases_once(spark, make, tmp_path):
+    folder = str(tmp_path / "tables")
+    canonical.save_tables(make(), folder)
+    t = canonical.load_tables(spark, folder)
+    shared = rewrites.PlanFacts.of(dashboard.leases_of_month(t, AS_OF))
+    assert shared.scans == 2  # the leases, and the month of the charges
+    for name, part in dashboard.dashboard_bundle(t, AS_OF, str(tmp_path / "kept")).items():
+        assert not [f for f in part.inputFiles() if "/tables/leases" in f], name
+
+
 def test_pending_payments_sum_over_units_of_a_property(make):
     t = make(units=[{}, {}], leases=[{}, {"unit_id": 2}], payments=[{}, {"lease_id": 2}])
     assert [tuple(x) for x in dashboard.pending_payments(t, AS_OF).collect()] == [("Ana Walker", "Oak", 2000)]
