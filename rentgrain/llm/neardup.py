@@ -10,9 +10,10 @@ exactly in another way:
 
 * Two linked classes share ``needed`` retained values or more, but for a chance below 1e-7. A class
   with fewer values in long lists than that shares a value of a short list with each partner.
-* Classes with as many or more (dense ones) are compared on full sets. In the order of rising
-  frequency, partners share one of the first 15 % of their shingles (100 - ``percent``), so shingles
-  that no other dense class has leave most of them without candidates.
+* Classes with as many or more (dense ones) are compared on full sets, unless all their lists lie
+  inside one component by then. In any order that holds for all of them, partners share one of
+  the first 15 % of their shingles (100 - ``percent``); the order is by rising frequency, so shingles that
+  no other dense class has leave most of them without candidates.
 
 ``percent`` is the similarity from which texts are linked; all bounds follow from it.
 
@@ -28,6 +29,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,8 @@ PERCENT, WORDS = 85, 5
 K, MISSED, LONG = 32, 1e-9, 50
 #: Parts by hash in which shingles of dense classes are counted, to bound what two of them share.
 PARTS = 32
+#: Hash buckets whose frequencies order the shingles of dense classes.
+BUCKETS = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -180,24 +184,54 @@ def _to_hubs(members: DataFrame, rank: Column) -> DataFrame:
     return members.join(hubs, "value").where("id <> hub").select(*_ordered("id", "hub")).distinct()
 
 
+def _frequencies(sets: DataFrame) -> Broadcast:
+    """How often shingles of each hash bucket occur in ``sets``; ``BUCKETS`` counts, whatever the input."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, dtype=np.int64)
+        for part in parts:
+            values = part.column("set").flatten().to_numpy(zero_copy_only=False)
+            counts += np.bincount(values & (BUCKETS - 1), minlength=BUCKETS)
+        at = np.flatnonzero(counts)
+        for k in range(0, len(at), 1 << 16):
+            some = at[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
+
+    found = map_batches(sets.select("set"), batches, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return sets.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
+
+
 def _dense_lists(sets: DataFrame, percent: int) -> DataFrame:
     """Lists (value, id, n, alone, place, parts) of the rarest shingles of dense classes.
 
-    ``alone`` counts the shingles that no other dense class has. A class is listed under the shingles
-    among its first 100 - ``percent`` % (and one) in rising frequency which others have too; ``place`` is how many
-    come before. ``parts`` counts its shingles that others have, by hash in ``PARTS`` parts.
+    Shingles are in one order for all classes, by the frequency of their hash bucket and then by hash. Of two
+    partners' first 100 - ``percent`` % (and one) in that order one is shared, whatever the order; rare ones
+    first makes the lists short. A bucket met once holds a shingle that no other class has: ``alone`` counts
+    these, and they are in no list. ``place`` is how many shingles come before; ``parts`` counts the
+    shingles that others may have, by hash in ``PARTS`` parts.
     """
-    exploded = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("value"))
-    counts = exploded.groupBy("value").agg(F.count("*").alias("f"))
-    shared = F.col("f") > 1
-    placed = exploded.join(counts, "value").groupBy("id", "n").agg(
-        F.count_if(~shared).alias("alone"),
-        F.array(*(F.count_if(shared & (F.col("value") % PARTS == k)) for k in range(PARTS))).alias("parts"),
-        F.sort_array(F.collect_list(F.struct("f", "value"))).alias("rising"),
-    )
-    first = F.slice("rising", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    listed = placed.select("id", "n", "alone", "parts", F.posexplode(F.filter(first, lambda x: x["f"] > 1)["value"]).alias("k", "value"))
-    return listed.select("value", "id", "n", "alone", (F.col("alone") + F.col("k")).alias("place"), "parts")
+    frequencies = _frequencies(sets)
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows: list[tuple] = []
+            for name, values in zip(part.column("id").to_pylist(), part.column("set"), strict=True):
+                shingle = values.values.to_numpy(zero_copy_only=False)
+                often = frequencies.value[shingle & (BUCKETS - 1)]
+                order, n = np.lexsort((shingle, often)), len(shingle)
+                alone = int((often == 1).sum())
+                shares = np.bincount(shingle[often > 1] % PARTS, minlength=PARTS).tolist()
+                for place in range(alone, n - -(-n * percent // 100) + 1):
+                    rows.append((int(shingle[order[place]]), name, n, alone, place, shares))
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(),) * 5 + (pa.list_(pa.int64()),)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=["value", "id", "n", "alone", "place", "parts"]
+            )
+
+    return map_batches(sets, batches, "value long, id long, n long, alone long, place long, parts array<long>")
 
 
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
@@ -205,18 +239,24 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int
     held = classes.select("id", "n", F.explode("sketch").alias("value"))
     lists = held.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
     members = stored(held.join(lists, "value"))
+    known = members.groupBy("id").agg(F.sum("size").alias("known"))
+    members = stored(members.join(known, "id"))
+    hubs = plausible(_to_hubs(members, F.col("known")), classes, percent)
+    near = stored(confirmed(docs, hubs.distinct(), key, text, percent))
+    found = components(near).withColumnRenamed("node", "id")
+    members = stored(members.join(found, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    # Lists that lie inside one component have nothing left to find.
+    open_ = members.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    members = stored(members.join(open_.select("value"), "value", "left_semi").drop("root", "known"))
     standing = stored(
-        members.groupBy("id", "n").agg(F.sum("size").alias("known"), F.count_if(F.col("size") > LONG).alias("hot"))
+        members.groupBy("id", "n").agg(F.count_if(F.col("size") > LONG).alias("hot"))
         .withColumn("dense", F.col("hot") >= needed(F.col("n"), percent))
     )
-    members = members.where(F.col("size") <= LONG).join(standing.drop("n"), "id")
-    members = stored(members)
+    members = stored(members.where(F.col("size") <= LONG).join(standing.drop("n"), "id"))
     dense = stored(full_sets(docs, stored(standing.where("dense").select("id")), key, text))
     rare = stored(_dense_lists(dense, percent))
-
-    hubs = plausible(_to_hubs(members, F.col("known")), classes, percent)
     rare_hubs = plausible(_to_hubs(rare, -F.col("alone") / F.col("n")), classes, percent)
-    first = stored(confirmed(docs, stored(hubs.unionByName(rare_hubs).distinct()), key, text, percent))
+    first = stored(near.unionByName(confirmed(docs, stored(rare_hubs.distinct()), key, text, percent)))
     roots = components(first)
 
     def rooted(frame: DataFrame) -> DataFrame:

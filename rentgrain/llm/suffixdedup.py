@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rentgrain.llm.anchors import POWERS, anchors, mixed
+from rentgrain.llm.anchors import GRAM, POWERS, anchors, mixed
 from rentgrain.llm.frames import documents, map_batches, small, stored
 from rentgrain.llm.lyndon import suffix_array
 
@@ -183,7 +183,7 @@ def by_counting(contexts: DataFrame, span: int) -> DataFrame:
     ).select(
         "core", "n", "print", (F.col("begin") + F.col("k")).alias("start"),
         (F.octet_length("head") - F.col("k")).alias("before"),
-        F.expr(f"concat(substring(head, k + 1, 32), substring(tail, 1, {BLOCK} - 1 - octet_length(head) + k))").alias("rim"),
+        F.expr(f"concat(substring(head, k + 1, {BLOCK}), substring(tail, 1, {BLOCK} - 1 - octet_length(head) + k))").alias("rim"),
     )
     key = ["core", "before", "rim"]
     twice = window.groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1").select(*key)
@@ -191,7 +191,12 @@ def by_counting(contexts: DataFrame, span: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", span: int = SPAN) -> DataFrame:
-    """(print, spans) of the texts with repeated strings; spans are sorted, apart, and in bytes."""
+    """(print, spans) of the texts with repeated strings; spans are in bytes.
+
+    ``span`` must leave room for an anchor and a block: ``GRAM`` + ``BLOCK`` bytes or more.
+    """
+    if span < GRAM + BLOCK:
+        raise ValueError(f"a span has {GRAM + BLOCK} bytes or more, not {span}")
     rows = docs.select(F.col(text).alias("text")).where(F.octet_length("text") >= span)
     found = stored(anchor_prints(rows, "text", span).groupBy("print", "anchor").agg(F.sum("n").alias("n")))
     twice = found.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
