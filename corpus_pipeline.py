@@ -14,6 +14,9 @@ from rentgrain.llm.frames import documents, small, stored
 ORACLE_SQL: str | None = None
 #: The near-duplicate stage links at a Jaccard similarity of ``SIMILAR`` / 100; ``op2_neardup`` has its own value.
 SIMILAR = 80
+#: Bytes of a string that may occur once only. A run of 50 words, spaces between them, holds one unless its
+#: words have less than three letters on average; ``op6_suffix_dedup`` has its own value.
+REPEATED = 200
 
 
 def _with_room(docs: DataFrame, names: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -52,7 +55,7 @@ def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = ["n_bytes", "removed_spans", "kept_bytes", "kept_text"]
 
     def stage(rows: DataFrame) -> DataFrame:
-        found = suffixdedup.without_repeats(rows, as_text=True)
+        found = suffixdedup.without_repeats(rows, span=REPEATED, as_text=True)
         cut = F.size("removed_spans") > 0
         found = found.where(~cut | (F.length(F.trim("kept_text")) > 0))
         return found.withColumn("n_chars", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn(
