@@ -423,6 +423,28 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     assert sorted(x["doc_id"] for x in found) == sorted(kept) and all(x["round_trip"] for x in found)
 
 
+def test_pipeline_removes_repeated_runs_of_fifty_words(spark):
+    passages = [prose(500 + k, 52).replace(".", "") for k in range(3)]
+    texts = [f"{prose(600 + k, 30)} {passages[k % 3]} {prose(700 + k, 25)}" for k in range(12)]
+    texts += [prose(800, 200), passages[0], f"é{passages[1]}ü", "", None, prose(801, 60) + " " + " ".join(passages[2].split()[:20])]
+    span = corpus_pipeline.REPEATED
+    data = [(t or "").encode() for t in texts]
+    windows = Counter(d[i : i + span] for d in data for i in range(len(d) - span + 1))
+    expected = {}
+    for number, d in enumerate(data):
+        gone = {i + k for i in range(len(d) - span + 1) if windows[d[i : i + span]] > 1 for k in range(span)}
+        left = bytes(b for i, b in enumerate(d) if i not in gone).decode("utf-8", "ignore")
+        if not gone:
+            expected[number] = texts[number]
+        elif left.strip():
+            expected[number] = left
+    docs = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate(texts)], SCHEMA)
+    found = {x["doc_id"]: x["text"] for x in rows_of(corpus_pipeline.unrepeated(spark, docs, ""))}
+    assert found == expected and 13 not in found and 12 in found
+    runs = Counter(r for t in found.values() for r in {" ".join((t or "").split()[i : i + 50]) for i in range(max(0, len((t or "").split()) - 49))})
+    assert max(runs.values()) == 1
+
+
 def test_rows_without_an_id(spark, tmp_path):
     passage = " ".join(prose(9, 30).split())
     texts = [(None, f"{prose(21, 30)} {passage}"), (None, passage), (None, prose(22, 60)), (None, None), (5, prose(23, 60)), (5, f"x {passage}"), (None, prose(22, 60)), (None, prose(23, 60)), (None, " ")]
