@@ -120,10 +120,8 @@ def rule_names() -> list[str]:
 def _entries(df: DataFrame, table: str) -> DataFrame:
     """(domain, key, own, refs) of one table. Keys with a missing part are not compared, as in SQL."""
     places = {name: place for place, name in enumerate(rule_names())}
-    primary = KEYS[table][0]
+    primary, rows = KEYS[table][0], row_rules(table)
     entries = []
-    for name, ok in row_rules(table).items():
-        entries.append(f"IF(NOT ({ok}), struct({places[name]} AS domain, string({primary}) AS key, 1L AS own, 0 AS refs), NULL)")
     for name, (owner, columns, condition) in unique_rules().items():
         if owner == table:
             held = " AND ".join(f"{c} IS NOT NULL" for c in columns)
@@ -133,7 +131,16 @@ def _entries(df: DataFrame, table: str) -> DataFrame:
         if child == table:
             domain = places[f"{parent}.{KEYS[parent][0]}_unique"]
             entries.append(f"IF({column} IS NOT NULL, struct({domain} AS domain, string({column}) AS key, 0L AS own, {1 << bit} AS refs), NULL)")
-    return df.selectExpr(f"inline(filter(array({', '.join(entries)}), e -> e IS NOT NULL))")
+    # Broken row checks are bits of one number, taken apart only in rows that have any.
+    mask = " + ".join(f"IF(NOT ({ok}), {1 << bit}L, 0L)" for bit, ok in enumerate(rows.values()))
+    first = min(places[name] for name in rows)
+    broken = (
+        f"transform(filter(sequence(0, {len(rows) - 1}), b -> getbit(_broken, b) = 1), "
+        f"b -> struct({first} + b AS domain, string({primary}) AS key, 1L AS own, 0 AS refs))"
+    )
+    kind = "array<struct<domain:int,key:string,own:bigint,refs:int>>"
+    every = f"concat(CAST(array({', '.join(entries)}) AS {kind}), IF(_broken = 0, CAST(array() AS {kind}), CAST({broken} AS {kind})))"
+    return df.withColumn("_broken", F.expr(mask)).selectExpr(f"inline({every})").filter("domain IS NOT NULL")
 
 
 def _references(df: DataFrame, table: str) -> DataFrame | None:
