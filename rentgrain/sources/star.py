@@ -379,9 +379,12 @@ def broken_tables(spark: SparkSession, folder: str) -> Tables:
         case = lambda c: F.expr(
             f"CASE pmod({key}, {DAMAGE_CYCLE}) " + " ".join(f"WHEN {at} THEN {value}" for at, value in wrong[c]) + f" ELSE {c} END"
         )
-        rows = df.select(*[case(c).cast(df.schema[c].dataType).alias(c) if c in wrong else F.col(c) for c in df.columns])
-        nameless = df.filter(kind == 21).withColumn(key, F.lit(None).cast("long"))
-        return rows.unionByName(df.filter(kind == 20)).unionByName(nameless)
+        # Copies are made in the scan, so that the table is read once; remainders 20 and 21 have no other damage.
+        copied = df.withColumn("_copy", F.explode(F.when(kind.isin(20, 21), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        nameless = (kind == 21) & (F.col("_copy") == 1)
+        values = {c: case(c).cast(df.schema[c].dataType) if c in wrong else F.col(c) for c in df.columns}
+        values[key] = F.when(~nameless, F.col(key))
+        return copied.select(*[value.alias(c) for c, value in values.items()])
 
     return Tables(**{name: (lambda name=name: broken(name)) for name in _BUILDERS})
 
