@@ -1,47 +1,45 @@
-"""Stupid-backoff scores of a bigram model, computed with joins.
-
-The score of a word after another is C(pair) / C(first) if the pair occurs at least ``least`` times in
-the corpus, else ``ALPHA`` times C(word) / N; the first word of a text scores C(word) / N. A text's score
-is the sum of the logarithms. All counts are over all texts.
-
-``op8_lm_score`` has a ``least`` of 1: every count is used. Then every pair of the scored corpus is seen,
-and a pair met once only adds -log C(first), as log 1 is 0; so the joins carry pairs met twice or more,
-and the scores are still those of all counts.
-
-Count tables are partitioned by hash and joined to the exploded n-grams in the same shuffle. Two things
-keep that shuffle small and even:
-
-* The ``COMMON`` most frequent words are known to every task, with their counts, and numbered by rank;
-  so most pairs are one number, and only words beyond them need joins for their own counts.
-* Pairs of the ``CORE`` most frequent words, among them every pair that could be a hot key, are counted
-  in a table of at most ``CORE`` squared numbers and scored where the text lies.
-
-Both tables are bounded by these constants, whatever the size of the corpus.
+"""Stupid-backoff scores of a model of n-grams of up to ``ORDER`` words, computed relationally.
+
+The score of a word w after u v is C(uvw) / C(uv) if uvw occurs, else ``ALPHA`` times the score of w after v,
+which is C(vw) / C(v) if vw occurs, else ``ALPHA`` times C(w) / N. A text's score is the sum of the logarithms
+over its words; its first words have shorter contexts. Counts are over all texts, less what the scored text
+itself adds to them (``apart``): with its own occurrences counted, every n-gram of a corpus that scores itself
+would be seen, and the model would never back off. A word that occurs in no other text counts ``UNSEEN``.
+
+The tables, in order:
+
+* ``packed``: texts in packs of up to ``PACK`` bytes, stored; an n-gram repeated within a pack is one entry.
+* ``exploded``: the distinct n-grams of each pack with their counts, dealt by ranges of their hash. A row holds
+  the entries of one pack in one range, in hash order.
+* ``totals``: the count table of a range joined to the entries of all packs in it. What goes back is the count
+  elsewhere in the corpus, in the order of the entries, so the n-grams themselves are not sent twice.
+* ``score``: each pack meets its counts and gives the sums of its texts.
+
+The number of ranges follows the bytes of the corpus, so a task holds the entries of about ``RANGE`` bytes of
+text at every size. An n-gram in every text is one entry for each pack: no key is hot. N-grams are compared by
+64-bit hashes; with 10^10 different n-grams about three pairs of them share one.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rentgrain.llm.frames import documents, map_batches, small, stored
+from rentgrain.llm.frames import documents, map_batches, stored
 
-#: ``score`` takes pairs met less often as unseen unless told otherwise; factor for backing off.
-LEAST, ALPHA = 1, 0.4
-COMMON, CORE = 1 << 18, 1 << 10
-#: Places of a filter for words beyond the common ones that occur more than once. Words that share a
-#: place by chance only cost time.
-FILTER = 1 << 22
-#: Distinct words a task counts before it hands them on.
-FLUSH = 400_000
+#: Longest n-grams; n-grams met less often are taken as unseen; factor for backing off; count of an unseen word.
+ORDER, LEAST, ALPHA, UNSEEN = 3, 1, 0.4, 0.5
+#: Bytes of text in a pack, and in the corpus for each range of hashes.
+PACK, RANGE = 8 << 20, 8 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -49,226 +47,218 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def code_of(word: str) -> int:
-    """A number for a word beyond the common ones: 63 bits, above all ranks."""
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) >> 1 | 1 << 62
-
-
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(word, n) of the whole corpus, from counts made in each task."""
+def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(pack, keys, sizes, body): rows of a task put together; sizes are bytes of each text in lower case."""
+    kind = docs.schema[key].dataType
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        place, number = TaskContext.get().partitionId() << 32, 0
+        keys: list[pa.Array] = []
+        texts: list[bytes] = []
 
         def flushed() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return batch
+            nonlocal number
+            together = pa.chunked_array(keys).combine_chunks()
+            sizes = pa.array([len(x) for x in texts], pa.int64())
+            rows = pa.array([0, len(texts)], pa.int32())
+            columns = [pa.array([place + number], pa.int64()), pa.ListArray.from_arrays(rows, together)]
+            columns += [pa.ListArray.from_arrays(rows, sizes), pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary())]
+            number += 1
+            keys.clear()
+            texts.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["pack", "keys", "sizes", "body"])
 
         for part in parts:
-            for text in part.column(1).to_pylist():
-                counts.update(words_of(text))
-            if len(counts) >= FLUSH:
-                yield flushed()
-        yield flushed()
+            size, begin = sum(map(len, texts)), 0
+            for at, value in enumerate(part.column(1).to_pylist()):
+                body = (value or "").lower().encode("utf-8", "replace")
+                if texts and size + len(body) > PACK:
+                    keys.append(part.column(0).slice(begin, at - begin))
+                    yield flushed()
+                    size, begin = 0, at
+                texts.append(body)
+                size += len(body)
+            keys.append(part.column(0).slice(begin))
+        if texts:
+            yield flushed()
 
-    return map_batches(rows, batches, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    fields = [T.StructField("pack", T.LongType()), T.StructField("keys", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType()))]
+    return map_batches(docs.select(key, text), batches, T.StructType([*fields, T.StructField("body", T.BinaryType())]))
 
 
-class Ranks(dict):
-    """Rank of each common word; others get their code."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    def __missing__(self, word: str) -> int:
-        return code_of(word)
 
+def grams_of(sizes: list[int], body: bytes, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For every word of a pack the number of its text, and for each length n a hash of the n words that end there.
 
-_RANKS: dict[int, Ranks] = {}
+    The hash means nothing where the text has fewer words so far; ``ends`` gives the other places.
+    """
+    whole, at, words, counts = zstandard.decompress(body), 0, [], []
+    for size in sizes:
+        found = WORD.findall(whole[at : at + size].decode("utf-8"))
+        words.extend(found)
+        counts.append(len(found))
+        at += size
+    row = np.repeat(np.arange(len(sizes)), counts)
+    if not words:
+        return row, [np.zeros(0, np.uint64)] * order
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    codes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    word = codes[coded.indices.to_numpy()]
+    hashes = [_mixed(word)]
+    for n in range(2, order + 1):
+        before = np.concatenate([hashes[-1][:1], hashes[-1][:-1]])
+        hashes.append(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + word + np.uint64(n)))
+    return row, hashes
 
 
-def ranks_of(shared: Broadcast) -> Ranks:
-    """The common words' ranks, built once for each Python process."""
-    key = hash(shared.value)
-    if key not in _RANKS:
-        _RANKS.clear()
-        _RANKS[key] = Ranks((w, k) for k, w in enumerate(shared.value))
-    return _RANKS[key]
+def ends(row: np.ndarray, n: int) -> np.ndarray:
+    """Places of the words that end an n-gram of their text."""
+    return np.arange(len(row)) if n == 1 else np.flatnonzero(row[n - 1 :] == row[: len(row) - n + 1]) + n - 1
 
 
-def _coded(parts: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each batch: keys of its rows, row and code of every word, and whether it follows a word of its row."""
-    ranks = ranks_of(shared)
-    for part in parts:
-        lists = [list(map(ranks.__getitem__, words_of(x))) for x in part.column(1).to_pylist()]
-        lengths = np.array([len(x) for x in lists], dtype=np.int64)
-        codes = np.fromiter((c for x in lists for c in x), dtype=np.int64, count=int(lengths.sum()))
-        row = np.repeat(np.arange(len(lists)), lengths)
-        follows = np.concatenate([[False], row[1:] == row[:-1]]) if len(row) else np.zeros(0, dtype=bool)
-        yield part.column(0), row, codes, follows
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal sorted values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
-def core_pairs(rows: DataFrame, shared: Broadcast) -> np.ndarray:
-    """Counts of the pairs of core words, by rank of the first and of the second."""
+def _range_borders(distinct: np.ndarray, ranges: int) -> np.ndarray:
+    """Places at which each of the equal ranges of hashes begins, and the end."""
+    firsts = [-(-(k << 64) // ranges) for k in range(1, ranges)]
+    return np.concatenate([[0], np.searchsorted(distinct, np.array(firsts, np.uint64)), [len(distinct)]])
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(CORE * CORE, dtype=np.int64)
-        core = {w: k for k, w in enumerate(shared.value[:CORE])}
-        for part in parts:
-            found: list[int] = []
-            for text in part.column(1).to_pylist():
-                found.extend(core.get(w, -1) for w in words_of(text))
-                found.append(-1)
-            codes = np.array(found, dtype=np.int64)
-            both = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
-            pair, times = np.unique(codes[both] * CORE + codes[both + 1], return_counts=True)
-            counts[pair] += times
-        found = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts[found])], names=["pair", "n"])
-
-    counted = map_batches(rows, batches, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(CORE * CORE, dtype=np.int64)
-    table[counted["pair"].to_numpy()] = counted["n"].to_numpy()
-    return table
-
-
-def local_scores(rows: DataFrame, shared: Broadcast, counts: Broadcast, pairs: Broadcast, repeated: Broadcast, total: int, least: int) -> DataFrame:
-    """(key, n_words, base, firsts, seconds, words, befores): what is known without a join, and what is left to join.
-
-    Pairs of core words are scored in full, all others as unseen, or as met once if ``least`` is 1; of words
-    beyond the common ones only the part without their count. Those words' codes, and the codes of the
-    pairs they are in, come along, unless a word occurs once: then its count adds nothing and its pairs
-    are met once. Logarithms of the counts of ``words`` are to be added, of ``befores`` taken away.
-    """
-    longs = pa.list_(pa.int64())
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log(counts.value.astype(np.float64))
-        table, size = pairs.value, len(logs)
-        for keys, row, codes, follows in _coded(parts, shared):
-            common = codes < size
-            own = np.where(common, logs[np.where(common, codes, 0)] if size else 0.0, 0.0)
-            score = own - np.log(max(1, total))
-            score += np.where(follows, np.log(ALPHA), 0.0)
-            at = np.flatnonzero(follows)
-            if least == 1:
-                score[at] = -own[at - 1]
-            core = at[(codes[at - 1] < CORE) & (codes[at] < CORE)]
-            n = table[codes[core - 1] * CORE + codes[core]]
-            core, n = core[n >= least], n[n >= least]
-            score[core] = np.log(n) - logs[codes[core - 1]]
-            words = np.bincount(row, minlength=len(keys))
-            # Integers where no text of the batch has words.
-            sums = np.bincount(row, weights=score, minlength=len(keys)).astype(np.float64)
-            again = common | repeated.value[codes % FILTER]
-            rare, before = np.flatnonzero(~common & again), at[:0]
-            if least == 1:
-                # A count is taken away where its word comes first in a pair; only a text's first word adds its own.
-                before = at[(~common & again)[at - 1]] - 1
-                rare = rare[~follows[rare]]
-            mixed = at[(~common[at] | ~common[at - 1]) & again[at] & again[at - 1]]
-            lists = [_by_row(row[mixed], codes[mixed - 1], len(keys)), _by_row(row[mixed], codes[mixed], len(keys))]
-            lists += [_by_row(row[x], codes[x], len(keys)) for x in (rare, before)]
-            names = ["key", "n_words", "base", "firsts", "seconds", "words", "befores"]
-            yield pa.RecordBatch.from_arrays([keys, pa.array(words), pa.array(sums), *(x.cast(longs) for x in lists)], names=names)
-
-    schema = "key long, n_words long, base double, firsts array<long>, seconds array<long>, words array<long>, befores array<long>"
-    return map_batches(rows, batches, schema)
-
-
-def _by_row(row: np.ndarray, values: np.ndarray, rows: int) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()))
-
-
-def exploded_pairs(rows: DataFrame, shared: Broadcast, size: int) -> DataFrame:
-    """(pair, key, times): pairs of common words outside the core, as rank * ``COMMON`` + rank."""
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as planes of equal bytes, compressed."""
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), 8).T.tobytes(), 1)
 
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, row, codes, follows in _coded(parts, shared):
-            at = np.flatnonzero(follows)
-            first, second = codes[at - 1], codes[at]
-            chosen = (np.maximum(first, second) < size) & (np.maximum(first, second) >= CORE)
-            found, times = np.unique(
-                row[at[chosen]] * (COMMON * COMMON) + first[chosen] * COMMON + second[chosen], return_counts=True
-            )
-            of = keys.take(pa.array(found // (COMMON * COMMON)))
-            columns = [pa.array(found % (COMMON * COMMON)), of, pa.array(times.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["pair", "key", "times"])
 
-    return map_batches(rows, batches, "pair long, key long, times int")
+def _opened(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def exploded(packs: DataFrame, ranges: int, order: int) -> DataFrame:
+    """(part, pack, n_words, grams, times): distinct n-grams of each pack by range of hashes, as differences."""
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for pack, sizes, body in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                row, hashes = grams_of(sizes, body, order)
+                every = np.sort(np.concatenate([h[ends(row, n)] for n, h in enumerate(hashes, 1)]))
+                first = _runs(every)
+                distinct, times = every[first], np.diff(np.append(first, len(every))).astype(np.uint64)
+                border = _range_borders(distinct, ranges)
+                full = np.flatnonzero(np.diff(border))
+                columns: list[list] = [[], [], [], [], []]
+                for k in full:
+                    some = slice(border[k], border[k + 1])
+                    grams = np.diff(distinct[some], prepend=np.uint64(0))
+                    values = (int(k), pack, len(row) if k == full[0] else 0, _squeezed(grams), _squeezed(times[some]))
+                    for column, value in zip(columns, values, strict=True):
+                        column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "pack", "n_words", "grams", "times"])
+
+    return map_batches(packs.select("pack", "sizes", "body"), batches, "part long, pack long, n_words long, grams binary, times binary")
+
+
+def totals(entries: DataFrame) -> DataFrame:
+    """(pack, part, n_words, elsewhere): for each entry its count in all other packs, in the order of the entries."""
+
+    def joined(table: pa.Table) -> pa.Table:
+        grams = [np.cumsum(_opened(x), dtype=np.uint64) for x in table["grams"].to_pylist()]
+        times = np.concatenate([_opened(x) for x in table["times"].to_pylist()])
+        every = np.concatenate(grams)
+        order = np.argsort(every)
+        first = _runs(every[order])
+        counts = np.add.reduceat(times[order], first)
+        elsewhere = np.empty(len(every), np.uint64)
+        elsewhere[order] = np.repeat(counts, np.diff(np.append(first, len(every))))
+        elsewhere -= times
+        border = np.cumsum([0, *map(len, grams)])
+        sent = [_squeezed(elsewhere[a:b]) for a, b in zip(border, border[1:])]
+        return pa.table([table["pack"], table["part"], table["n_words"], pa.array(sent, pa.binary())], names=["pack", "part", "n_words", "elsewhere"])
+
+    return entries.groupBy("part").applyInArrow(joined, "pack long, part long, n_words long, elsewhere binary")
+
+
+def scores_of(row: np.ndarray, hashes: list[np.ndarray], elsewhere: np.ndarray, texts: int, total: int, least: int, apart: bool) -> np.ndarray:
+    """Sums of logarithms of the texts of one pack, given the counts of its distinct n-grams in other packs."""
+    places = [ends(row, n) for n in range(1, len(hashes) + 1)]
+    every = np.concatenate([h[p] for h, p in zip(hashes, places, strict=True)])
+    owner = np.concatenate([row[p] for p in places])
+    # Stable: occurrences of one n-gram stay in the order of their texts, so those of one text are together.
+    order = np.argsort(every, kind="stable")
+    sizes = np.diff(np.append(_runs(every[order]), len(every)))
+    counted = np.repeat(elsewhere.astype(np.int64) + sizes, sizes)
+    if apart:
+        ordered, by = every[order], owner[order]
+        begin = np.flatnonzero(np.concatenate([[True], (ordered[1:] != ordered[:-1]) | (by[1:] != by[:-1])]))
+        own = np.diff(np.append(begin, len(every)))
+        counted = counted - np.repeat(own, own)
+    count = np.empty(len(every), np.float64)
+    count[order] = counted
+    words = np.bincount(row, minlength=texts)
+    others = np.maximum(1, total - words[row]) if apart else np.full(len(row), max(1, total))
+    used = len(row)
+    before = count[:used]
+    score = np.log(np.maximum(before, UNSEEN)) - np.log(others)
+    for place in places[1:]:
+        found = count[used : used + len(place)]
+        used += len(place)
+        context = before[place - 1]
+        seen = found >= max(1, least)
+        score[place] = np.where(seen, np.log(np.where(seen, found, 1)) - np.log(np.where(seen, context, 1)), np.log(ALPHA) + score[place])
+        # Counts by word again, for the contexts of the next length.
+        before = np.zeros(len(row))
+        before[place] = found
+    return np.bincount(row, weights=score, minlength=texts).astype(np.float64)
+
+
+def score(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, order: int = ORDER, apart: bool = True
+) -> DataFrame:
     """(key, n_words, score, mean_score) of every row of ``docs``.
 
     Words are runs of letters, digits and underscores in lower case. A null text and one without words
-    have score 0 and no mean. Repeated rows count as often as they occur and get equal scores.
+    have score 0 and no mean. Repeated rows and copies are other texts to each other, so they score high; they
+    and rows with null or equal keys come out as often as they occur. An empty table gives an empty one, a
+    corpus of one text scores it from ``UNSEEN`` alone. Other columns are not read. A text longer than ``PACK``
+    is a pack of its own, which a task holds whole.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.lit(1), key, text).alias("key"), text)
-    vocabulary = stored(word_counts(rows))
-    # The limit leaves one sorted partition, in which these numbers are the ranks.
-    ranked = stored(vocabulary.orderBy(F.desc("n"), "word").limit(COMMON).withColumn("rank", F.monotonically_increasing_id()))
-    top = ranked.orderBy("rank").toArrow()
-    size, total = len(top), vocabulary.agg(F.sum("n")).first()[0] or 0
-    shared = spark.sparkContext.broadcast(tuple(top["word"].to_pylist()))
-    counts = spark.sparkContext.broadcast(top["n"].to_numpy())
-    pairs = spark.sparkContext.broadcast(core_pairs(rows, shared))
-
-    rest = vocabulary.where("n > 1").join(F.broadcast(ranked.select("word")), "word", "left_anti")
-    rest = stored(map_batches(rest, _codes, "code long, n long"))
-    places = np.zeros(FILTER, dtype=bool)
-    places[rest.select((F.col("code") % FILTER).cast("int").alias("place")).distinct().toArrow()["place"].to_numpy()] = True
-    repeated = spark.sparkContext.broadcast(places)
-    known = stored(local_scores(rows, shared, counts, pairs, repeated, total, least))
-    # A pair's count meets its n-grams in the partition of its hash; no pair outside the core is frequent.
-    grams = exploded_pairs(rows, shared, size).withColumn("n", F.sum("times").over(Window.partitionBy("pair")))
-    grams = grams.where(F.col("n") >= max(2, least))
-    gains = [grams.select("key", (F.col("times") * F.log("n")).alias("gain")) if least == 1 else _gained(grams, ranked, total)]
-    if size == COMMON:
-        every = rest.unionByName(ranked.select(F.col("rank").alias("code"), "n"))
-        mixed = known.select("key", F.explode(F.arrays_zip("firsts", "seconds")).alias("p")).select("p.*", "key")
-        seen = mixed.groupBy("firsts", "seconds").agg(F.count("*").alias("n")).where(F.col("n") >= max(2, least))
-        side = lambda x: every.select(F.col("code").alias(x), F.log("n").alias(f"log_{x}"))
-        value = F.log("n") - F.col("log_firsts") - F.lit(float(np.log(ALPHA))) - F.col("log_seconds") + F.lit(float(np.log(total)))
-        if least == 1:
-            found = seen.select("firsts", "seconds", F.log("n").alias("gain"))
+    kind = docs.schema[key].dataType
+    packs = stored(packed(docs, key, text))
+    size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    found = stored(totals(exploded(packs, max(1, -(-size // RANGE)), order)))
+    total = found.agg(F.sum("n_words")).first()[0] or 0
+    schema = T.StructType(
+        [T.StructField(key, kind), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("mean_score", T.DoubleType())]
+    )
+
+    def summed(pack: pa.Table, counts: pa.Table) -> pa.Table:
+        # One row, as packs have their own numbers.
+        sizes, body = pack["sizes"][0].as_py(), pack["body"][0].as_py()
+        keys = pack["keys"].combine_chunks().flatten()
+        row, hashes = grams_of(sizes, body, order)
+        words = np.bincount(row, minlength=len(sizes))
+        if len(row):
+            parts = sorted(zip(counts["part"].to_pylist(), counts["elsewhere"].to_pylist(), strict=True))
+            sums = scores_of(row, hashes, np.concatenate([_opened(x) for _, x in parts]), len(sizes), total, least, apart)
         else:
-            found = seen.join(side("firsts"), "firsts").join(side("seconds"), "seconds").select("firsts", "seconds", value.alias("gain"))
-        gains.append(mixed.join(small(stored(found)), ["firsts", "seconds"]).select("key", "gain"))
-        signed = lambda c, x: F.transform(c, lambda w: F.struct(w.alias("code"), F.lit(x).alias("sign")))
-        single = known.select("key", F.inline(F.concat(signed("words", 1), signed("befores", -1)))).join(rest, "code")
-        gains.append(single.select("key", (F.col("sign") * F.log("n")).alias("gain")))
-    added = None
-    for gain in gains:
-        part = gain.groupBy("key").agg(F.sum("gain").alias("gain"))
-        added = part if added is None else added.unionByName(part)
-    base = known.groupBy("key").agg(F.first("n_words").alias("n_words"), F.first("base").alias("base"), F.count("*").alias("copies"))
-    if added is None:
-        sums = base.select("key", "n_words", F.col("base").alias("score"))
-    else:
-        added = added.groupBy("key").agg(F.sum("gain").alias("gain"))
-        sums = base.join(added, "key", "left").select(
-            "key", "n_words", (F.col("base") + F.coalesce("gain", F.lit(0.0)) / F.col("copies")).alias("score")
-        )
-    narrow = docs.select(F.col(key).alias("_id"), F.xxhash64(F.lit(1), key, text).alias("key"))
-    mean = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words"))
-    return narrow.join(stored(sums), "key").select(F.col("_id").alias(key), "n_words", "score", mean.alias("mean_score"))
-
-
-def _codes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in parts:
-        codes = pa.array([code_of(w) for w in part.column(0).to_pylist()], pa.int64())
-        yield pa.RecordBatch.from_arrays([codes, part.column(1)], names=["code", "n"])
-
-
-def _gained(grams: DataFrame, ranked: DataFrame, total: int) -> DataFrame:
-    """(key, gain): what seen pairs score above the backed-off scores of their second words."""
-    side = lambda x: F.broadcast(ranked.select(F.col("rank").alias(x), F.log("n").alias(f"log_{x}")))
-    split = grams.select("key", "times", "n", F.floor(F.col("pair") / COMMON).alias("first"), (F.col("pair") % COMMON).alias("second"))
-    gain = F.log("n") - F.col("log_first") - F.lit(float(np.log(ALPHA))) - F.col("log_second") + F.lit(float(np.log(max(1, total))))
-    return split.join(side("first"), "first").join(side("second"), "second").select("key", (F.col("times") * gain).alias("gain"))
+            sums = np.zeros(len(sizes))
+        mean = pa.array(sums / np.maximum(1, words), mask=words == 0)
+        return pa.table([keys, pa.array(words, pa.int64()), pa.array(sums), mean], names=schema.names)
+
+    counts = found.select("pack", "part", "elsewhere").groupBy("pack")
+    return packs.groupBy("pack").cogroup(counts).applyInArrow(summed, schema)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bigram model's score of every document."""
-    return score(documents(spark, sf_dir).select("doc_id", "text"), least=1)
+    """The model's score of every document, from the n-grams of all others."""
+    return score(documents(spark, sf_dir).select("doc_id", "text"))

@@ -319,23 +319,37 @@ def test_quality(spark, odd, empty):
     assert quality.classify(empty, quality.fit(empty)).count() == 0
 
 
-@pytest.mark.parametrize("common,core", [(1 << 18, 1 << 10), (64, 8)])
-def test_backoff(odd, empty, monkeypatch, common, core):
-    monkeypatch.setattr(backoff, "COMMON", common)
-    monkeypatch.setattr(backoff, "CORE", core)
-    words = [backoff.words_of(t) for _, t, *_ in ODD]
-    single, pairs = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:]))
-    total = sum(single.values())
-
-    def expected(x):
-        s = 0.0
-        for before, w in zip([None, *x], x):
-            seen = before is not None and pairs[before, w] >= 2
-            s += math.log(pairs[before, w] / single[before] if seen else (1 if before is None else 0.4) * single[w] / total)
-        return s
-
-    found = rows_of(backoff.score(odd.select("doc_id", "text"), least=2))
-    assert sorted((x["n_words"], round(x["score"], 4)) for x in found) == sorted((len(x), round(expected(x), 4)) for x in words)
+def plain_backoff(texts, order, least, apart):
+    """Scores by the definition, one word at a time."""
+    words = [backoff.words_of(t) for t in texts]
+    grams = [Counter(tuple(x[i : i + n]) for n in range(1, order + 1) for i in range(len(x) - n + 1)) for x in words]
+    every = sum(grams, Counter())
+    total = sum(map(len, words))
+    found = []
+    for x, own in zip(words, grams):
+        count = lambda g: every[g] - (own[g] if apart else 0)  # noqa: E731,B023
+
+        def value(g):
+            if len(g) == 1:
+                return max(count(g), 0.5) / max(1, total - (len(x) if apart else 0))  # noqa: B023
+            return count(g) / count(g[:-1]) if count(g) >= least else 0.4 * value(g[1:])  # noqa: B023
+
+        found.append((len(x), sum(math.log(value(tuple(x[max(0, i - order + 1) : i + 1]))) for i in range(len(x)))))
+    return found
+
+
+@pytest.mark.parametrize("pack,width", [(8 << 20, 8 << 20), (300, 50)])
+@pytest.mark.parametrize("order,least,apart", [(2, 2, False), (2, 1, False), (3, 1, True), (3, 2, True), (1, 1, True)])
+def test_backoff(odd, empty, monkeypatch, pack, width, order, least, apart):
+    monkeypatch.setattr(backoff, "PACK", pack)
+    monkeypatch.setattr(backoff, "RANGE", width)
+    few = odd.where("length(text) < 5000 OR text IS NULL").select("doc_id", "text")
+    texts = [r["text"] for r in rows_of(few)]
+    found = rows_of(backoff.score(few, least=least, order=order, apart=apart))
+    expected = sorted((n, round(s, 4)) for n, s in plain_backoff(texts, order, least, apart))
+    assert sorted((x["n_words"], round(x["score"], 4)) for x in found) == expected
+    for x in found:
+        assert x["mean_score"] == (pytest.approx(x["score"] / x["n_words"]) if x["n_words"] else None)
     assert backoff.score(empty).count() == 0
 
 
@@ -461,19 +475,16 @@ def test_rows_without_an_id(spark, tmp_path):
     assert sorted(once, key=order) == sorted([texts[k] for k in (0, 1, 2, 3, 4, 8)], key=order)
 
 
-@pytest.mark.parametrize("common,core", [(1 << 18, 1 << 10), (64, 8)])
-def test_backoff_keeps_pairs_met_once(spark, odd, monkeypatch, tmp_path, common, core):
-    monkeypatch.setattr(backoff, "COMMON", common)
-    monkeypatch.setattr(backoff, "CORE", core)
+def test_backoff_of_whole_documents(spark, odd, monkeypatch, tmp_path):
     odd.write.parquet(str(tmp_path / "documents.parquet"))
-    words = [backoff.words_of(t) for _, t, *_ in ODD]
-    single, pairs = Counter(w for x in words for w in x), Counter(p for x in words for p in zip(x, x[1:]))
-    total = sum(single.values())
-    assert 1 in pairs.values()
+    texts = [t for _, t, *_ in ODD]
+    expected = sorted((n, round(s, 3)) for n, s in plain_backoff(texts, 3, 1, True))
+    found = rows_of(backoff.op8_lm_score(spark, str(tmp_path)))
+    assert sorted((x["n_words"], round(x["score"], 3)) for x in found) == expected
 
-    def expected(x):
-        first = math.log(single[x[0]] / total) if x else 0.0
-        return first + sum(math.log(pairs[p] / single[p[0]]) for p in zip(x, x[1:]))
 
-    found = rows_of(backoff.op8_lm_score(spark, str(tmp_path)))
-    assert sorted((x["n_words"], round(x["score"], 4)) for x in found) == sorted((len(x), round(expected(x), 4)) for x in words)
+def test_backoff_tells_copies_from_single_texts(spark):
+    alone = [f"w{k} v{k} u{k} t{k}" for k in range(20)]
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), *enumerate(alone, 3)]
+    means = {x["doc_id"]: x["mean_score"] for x in rows_of(backoff.score(spark.createDataFrame(rows, "doc_id long, text string")))}
+    assert min(means[1], means[2]) > max(v for k, v in means.items() if k > 2) + 1
