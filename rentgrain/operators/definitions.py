@@ -212,7 +212,17 @@ def only_property(t: Tables, property_id: int | None) -> Tables:
     if property_id is None:
         return t
     wanted = F.col("property_id") == property_id
-    return t.with_(properties=t.properties.filter(wanted), units=t.units.filter(wanted))
+    units = t.units.filter(wanted)
+    # What lies elsewhere goes before it is folded.
+    of_units = lambda df: df.join(units.select("unit_id"), "unit_id", "left_semi")
+    leases = of_units(t.leases)
+    return t.with_(
+        properties=t.properties.filter(wanted),
+        units=units,
+        leases=leases,
+        payments=t.payments.join(leases.select("lease_id"), "lease_id", "left_semi"),
+        maintenance_requests=of_units(t.maintenance_requests),
+    )
 
 
 def occupancy_by_property(t: Tables, as_of: date, property_id: int | None = None) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import cases, changes, constraints, dashboard, definitions, grid, library, listings, publishing, quality, reports, rewrites, search
+from ..operators import absorbing, cases, changes, constraints, dashboard, definitions, grid, library, listings, publishing, quality, reports, rewrites, search
 from ..operators.duplicates import duplicate_payments, loose_duplicate_payments
 from ..schema import AUDIT_LOGS, SCHEMAS, Tables
 from ..sources import star
 from ..sources.canonical import fresh_folder
 from ..sources.star import AS_OF
-from .checks import SEARCHES
+from .checks import PROPERTY, SEARCHES
 
 Query = Callable[[SparkSession, str], DataFrame]
 NOW = datetime(AS_OF.year, AS_OF.month, AS_OF.day)
@@ -31,6 +31,8 @@ CLEAN: dict[str, Callable[[Tables], DataFrame]] = {
     "maintenance_summary": definitions.maintenance_summary,
     "property_performance_snapshot": lambda t: definitions.property_performance(t, AS_OF),
     "occupancy_by_property": lambda t: definitions.occupancy_by_property(t, AS_OF),
+    "occupancy_by_property_one": lambda t: definitions.occupancy_by_property(t, AS_OF, PROPERTY),
+    "property_summary_one": lambda t: definitions.property_summary(t, AS_OF, PROPERTY),
     "lease_outstanding": definitions.lease_outstanding,
     "property_summary": lambda t: definitions.property_summary(t, AS_OF),
     "occupancy_report": lambda t: reports.occupancy_report(t, AS_OF),
@@ -203,6 +205,34 @@ def _tickets(spark: SparkSession, folder: str) -> changes.Applied:
     return changes.ingest_requests(star.star_tables(spark, folder), star.new_requests(spark, folder))
 
 
+def _absorbed(change: Callable[[SparkSession, str, Tables], tuple[Tables, dict[str, absorbing.Images]]]) -> Query:
+    """The performance snapshot from stored sums that took in a batch."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        before, place = star.star_tables(spark, folder), fresh_folder(spark)
+        absorbing.start_sums(before, AS_OF, place)
+        after, images = change(spark, folder, before)
+        sums = absorbing.absorb_batch(before, after, images, AS_OF, place, "batch")
+        return absorbing.performance_of(after, sums)
+
+    return run
+
+
+def _replaced(name: str, job: Callable[[SparkSession, str], changes.Applied]) -> Query:
+    def change(spark: SparkSession, folder: str, before: Tables) -> tuple[Tables, dict[str, absorbing.Images]]:
+        after = before.with_(**{name: job(spark, folder).table})
+        return after, absorbing.changed_images(before, after, name)
+
+    return _absorbed(change)
+
+
+def _admitted(spark: SparkSession, folder: str, before: Tables) -> tuple[Tables, dict[str, absorbing.Images]]:
+    # The portfolio itself keeps its statuses; only admission looks at those after the nightly run.
+    done = _admission(spark, folder)
+    after = before.with_(leases=before.leases.unionByName(done.leases), payments=before.payments.unionByName(done.charges))
+    return after, {"leases": absorbing.inserted(done.leases), "payments": absorbing.inserted(done.charges)}
+
+
 def _bundle(part: str) -> Query:
     return lambda s, d: dashboard.dashboard_bundle(star.star_tables(s, d), AS_OF, fresh_folder(s))[part]
 
@@ -249,6 +279,12 @@ JOBS: dict[str, Query] = {
     "ingest_requests_rejects": lambda s, d: _tickets(s, d).rejects,
     **{f"merge_{name}": lambda s, d, run=_merged(name): run(s, d).table for name in STAMPED},
     **{f"merge_{name}_rejects": lambda s, d, run=_merged(name): run(s, d).rejects for name in ("leases", "payments")},
+    "performance_after_payments": _replaced("payments", _payments),
+    "performance_after_status_changes": _replaced("maintenance_requests", _status_changes),
+    "performance_after_tickets": _replaced("maintenance_requests", _tickets),
+    "performance_after_lease_batch": _replaced("leases", _merged("leases")),
+    "performance_after_tenant_batch": _replaced("tenants", _merged("tenants")),
+    "performance_after_admission": _absorbed(_admitted),
     **{
         f"bundle_{part}": _bundle(part)
         for part in ("summary", "occupancy", "rent_collection", "recent_maintenance", "upcoming_expirations")

@@ -42,10 +42,10 @@ def _cast(name: str) -> str:
     return name
 
 
-def statement(columns: str, final: str, damaged: bool = False) -> str:
+def statement(columns: str, final: str, damaged: bool = False, changed: dict[str, str] | None = None) -> str:
     """The complete statement of one check."""
     casts = ", ".join(_cast(name) for name in columns.split())
-    return f"{prelude(damaged)}\nSELECT {casts} FROM ({final}) AS result"
+    return f"{prelude(damaged, changed)}\nSELECT {casts} FROM ({final}) AS result"
 
 
 _RENT = "expected_rent collected_rent pending_rent collection_percentage"
@@ -56,6 +56,7 @@ _PERFORMANCE = (
 _PERFORMANCE_SQL = """
     FROM occupancy JOIN rent USING (property_id) JOIN upkeep USING (property_id)"""
 _MATCH = "property_id property_code property_name"
+PROPERTY = 3
 
 _FACTS = "rows_before rows_after equivalent scans_before scans_after pushed_before pushed_after"
 
@@ -93,6 +94,10 @@ CLEAN: dict[str, tuple[str, str]] = {
         "property_id occupancy_percentage",
         "SELECT * FROM occupancy",
     ),
+    "occupancy_by_property_one": (
+        "property_id occupancy_percentage",
+        f"SELECT * FROM occupancy WHERE property_id = {PROPERTY}",
+    ),
     "lease_outstanding": (
         "lease_id outstanding",
         """SELECT le.lease_id, coalesce((SELECT sum(amount_due) - sum(amount_paid) FROM payments pm
@@ -104,6 +109,11 @@ CLEAN: dict[str, tuple[str, str]] = {
         f"""SELECT property_id, occupancy.property_name, occupancy_percentage, collection_percentage,
                    open_requests AS open_maintenance_requests {_PERFORMANCE_SQL}""",
     ),
+    "property_summary_one": (
+        "property_id property_name occupancy_percentage collection_percentage open_maintenance_requests",
+        f"""SELECT property_id, occupancy.property_name, occupancy_percentage, collection_percentage,
+                   open_requests AS open_maintenance_requests {_PERFORMANCE_SQL} WHERE property_id = {PROPERTY}""",
+    ),
     # reports
     "occupancy_report": (
         f"{_MATCH} city total_units occupied_units vacant_units occupancy_percentage",
@@ -1112,6 +1122,28 @@ JOBS: dict[str, tuple[str, str]] = {
 }
 
 
+def _changed_tables() -> dict[str, dict[str, str]]:
+    """For each kind of job the tables after it."""
+
+    def after(table: str, job: str) -> str:
+        columns, sql = JOBS[job]
+        return f"SELECT {columns.replace(' ', ', ')} FROM ({sql})"
+
+    admitted = {
+        table: f"SELECT {columns.replace(' ', ', ')} FROM {table} UNION ALL {after(table, job)}"
+        for table, job in (("leases", "admit_leases_accepted"), ("payments", "admit_leases_charges"))
+        for columns in [JOBS[job][0]]
+    }
+    return {
+        "performance_after_payments": {"payments": after("payments", "apply_payments")},
+        "performance_after_status_changes": {"maintenance_requests": after("maintenance_requests", "apply_status_changes")},
+        "performance_after_tickets": {"maintenance_requests": after("maintenance_requests", "ingest_requests")},
+        "performance_after_lease_batch": {"leases": after("leases", "merge_leases")},
+        "performance_after_tenant_batch": {"tenants": after("tenants", "merge_tenants")},
+        "performance_after_admission": admitted,
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     """The statement of every registered query."""
     parts = {
@@ -1125,4 +1157,6 @@ def oracle_sql() -> dict[str, str]:
     clean = {key: statement(columns, sql) for key, (columns, sql) in every.items()}
     damaged = {key: statement(columns, sql, damaged=True) for key, (columns, sql) in DAMAGED.items()}
     damaged["publication_verdict_damaged"] = statement(_VERDICT, _verdict(), damaged=True)
-    return clean | damaged
+    performance = CLEAN["property_performance_snapshot"]
+    absorbed = {key: statement(*performance, changed=changed) for key, changed in _changed_tables().items()}
+    return clean | damaged | absorbed
