@@ -40,6 +40,8 @@ from rentgrain.llm.frames import documents, map_batches, stored
 ORDER, LEAST, ALPHA, UNSEEN = 3, 1, 0.4, 0.5
 #: Bytes of text in a pack, and in the corpus for each range of hashes.
 PACK, RANGE = 8 << 20, 8 << 20
+#: Bytes of text in the corpus for each task of a shuffle, so that tasks do not grow with it.
+SHARE = 16 << 20
 WORD = re.compile(r"\w+")
 
 
@@ -168,7 +170,7 @@ def exploded(packs: DataFrame, ranges: int, order: int) -> DataFrame:
     return map_batches(packs.select("pack", "sizes", "body"), batches, "part long, pack long, n_words long, grams binary, times binary")
 
 
-def totals(entries: DataFrame) -> DataFrame:
+def totals(entries: DataFrame, tasks: int) -> DataFrame:
     """(pack, part, n_words, elsewhere): for each entry its count in all other packs, in the order of the entries."""
 
     def joined(table: pa.Table) -> pa.Table:
@@ -185,7 +187,7 @@ def totals(entries: DataFrame) -> DataFrame:
         sent = [_squeezed(elsewhere[a:b]) for a, b in zip(border, border[1:])]
         return pa.table([table["pack"], table["part"], table["n_words"], pa.array(sent, pa.binary())], names=["pack", "part", "n_words", "elsewhere"])
 
-    return entries.groupBy("part").applyInArrow(joined, "pack long, part long, n_words long, elsewhere binary")
+    return entries.repartition(tasks, "part").groupBy("part").applyInArrow(joined, "pack long, part long, n_words long, elsewhere binary")
 
 
 def scores_of(row: np.ndarray, hashes: list[np.ndarray], elsewhere: np.ndarray, texts: int, total: int, least: int, apart: bool) -> np.ndarray:
@@ -235,7 +237,8 @@ def score(
     kind = docs.schema[key].dataType
     packs = stored(packed(docs, key, text))
     size = packs.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
-    found = stored(totals(exploded(packs, max(1, -(-size // RANGE)), order)))
+    tasks = max(1, -(-size // SHARE))
+    found = stored(totals(exploded(packs, max(1, -(-size // RANGE)), order), tasks))
     total = found.agg(F.sum("n_words")).first()[0] or 0
     schema = T.StructType(
         [T.StructField(key, kind), T.StructField("n_words", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("mean_score", T.DoubleType())]
@@ -255,8 +258,8 @@ def score(
         mean = pa.array(sums / np.maximum(1, words), mask=words == 0)
         return pa.table([keys, pa.array(words, pa.int64()), pa.array(sums), mean], names=schema.names)
 
-    counts = found.select("pack", "part", "elsewhere").groupBy("pack")
-    return packs.groupBy("pack").cogroup(counts).applyInArrow(summed, schema)
+    counts = found.select("pack", "part", "elsewhere").repartition(tasks, "pack").groupBy("pack")
+    return packs.repartition(tasks, "pack").groupBy("pack").cogroup(counts).applyInArrow(summed, schema)
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
