@@ -39,7 +39,7 @@ from rentgrain.llm.frames import documents, map_batches, stored
 #: Longest n-grams; n-grams met less often are taken as unseen; factor for backing off; count of an unseen word.
 ORDER, LEAST, ALPHA, UNSEEN = 3, 1, 0.4, 0.5
 #: Bytes of text in a pack, and in the corpus for each range of hashes.
-PACK, RANGE = 8 << 20, 8 << 20
+PACK, RANGE = 5 << 20, 8 << 20
 #: Bytes of text in the corpus for each task of a shuffle, so that tasks do not grow with it.
 SHARE = 16 << 20
 WORD = re.compile(r"\w+")
@@ -105,7 +105,7 @@ def grams_of(sizes: list[int], body: bytes, order: int) -> tuple[np.ndarray, lis
         words.extend(found)
         counts.append(len(found))
         at += size
-    row = np.repeat(np.arange(len(sizes)), counts)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), counts)
     if not words:
         return row, [np.zeros(0, np.uint64)] * order
     coded = pa.array(words, pa.string()).dictionary_encode()
