@@ -233,3 +233,23 @@ def test_index_proves_before_the_end_and_misses_nothing():
     huge = impactsearch.BlockIndex(np.array([[1 << 62, 1 << 62], [-(1 << 62), 5], [1, 1]]))
     _, score = huge.members(np.array([1 << 40, 1]), 2)
     assert score.tolist() == [(1 << 63) - 1, -(1 << 63), (1 << 40) + 1]
+
+
+def test_zero_components_of_a_query_do_not_lower_the_bounds(spark):
+    r = np.random.default_rng(3)
+    block, queries = -r.integers(0, 90, (2_000, 64)), r.integers(1, 90, (10, 64)) * (r.random((10, 64)) < 0.3)
+    index = impactsearch.BlockIndex(block)
+    for query in queries:
+        left, score = index.members(query, 6)
+        exact = block @ query
+        assert set(np.flatnonzero(exact >= np.sort(exact)[-6])) <= set(left.tolist()) and (score == exact[left]).all()
+    rows = [(i, [float(x) / 256 for x in v]) for i, v in enumerate([*queries.tolist(), *block.tolist()])]
+    rows = [(50 * i if i < 10 else 50 * i + 1, v) for i, v in rows]
+    found = impactsearch.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(best_by_hand(rows, 5))
+
+
+def test_the_least_number_is_large():
+    least = impactsearch.BlockIndex(np.array([[-(1 << 63), 0], [1, 0]]))
+    _, score = least.members(np.array([4, 0]), 2)
+    assert score.tolist() == [-(1 << 63), 4]
