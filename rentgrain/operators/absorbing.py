@@ -28,6 +28,13 @@ MONEYS = ("expected_rent", "collected_rent")
 APPLIED = "as_of date, batch string, number bigint"
 #: Tables whose changes move the sums. Changes of units and properties take effect on reading.
 SUMMED = ("leases", "payments", "maintenance_requests", "tenants")
+#: Of these, the key and the columns that the sums are made from; a row that changed in others only moves none.
+READ = {
+    "leases": ("lease_id", "unit_id", "tenant_id", "start_date", "end_date", "monthly_rent", "lease_status"),
+    "payments": ("payment_id", "lease_id", "due_date", "amount_paid"),
+    "maintenance_requests": ("request_id", "unit_id", "priority", "request_status", "created_at", "closed_at"),
+    "tenants": ("tenant_id",),
+}
 
 
 class AlreadyAppliedError(ValueError):
@@ -227,6 +234,16 @@ def absorb_batch(before: Tables, after: Tables, images: dict[str, Images], as_of
     return _store(absorb(sums, before, after, images, as_of), before, folder, as_of, batch, newest + 1)
 
 
-def changed_images(before: Tables, after: Tables, *names: str) -> dict[str, Images]:
-    """The images of the named tables between two portfolios."""
-    return {name: images_of(getattr(before, name), getattr(after, name), SCHEMAS[name][0].name) for name in names}
+def changed_images(before: Tables, after: Tables, *names: str, as_of: date | None = None) -> dict[str, Images]:
+    """The images of the named tables between two portfolios, with the columns that sums are made from.
+
+    With ``as_of`` they are for sums of that day only, which follow no charges outside its month.
+    """
+
+    def counted(t: Tables, name: str) -> DataFrame:
+        rows = getattr(t, name)
+        if name == "payments" and as_of:
+            rows = rows.filter(in_month("due_date", as_of))
+        return rows.select(*READ[name])
+
+    return {name: images_of(counted(before, name), counted(after, name), READ[name][0]) for name in names}

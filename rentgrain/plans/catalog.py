@@ -221,7 +221,7 @@ def _absorbed(change: Callable[[SparkSession, str, Tables], tuple[Tables, dict[s
 def _replaced(name: str, job: Callable[[SparkSession, str], changes.Applied]) -> Query:
     def change(spark: SparkSession, folder: str, before: Tables) -> tuple[Tables, dict[str, absorbing.Images]]:
         after = before.with_(**{name: job(spark, folder).table})
-        return after, absorbing.changed_images(before, after, name)
+        return after, absorbing.changed_images(before, after, name, as_of=AS_OF)
 
     return _absorbed(change)
 

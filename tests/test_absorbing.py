@@ -102,3 +102,12 @@ def test_admission_adds_its_leases_and_charges(spark, make):
     images = {"leases": a.inserted(done.leases), "payments": a.inserted(done.charges)}
     absorbed = a.absorb(a.unit_sums(t, AS_OF), t, done.tables, images, AS_OF)
     assert rows(a.performance_of(done.tables, absorbed)) == rows(d.property_performance(done.tables, AS_OF))
+
+
+def test_images_hold_what_the_sums_of_the_day_count(make):
+    before, after = make(**some_rows(12)), make(**some_rows(13))
+    images = a.changed_images(before, after, *a.SUMMED, as_of=AS_OF)
+    assert {name: tuple(i.old.columns) for name, i in images.items()} == a.READ
+    assert {r.due_date.month for i in (images["payments"].old, images["payments"].new) for r in i.collect()} == {AS_OF.month}
+    absorbed = a.absorb(a.unit_sums(before, AS_OF), before, after, images, AS_OF)
+    assert rows(a.performance_of(after, absorbed)) == rows(d.property_performance(after, AS_OF))
