@@ -1,16 +1,12 @@
-"""The constraints of the schema as rules over the data, all checked in one shuffle.
+"""The constraints of the schema as rules over the data.
 
-Every table is scanned once. A row gives one entry for each of its keys and references and for each
-row check that it breaks; checks and missing values are one array in the scan. Entries of all tables
-are counted together by (domain, key), with partial counts before the shuffle, so a key that a third of the rows
-have is one entry per task:
+Every kind of rule is checked by what it needs and no more:
 
-* the key of a row counts as *own*; more than one of them is a broken UNIQUE or PRIMARY KEY;
-* a reference marks its rule at the parent's key; a mark without an own row is a dangling reference;
-* a broken row check is a domain of its own, counted by the row's key.
-
-Only for dangling references, which are counted once however many rows have them, the rows are looked
-up again, in the two columns that are needed.
+* row checks and missing values are one array in the scan; nothing is shuffled for them;
+* the rows of a PRIMARY KEY or UNIQUE key are counted under the key's own columns, partially before the
+  shuffle, so a key that a third of the rows have is one row per task;
+* the rows of a reference, two columns, are joined with the parents' keys, and those without a partner
+  stay; a reference that many rows share may be split.
 """
 
 from __future__ import annotations
@@ -31,6 +27,7 @@ from ..schema import (
     WORK_ORDER_STATUSES,
     Tables,
 )
+from .duplicates import repeated_keys
 
 # Primary key, unique keys and foreign keys of each table.
 KEYS = {
@@ -112,44 +109,50 @@ def unique_rules() -> dict[str, tuple[str, list[str], str]]:
 
 
 def rule_names() -> list[str]:
-    """All rules; a rule's place is its domain among the entries, and a reference's bit."""
+    """All rules."""
     rows = [name for table in KEYS for name in row_rules(table)]
     return [*(f"{table}.{column}_reference" for table, column, _ in REFERENCES), *unique_rules(), *rows]
 
 
-def _entries(df: DataFrame, table: str) -> DataFrame:
-    """(domain, key, own, refs) of one table. Keys with a missing part are not compared, as in SQL."""
-    places = {name: place for place, name in enumerate(rule_names())}
-    primary, rows = KEYS[table][0], row_rules(table)
-    entries = []
-    for name, (owner, columns, condition) in unique_rules().items():
-        if owner == table:
-            held = " AND ".join(f"{c} IS NOT NULL" for c in columns)
-            key = "concat_ws('|', " + ", ".join(f"string({c})" for c in columns) + ")"
-            entries.append(f"IF(({condition}) AND {held}, struct({places[name]} AS domain, {key} AS key, 1L AS own, 0 AS refs), NULL)")
-    for bit, (child, column, parent) in enumerate(REFERENCES):
-        if child == table:
-            domain = places[f"{parent}.{KEYS[parent][0]}_unique"]
-            entries.append(f"IF({column} IS NOT NULL, struct({domain} AS domain, string({column}) AS key, 0L AS own, {1 << bit} AS refs), NULL)")
-    # Broken row checks are bits of one number, taken apart only in rows that have any.
-    mask = " + ".join(f"IF(NOT ({ok}), {1 << bit}L, 0L)" for bit, ok in enumerate(rows.values()))
-    first = min(places[name] for name in rows)
-    broken = (
-        f"transform(filter(sequence(0, {len(rows) - 1}), b -> getbit(_broken, b) = 1), "
-        f"b -> struct({first} + b AS domain, string({primary}) AS key, 1L AS own, 0 AS refs))"
-    )
-    kind = "array<struct<domain:int,key:string,own:bigint,refs:int>>"
-    every = f"concat(CAST(array({', '.join(entries)}) AS {kind}), IF(_broken = 0, CAST(array() AS {kind}), CAST({broken} AS {kind})))"
-    return df.withColumn("_broken", F.expr(mask)).selectExpr(f"inline({every})").filter("domain IS NOT NULL")
-
-
-def _references(df: DataFrame, table: str) -> DataFrame | None:
-    """(bit, reference, key) of every reference of one table's rows."""
-    own = [(bit, column) for bit, (child, column, _) in enumerate(REFERENCES) if child == table]
-    if not own:
-        return None
-    each = ", ".join(f"struct({bit} AS bit, string({column}) AS reference)" for bit, column in own)
-    return df.selectExpr(f"string({KEYS[table][0]}) AS key", f"inline(array({each}))")
+def _broken_checks(df: DataFrame, table: str) -> DataFrame:
+    """One row per row check that a row of the table breaks."""
+    broken = ", ".join(f"IF(NOT ({ok}), '{name}', NULL)" for name, ok in row_rules(table).items())
+    # The rule first, so that every condition is looked at once; a filter before it would do so again.
+    found = df.selectExpr(f"{KEYS[table][0]} AS key", f"explode(array({broken})) AS rule_id").filter("rule_id IS NOT NULL")
+    return found.selectExpr("rule_id", "string(key) AS key", "'' AS detail")
+
+
+def _repeated(t: Tables) -> list[DataFrame]:
+    """Keys of more than one row: primary keys, texts, and numbers with or without a text, each kind together.
+
+    Keys with a missing part are not compared, as in SQL.
+    """
+    kinds: dict[str, list[DataFrame]] = {}
+    rules = unique_rules()
+    for domain, (table, columns, condition) in enumerate(rules.values()):
+        held = " AND ".join([f"({condition})", *(f"{c} IS NOT NULL" for c in columns)])
+        text = SCHEMAS[table][columns[0]].dataType.simpleString() == "string"
+        kind = "text" if text else "primary" if columns == [KEYS[table][0]] else "mixed"
+        parts = [F.col(c) for c in columns] + [F.lit(None).cast("string")] * (kind == "mixed" and len(columns) == 1)
+        keys = getattr(t, table).filter(held).select(F.lit(domain).alias("domain"), *[c.alias(f"k{at}") for at, c in enumerate(parts)])
+        kinds.setdefault(kind, []).append(keys)
+    names = F.array(*map(F.lit, rules))
+    found = []
+    for frames in kinds.values():
+        domain, *parts = frames[0].columns
+        repeated = repeated_keys(reduce(DataFrame.unionByName, frames), [domain, *parts], "_rows")
+        key = F.concat_ws("|", *[F.col(c).cast("string") for c in parts]).alias("key")
+        found.append(repeated.select(F.get(names, F.col(domain)).alias("rule_id"), key, F.col("_rows").cast("string").alias("detail")))
+    return found
+
+
+def _dangling(t: Tables, child: str, column: str, parent: str) -> DataFrame:
+    """Rows of ``child`` that refer to a row which is not there."""
+    rows = getattr(t, child).filter(F.col(column).isNotNull())
+    rows = rows.select(F.col(KEYS[child][0]).alias("key"), F.col(column).alias("reference"))
+    parents = getattr(t, parent).select(F.col(KEYS[parent][0]).alias("reference"))
+    lost = rows.join(parents, "reference", "left_anti")
+    return lost.select(F.lit(f"{child}.{column}_reference").alias("rule_id"), F.col("key").cast("string").alias("key"), F.col("reference").cast("string").alias("detail"))
 
 
 def schema_violations(t: Tables) -> DataFrame:
@@ -158,24 +161,6 @@ def schema_violations(t: Tables) -> DataFrame:
     One row per broken row check (key of the row), per repeated key (the key and its number of rows) and per
     dangling reference (key of the row and the reference).
     """
-    union = lambda frames: reduce(DataFrame.unionByName, frames)
-    names = F.array(*map(F.lit, rule_names()))
-    n_unique, n_references = len(unique_rules()), len(REFERENCES)
-    counted = union([_entries(getattr(t, table), table) for table in KEYS]).groupBy("domain", "key").agg(
-        F.sum("own").alias("own"), F.bit_or("refs").alias("refs")
-    )
-    is_check = F.col("domain") >= n_references + n_unique
-    rule = F.get(names, F.col("domain")).alias("rule_id")
-    checks = counted.filter(is_check).select(
-        rule, "key", F.explode(F.array_repeat(F.lit(""), F.col("own").cast("int"))).alias("detail")
-    )
-    repeated = counted.filter(~is_check & (F.col("own") > 1)).select(rule, "key", F.col("own").cast("string").alias("detail"))
-    dangling = counted.filter(~is_check & (F.col("own") == 0)).select(
-        F.col("key").alias("reference"),
-        F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_references - 1)), lambda b: F.getbit("refs", b) == 1)).alias("bit"),
-    )
-    rows = [found for table in KEYS if (found := _references(getattr(t, table), table)) is not None]
-    lost = union(rows).join(dangling, ["bit", "reference"]).select(
-        F.get(names, F.col("bit")).alias("rule_id"), "key", F.col("reference").alias("detail")
-    )
-    return checks.unionByName(repeated).unionByName(lost)
+    checks = [_broken_checks(getattr(t, table), table) for table in KEYS]
+    dangling = [_dangling(t, *reference) for reference in REFERENCES]
+    return reduce(DataFrame.unionByName, checks + _repeated(t) + dangling)

@@ -96,3 +96,11 @@ def test_gate_raises_on_orphan_payment(make):
 def test_status_mismatch_fails_the_cache_test(make):
     rows = {x.test_name[:3]: x for x in quality.test_scorecard(make(), AS_OF + timedelta(1)).collect()}
     assert (rows["T08"].actual_result, rows["T08"].status) == ("1 mismatches", "FAIL")
+
+
+def test_row_checks_are_not_shuffled_and_keys_keep_their_types(spark):
+    tables = star.broken_tables(spark, "/root/testdata/sf0.001")
+    plan = constraints.schema_violations(tables)._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [domain" in line]
+    assert len([line for line in grouped if "k0#" in line]) == 3 and "getbit" not in plan
+    assert plan.count("Join LeftAnti") == len(constraints.REFERENCES)
