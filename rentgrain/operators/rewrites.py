@@ -13,6 +13,9 @@ from ..functions.columns import day, or_zero, total
 from ..functions.prints import bag_print
 from ..schema import Tables
 
+#: Repeats of a row that are made at a time.
+REPEATS = 4096
+
 
 def expiry_before(t: Tables, as_of: date, days: int = 90) -> DataFrame:
     """Leases ending in the range, compared as text: nothing can be pushed to the scan."""
@@ -130,10 +133,15 @@ def difference(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows that only one formulation returns, labelled with the side.
 
     Rows are matched only if the fingerprints differ: of two equal sides no row reaches the comparison.
+    Both directions come from one count of each row, so each side is computed once for it. A row comes as
+    often as one side has it more than the other; the repeats are made in pieces, so no array is long.
     """
-    after = after.select(*before.columns)
+    columns = [f"_{k}" for k in range(len(before.columns))]
     differs = ~same_bag(before, after).select("equivalent").scalar()
-    here, there = before.filter(differs), after.filter(differs)
-    return here.exceptAll(there).withColumn("side", F.lit("before")).unionByName(
-        there.exceptAll(here).withColumn("side", F.lit("after"))
-    )
+    here = before.filter(differs).toDF(*columns).withColumn("times", F.lit(1))
+    there = after.select(*before.columns).filter(differs).toDF(*columns).withColumn("times", F.lit(-1))
+    more = here.union(there).groupBy(*columns).agg(F.sum("times").alias("times")).filter("times <> 0")
+    pieces = more.withColumn("piece", F.explode(F.expr(f"sequence(0, (abs(times) - 1) div {REPEATS})")))
+    repeats = pieces.withColumn("repeat", F.explode(F.expr(f"sequence(1, least({REPEATS}, abs(times) - piece * {REPEATS}))")))
+    side = F.when(F.col("times") > 0, "before").otherwise("after")
+    return repeats.select(*columns, side).toDF(*before.columns, "side")

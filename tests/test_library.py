@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from datetime import date, timedelta
 from itertools import groupby
 
@@ -125,3 +126,12 @@ def test_rewrites_are_compared_row_by_row(make):
     assert [x.lease_id for x in expiry.only_before.collect()] == [2]
     same = rewrites.compare(t.leases, t.leases)
     assert same.is_equivalent() and "Scan" in same.before_plan
+
+
+def test_difference_counts_each_row_once_for_both_directions(spark):
+    before = spark.createDataFrame([(1, "a")] * 5000 + [(1, None)] * 3 + [(2, "b")], "k int, v string")
+    after = spark.createDataFrame([("a", 1), (None, 1), (None, 1), ("b", 2), ("b", 2), (None, None)], "v string, k int")
+    found = rewrites.difference(before, after)
+    rows = Counter((x.k, x.v, x.side) for x in found.collect())
+    assert rows == {(1, "a", "before"): 4999, (1, None, "before"): 1, (2, "b", "after"): 1, (None, None, "after"): 1}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
