@@ -234,6 +234,41 @@ def _dense_lists(sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(sets, batches, "value long, id long, n long, alone long, place long, parts array<long>")
 
 
+def _cell(n: Column) -> Column:
+    """Number of the cell of sizes that ``n`` lies in, rising with it: single sizes below 128, then 64 cells to a doubling."""
+    digits = F.length(F.bin(n))
+    wide = F.greatest(digits - 7, F.lit(0))
+    return wide * 64 + F.call_function("shiftright", n, wide).cast("int")
+
+
+def _met(lists: DataFrame, percent: int) -> DataFrame:
+    """Members x and y of lists (value, id, root, n, place) that meet by size and place, x as the larger.
+
+    At the first shingle in rising order that partners share, they share no more than what is left of either. So
+    a member of n shingles has partners of at most ``most`` shingles there; a smaller one takes part only if its
+    own n is within that. Members meet by list, cell of the smaller size and cell of the larger: in a list of many
+    members only those whose sizes and places admit each other, not all pairs.
+    """
+    left = F.col("n") - F.col("place")
+    reach = lists.select("value", "id", "root", "n", (F.floor((100 + percent) * left / percent) - F.col("n")).alias("most"))
+    least, upto = F.ceil(F.col("n") * percent / 100), F.least("n", "most")
+    larger = reach.where(upto >= least).select(
+        "value", F.explode(F.sequence(_cell(least), _cell(upto))).alias("small"), _cell(F.col("n")).alias("large"),
+        *(F.col(c).alias(f"{c}_x") for c in ("id", "root", "n", "most")),
+    )
+    smaller = reach.where("most >= n").select(
+        "value", _cell(F.col("n")).alias("small"), F.explode(F.sequence(_cell(F.col("n")), _cell(F.col("most")))).alias("large"),
+        *(F.col(c).alias(f"{c}_y") for c in ("id", "root", "n", "most")),
+    )
+    return larger.join(smaller, ["value", "small", "large"])
+
+
+def _within_reach(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs (id_x, n_x, id_y, n_y) in lists (value, id, root, n, place) that differ in root and may be linked by their places."""
+    admitted = _met(lists, percent).where("n_y <= n_x AND n_y <= most_x AND n_x <= most_y AND root_x <> root_y")
+    return admitted.select("id_x", "n_x", "id_y", "n_y").distinct()
+
+
 def links(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """Components (node, root) of the classes (id, n, sketch) that have a partner."""
     held = classes.select("id", "n", F.explode("sketch").alias("value"))
@@ -274,16 +309,15 @@ def links(docs: DataFrame, classes: DataFrame, key: str, text: str, percent: int
         .where(F.col("met") + F.least("hot_x", "hot_y") >= needed(F.greatest("n_x", "n_y"), percent))
         .select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
     )
-    # At the first shingle in rising order that partners share, they share no more than what is left of
-    # either, nor more than the smaller count of each part.
-    left = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y"))
-    parts = F.aggregate(F.zip_with("parts_x", "parts_y", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
     mixed = rooted(rare)
     several = mixed.groupBy("value").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     mixed = stored(mixed.join(several.select("value"), "value", "left_semi"))
-    sizes = (F.col("n_x"), F.col("n_y"))
-    long = crossed(mixed, "n", "place", "parts").where(similar(left, *sizes, percent) & similar(parts, *sizes, percent))
-    long = long.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")).distinct()
+    # Partners share no more of each part than the smaller count.
+    parts = F.aggregate(F.zip_with("parts_x", "parts_y", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    counted = mixed.select("id", "n", "parts").distinct()
+    side = lambda x: counted.select(*(F.col(c).alias(f"{c}_{x}") for c in counted.columns))
+    long = _within_reach(mixed, percent).join(side("x"), ["id_x", "n_x"]).join(side("y"), ["id_y", "n_y"])
+    long = long.where(similar(parts, F.col("n_x"), F.col("n_y"), percent)).select(*_ordered("id_x", "id_y")).distinct()
     rest = stored(plausible(short.unionByName(long).distinct(), classes, percent))
     second = confirmed(docs, rest, key, text, percent)
     return components(first.unionByName(second))

@@ -419,6 +419,27 @@ def test_near_duplicates_at_other_thresholds(spark, monkeypatch, limit):
         assert {x["doc_id"] for x in found if x["kept"]} == brute_kept(table, percent)
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85])
+def test_members_of_a_long_list_meet_by_size_and_place(spark, percent):
+    draw = random.Random(percent)
+    rows = []
+    for k in range(600):
+        n = draw.choice([1, 2, 7, 40, 127, 128, 146, 150, 300, 5000]) + draw.randrange(4)
+        rows.append((k % 3, k, k // 6, n, draw.randrange(n - -(-n * percent // 100) + 1)))
+    columns = "value long, id long, root long, n long, place long"
+    left = {k: n - place for _, k, _, n, place in rows}
+    linkable = {
+        (min(x[1], y[1]), max(x[1], y[1]))
+        for x in rows for y in rows
+        if x[0] == y[0] and x[2] != y[2] and 100 * min(left[x[1]], left[y[1]]) >= percent * (x[3] + y[3] - min(left[x[1]], left[y[1]]))
+    }
+    found = neardup._within_reach(spark.createDataFrame(rows, columns), percent).collect()
+    assert {(min(r.id_x, r.id_y), max(r.id_x, r.id_y)) for r in found} == linkable and linkable
+    # Copies with too many shingles of their own: one long list, no meetings, where all pairs would be two million.
+    apart = spark.range(2000).selectExpr("1L AS value", "id", "id AS root", "120L AS n", f"{120 - -(-120 * percent // 100)}L AS place")
+    assert neardup._met(apart, percent).count() == 0
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     pairs, has = near_pairs()
     good = [(k, prose(k, 80).capitalize() + ".") for k in range(150)]
